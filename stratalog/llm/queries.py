@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, secrets, warc
+from . import chat, decontam, media, quality, secrets, tokens, warc
 from .common import fresh_path, table
 
 
@@ -28,6 +28,13 @@ FROM p LEFT JOIN r ON p.h = r.h
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, field)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return media.fingerprint_wav(media.encode_wav(docs, "text"), "media")
@@ -46,6 +53,16 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return leaks.where(F.size("leaks") > 0).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), fields=("source", "text"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs, secrets.infer_grammar(docs))
@@ -60,5 +77,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), count("grammar"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op4_media": op4_media, "op6_chat": op6_chat, "op10_secrets": op10_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
+    "op4_media": op4_media,
+    "op6_chat": op6_chat,
+    "op8_decontam": op8_decontam,
+    "op9_tokens": op9_tokens,
+    "op10_secrets": op10_secrets,
+}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
