@@ -43,13 +43,17 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body
 
 
-def read_seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
-    """(start, compressed, decompressed) of every frame of a whole bundle."""
-    n, flags, magic = struct.unpack("<IBI", bundle[-9:])
+def read_seek_table(bundle) -> list[tuple[int, int, int]]:
+    """(start, compressed, decompressed) of every frame of a bundle, an open file."""
+    bundle.seek(0, 2)
+    end = bundle.tell()
+    bundle.seek(end - 9)
+    n, flags, magic = struct.unpack("<IBI", bundle.read(9))
     if magic != SEEKABLE_MAGIC:
         raise ValueError("no seek table at the end of the bundle")
     each = 12 if flags & 0x80 else 8
-    table, out, start = bundle[-9 - n * each : -9], [], 0
+    bundle.seek(end - 9 - n * each)
+    table, out, start = bundle.read(n * each), [], 0
     for i in range(n):
         size, full = struct.unpack_from("<II", table, i * each)
         out.append((start, size, full))
@@ -151,6 +155,13 @@ def decide_revisits(pages: DataFrame, row_id: str = "page_id", url: str = "url",
     return joined.select("id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
+def _uri(spark: SparkSession, folder: str) -> str:
+    """The folder as a full URI, as Python's file systems take it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if re.match("file:/[^/]", uri) else uri
+
+
 def write_archive(decided: DataFrame, folder: str) -> DataFrame:
     """Write the rows of ``decide_revisits`` as bundles in ``folder``, a URI that all executors reach; returns the record index.
 
@@ -160,10 +171,8 @@ def write_archive(decided: DataFrame, folder: str) -> DataFrame:
     spark = decided.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(folder)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(target)
-    where = files.makeQualified(target).toString()
-    where = "file://" + where.removeprefix("file:") if re.match("file:/[^/]", where) else where
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    where = _uri(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(bundle: _Bundle) -> pa.RecordBatch:
@@ -201,24 +210,25 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     schema = "id long, record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    index = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
-    found = found.join(index.select("bundle").distinct(), "bundle", "left_semi").select("content")
+    bundles = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index").select("bundle").distinct()
+    where = _uri(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(where)
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for content in batch.column(0):
-                bundle = content.as_py()
-                for start, size, full in read_seek_table(bundle):
-                    out = []
-                    for r in parse_records(unpack.decompress(bundle[start : start + size], max_output_size=full)):
-                        body = r["payload"]
-                        n, digest = (r["declared_bytes"], r["declared_digest"]) if body is None else (len(body), hashlib.sha1(body).hexdigest())
-                        out.append((r["id"], r["record_id"], r["record_type"], r["url"], n, digest, r["refers_to"], body))
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            for bundle in batch.column(0).to_pylist():
+                with store.open_input_file(f"{path}/{bundle}") as f:
+                    for start, size, full in read_seek_table(f):
+                        f.seek(start)
+                        out = []
+                        for r in parse_records(unpack.decompress(f.read(size), max_output_size=full)):
+                            body = r["payload"]
+                            n, digest = (r["declared_bytes"], r["declared_digest"]) if body is None else (len(body), hashlib.sha1(body).hexdigest())
+                            out.append((r["id"], r["record_id"], r["record_type"], r["url"], n, digest, r["refers_to"], body))
+                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return found.mapInArrow(run, schema)
+    return bundles.mapInArrow(run, schema)
 
 
 def read_records(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
@@ -227,7 +237,7 @@ def read_records(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
     index = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
     wanted = index.join(ids.select(F.col(f"`{name}`").cast("long").alias("id")).distinct(), "id", "left_semi")
     schema = "id long, record_type string, payload binary"
-    where = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    where = _uri(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(where)
