@@ -10,7 +10,7 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` a turn. In roles and texts, `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
@@ -41,37 +41,41 @@ def format_windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """
     rows = turns.select(
         F.col(f"`{conv}`").alias("conv_id"),
-        F.struct(F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).alias("t"),
-    )
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    # n: tokens of a turn; before: their prefix sums.
-    sized = whole.select("conv_id", "ts", F.transform("ts", lambda t: token_count(t["text"])).alias("n"))
-    zero = F.array(F.lit(0).cast("long"))
-    sized = sized.withColumn("before", F.aggregate("n", zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
-    # first: the number of the first turn of each window.
-    sized = sized.withColumn(
-        "first",
-        F.aggregate(
-            F.sequence(F.lit(1), F.size("ts")),
-            F.array(F.lit(0)),
-            lambda acc, i: F.when(
-                (i < F.size("ts")) & (F.element_at("before", i + 2) - F.element_at("before", F.element_at(acc, -1) + 1) > budget),
-                F.concat(acc, F.array(i)),
-            ).otherwise(acc),
-        ),
-    )
-    spans = sized.select("conv_id", "ts", "before", "first", F.posexplode("first").alias("window", "a"))
-    spans = spans.withColumn("b", F.coalesce(F.try_element_at("first", F.col("window") + 2), F.size("ts")))
-    led = (F.col("a") > 0) & (F.element_at("ts", 1)["role"] == "system")
-    # Histories reach back over whole turns within the limit, not over the system turn, which is put first.
-    low = F.when(led, 1).otherwise(0)
-    spans = spans.withColumn("low", low).withColumn("led", led)
-    # The comparison below needs plain columns of the row, since a lambda may not refer to another one's result.
-    back = F.filter(F.sequence(F.col("low"), F.col("a")), lambda i: F.element_at("before", F.col("a") + 1) - F.element_at("before", i + 1) <= history)
-    spans = spans.withColumn("h", F.coalesce(F.array_min(back), F.col("a")))
-    lead = F.when(F.col("led"), F.slice("ts", 1, 1)).otherwise(F.slice("ts", 1, 0))
-    repeated = F.concat(lead, F.slice("ts", F.col("h") + 1, F.col("a") - F.col("h")))
-    spans = spans.select("conv_id", "window", repeated.alias("old"), F.slice("ts", F.col("a") + 1, F.col("b") - F.col("a")).alias("own"))
+        F.col(f"`{turn}`").alias("turn"),
+        F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
+    ).withColumn("n", token_count(F.col("text")))
+    # All windows and the aggregate need the rows of a conversation together: one exchange. before: tokens of the turns
+    # before this one; back: the first turn whose history, up to this one, is within the limit.
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.withColumn("pos", F.row_number().over(in_order) - 1)
+    rows = rows.withColumn("before", F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    rows = rows.withColumn("back", F.min("pos").over(Window.partitionBy("conv_id").orderBy("before").rangeBetween(-history, 0)))
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text", "n", "before", "back"))).alias("ts"))
+
+    # Spans [a, b) of turns, in one pass: a turn that does not fit opens the next window.
+    span = "struct<a:int,b:int>"
+    zero = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(0).alias("a"), F.lit(0).cast("long").alias("from"), F.lit(0).alias("end"))
+
+    def fit(acc: Column, t: Column) -> Column:
+        full = (t["pos"] > acc["a"]) & (t["before"] + t["n"] - acc["from"] > budget)
+        closed = F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), t["pos"].alias("b"))))
+        return F.struct(
+            F.when(full, closed).otherwise(acc["done"]).alias("done"), F.when(full, t["pos"]).otherwise(acc["a"]).alias("a"),
+            F.when(full, t["before"]).otherwise(acc["from"]).alias("from"), (t["pos"] + 1).alias("end"),
+        )
+
+    spans = F.aggregate("ts", zero, fit, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["end"].alias("b")))))
+    led = F.element_at("ts", 1)["role"] == "system"
+
+    def cut(s: Column, i: Column) -> Column:
+        # Histories reach back over whole turns, not over the system turn, which is put first.
+        first = F.greatest(F.element_at("ts", s["a"] + 1)["back"], F.when(led, 1).otherwise(0))
+        lead = F.slice("ts", 1, F.when(led & (s["a"] > 0), 1).otherwise(0))
+        old = F.concat(lead, F.slice("ts", first + 1, F.greatest(s["a"] - first, F.lit(0))))
+        return F.struct(i.alias("window"), old.alias("old"), F.slice("ts", s["a"] + 1, s["b"] - s["a"]).alias("own"))
+
+    spans = whole.select("conv_id", F.explode(F.transform(spans, cut)).alias("w")).select("conv_id", "w.window", "w.old", "w.own")
 
     def head(t: Column) -> Column:
         return F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit(BREAK)), F.lit("\n"))
