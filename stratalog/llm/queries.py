@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, quality, secrets, tokens, warc
+from . import chat, decontam, media, ngram_join, quality, secrets, tokens, warc
 from .common import fresh_path, table
 
 
@@ -40,6 +40,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.fingerprint_wav(media.encode_wav(docs, "text"), "media")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = "<|im_end|><|im_start|>assistant ok"
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(mine).alias("text"))
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_media": op4_media,
+    "op5_ngram_join": op5_ngram_join,
     "op6_chat": op6_chat,
     "op8_decontam": op8_decontam,
     "op9_tokens": op9_tokens,
