@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, ngram_join, quality, secrets, tokens, warc
+from . import chat, decontam, media, ngram_join, pieces, quality, secrets, tokens, warc
 from .common import fresh_path, table
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.PieceModel.load()
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = pieces.decode(coded, model)
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     warc.write_archive(warc.decide_revisits(table(spark, sf_dir, "pages")), folder)
@@ -82,6 +90,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pieces": op1_pieces,
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_media": op4_media,
