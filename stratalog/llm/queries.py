@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, ngram_join, pieces, quality, secrets, tokens, warc
+from . import chat, decontam, media, ngram_join, pieces, quality, secrets, suffixes, tokens, warc
 from .common import fresh_path, table
 
 
@@ -65,6 +65,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media": op4_media,
     "op5_ngram_join": op5_ngram_join,
     "op6_chat": op6_chat,
+    "op7_suffixes": op7_suffixes,
     "op8_decontam": op8_decontam,
     "op9_tokens": op9_tokens,
     "op10_secrets": op10_secrets,
