@@ -9,12 +9,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds as numpy arrays at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: Rows and bytes of the Arrow batches between Spark and Python, since one text may be long.
+BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+#: Bits of a filter of ids, which bounds its broadcast.
+FILTER_BITS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -95,3 +104,58 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def random_words(n: int, seed: int) -> np.ndarray:
     """``n`` fixed pseudo-random odd 64-bit values."""
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+
+
+class Prefixes:
+    """Polynomial 64-bit hashes of any substring of a buffer, in constant time each."""
+
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, data: np.ndarray, values: np.ndarray, base: int):
+        n = len(data)
+        power, self.inverse = self._tables(base, n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[data] * power[:n], out=self.sums[1:])
+
+    @classmethod
+    def _tables(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if base not in cls._powers or len(cls._powers[base][0]) < n:
+            size = max(n, SLICE_BYTES + 1)
+            made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64))]
+            if size > 16 * SLICE_BYTES:
+                return made[0], made[1]
+            cls._powers[base] = (made[0], made[1])
+        return cls._powers[base]
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def all_of(self, size: int) -> np.ndarray:
+        return mix64((self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size])
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits that holds the hash of every id (one long column): all ids pass it, and few others while it is sparse."""
+    (name,) = ids.columns
+    slot = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    words = ids.select(F.floor(slot / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r.w] = r.b
+    return out
+
+
+def maybe_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among ``ids``: less to shuffle before a join. The bitmap is broadcast; its size is fixed."""
+    held = rows.sparkSession.sparkContext.broadcast(id_filter(ids))
+    names = rows.columns
+    slotted = rows.withColumn("__slot", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            slot = np.asarray(batch.column("__slot").fill_null(0))
+            keep = (bits[slot >> 6] >> (slot & 63)) & 1
+            yield batch.filter(pa.array(keep.astype(bool))).select(names)
+
+    return slotted.mapInArrow(run, rows.schema)

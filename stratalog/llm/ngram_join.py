@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, mix64, random_words, slices, utf8
+from .common import Prefixes, materialize, maybe_in, mix64, random_words, slices, utf8
 from .graph import connected_components
 
 #: N-grams that are counted together in a task, the count from which one is reported as frequent, and the length of the
@@ -33,62 +33,80 @@ FREQUENT_LIST = 200_000
 #: N-grams of a chunk of a block.
 CHUNK = 1_500_000
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
-_T = random_words(256, 1)
-_BASE = random_words(1, 2)[0]
+_BASE = int(random_words(1, 2)[0])
 _STEP = random_words(64, 3)
 
 
+def _letters() -> np.ndarray:
+    """Random values of bytes, the same for both cases of ASCII letters."""
+    values = random_words(256, 1)
+    values[65:91] = values[97:123]
+    return values
+
+
+_T = _letters()
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each row, ASCII letters in lower case, and the offsets of rows among them."""
     n = len(data)
-    rows = len(at) - 1
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     gap = _GAP[data]
-    firsts = at[:-1][np.diff(at) > 0]
-    start = ~gap
+    rows = np.diff(at) > 0
+    firsts, lasts = at[:-1][rows], at[1:][rows] - 1
+    start, stop = ~gap, ~gap
     start[1:] &= gap[:-1]
     start[firsts] = ~gap[firsts]
+    stop[:-1] &= gap[1:]
+    stop[lasts] = ~gap[lasts]
     w = np.flatnonzero(start)
-    if not len(w):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    place = np.arange(w[0], n) - np.repeat(w, np.diff(np.append(w, n)))
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(place.max()), _BASE, np.uint64)]))
-        value = _T[_LOWER[data[w[0] :]]] * power[place]
-        value[gap[w[0] :]] = 0
-        h = mix64(np.add.reduceat(value, w - w[0]))
-    return h, np.searchsorted(w, at).astype(np.int64)
+    return Prefixes(data, _T, _BASE).of(w, np.flatnonzero(stop) + 1), np.searchsorted(w, at).astype(np.int64)
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
-    """The sorted distinct n-gram hashes of each row; fewer words make one n-gram, no words make none."""
+def shingle_table(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-gram hashes of all rows, and the offsets of rows; fewer words make one n-gram, no words none."""
     h, cut = word_hashes(data, at)
-    if len(h) >= n:
+    count = np.diff(cut)
+    size = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
+    to = np.concatenate([[0], np.cumsum(size)])
+    flat = np.zeros(int(to[-1]), np.uint64)
+    full = count >= n
+    if full.any():
         grams = np.zeros(len(h) - n + 1, np.uint64)
         for k in range(n):
             grams += h[k : len(h) - n + 1 + k] * _STEP[k]
-        grams = mix64(grams)
-    out = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b - a >= n:
-            out.append(np.unique(grams[a : b - n + 1]))
-        elif b > a:
-            whole = (h[a:b] * _STEP[n : n + b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
-            out.append(mix64(np.array([whole], np.uint64)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+        inside = np.zeros(len(h) + 1, np.int64)
+        inside[cut[:-1][full]] += 1
+        np.add.at(inside, cut[1:][full] - n + 1, -1)
+        flat[np.repeat(full, size)] = mix64(grams[np.cumsum(inside[: len(grams)]) > 0])
+    for i in np.flatnonzero((count > 0) & ~full).tolist():
+        a, b = cut[i], cut[i + 1]
+        flat[to[i]] = mix64(np.array([(h[a:b] * _STEP[n : n + b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))[0]
+    for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True):
+        if b - a > 1:
+            flat[a:b].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[to[:-1][to[:-1] < len(flat)]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return flat[new], kept[to]
 
 
-def signature(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed longs."""
-    a, b = mix64(s).sum(dtype=np.uint64), mix64(s * _STEP[40] + _STEP[41]).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    values, cut = shingle_table(data, at, n)
+    return [values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def signatures(values: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, as two arrays of signed longs."""
+    out = []
+    for x in (mix64(values), mix64(values * _STEP[40] + _STEP[41])):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+        out.append((sums[cut[1:]] - sums[cut[:-1]]).view(np.int64))
+    return out[0], out[1]
 
 
 def needed(x: int, y: int, percent: int) -> int:
@@ -205,7 +223,6 @@ def text_sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "s1", "s2", "token", "times"]
-        kinds = [pa.int64()] * 6
         held, count, known = [], 0, set()
 
         def frequent() -> pa.RecordBatch:
@@ -215,15 +232,18 @@ def text_sets(docs: DataFrame, n: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array(token[keep].astype(np.int64)), pa.array(times[keep].astype(np.int64))], names)
 
         for batch in slices(batches, "text"):
-            sets = shingle_sets(*utf8(batch.column("text")), n)
-            marks = [signature(s) for s in sets]
-            for s, m in zip(sets, marks, strict=True):
+            values, cut = shingle_table(*utf8(batch.column("text")), n)
+            s1, s2 = signatures(values, cut)
+            fresh = np.zeros(len(s1), bool)
+            for i, m in enumerate(s1.tolist()):
                 if m not in known:
                     known.add(m)
-                    held.append(s)
-                    count += len(s)
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], kinds[0]), pa.array([m[0] for m in marks], kinds[0]), pa.array([m[1] for m in marks], kinds[0]), none, none], names)
+                    fresh[i] = True
+            size = np.diff(cut)
+            held.append(values[np.repeat(fresh, size)])
+            count += len(held[-1])
+            none = pa.nulls(len(size), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(s1), pa.array(s2), none, none], names)
             if count >= COUNTED:
                 yield frequent()
                 held, count = [], 0
@@ -240,26 +260,24 @@ def prefix_tokens(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, known = held.value, set()
         for batch in slices(batches, "text"):
-            ids = batch.column("doc_id").to_pylist()
-            tokens, owners, sizes = [], [], []
-            for doc_id, s in zip(ids, shingle_sets(*utf8(batch.column("text")), n), strict=True):
-                if not len(s) or (m := signature(s)) in known:
+            values, cut = shingle_table(*utf8(batch.column("text")), n)
+            marks = list(zip(*(x.tolist() for x in signatures(values, cut)), strict=True))
+            slow = late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values if len(late) else np.zeros(len(values), bool)
+            tokens, owners = [], []
+            for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                if a == b or marks[i] in known:
                     continue
-                known.add(m)
-                length = len(s) - -(-percent * len(s) // 100) + 1
-                if len(late):
-                    slow = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                    prefix = s[~slow][:length]
-                    if len(prefix) < length:
-                        prefix = np.concatenate([prefix, s[slow][: length - len(prefix)]])
-                else:
-                    prefix = s[:length]
+                known.add(marks[i])
+                s, last = values[a:b], slow[a:b]
+                length = b - a - -(-percent * (b - a) // 100) + 1
+                prefix = s[~last][:length]
+                if len(prefix) < length:
+                    prefix = np.concatenate([prefix, s[last][: length - len(prefix)]])
                 tokens.append(prefix)
-                owners.append(doc_id)
-                sizes.append(len(s))
+                owners.append(i)
             if tokens:
-                k = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(owners, k)), pa.array(np.repeat(np.array(sizes, np.int32), k))], ["token", "doc_id", "size"])
+                of = np.repeat(owners, [len(t) for t in tokens])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column("doc_id").take(pa.array(of)), pa.array(np.diff(cut)[of].astype(np.int32))], ["token", "doc_id", "size"])
 
     return docs.mapInArrow(run, "token long, doc_id long, size int")
 
@@ -330,28 +348,29 @@ def components_of(source: DataFrame, n: int, percent: int) -> DataFrame:
     members = sets.join(classes.hint("merge"), ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("class_id"))
     members = materialize(members, "ngram-classes")
 
-    blocks = connected_components(candidate_edges(prefix_tokens(source, n, percent, frequent), percent))
+    # From here on a class stands for all its documents.
+    class_of = members.select("doc_id", "class_id")
+    edges = candidate_edges(prefix_tokens(source, n, percent, frequent), percent)
+    edges = edges.join(class_of, "doc_id").select(F.col("class_id").alias("x"), "first")
+    edges = edges.join(class_of, edges["first"] == class_of.doc_id).select("x", F.col("class_id").alias("y"))
+    blocks = connected_components(edges)
     sized = blocks.join(members, blocks.node == members.doc_id).select("doc_id", F.col("root").alias("block"), "n_shingles")
     totals = sized.groupBy("block").agg(F.sum("n_shingles").alias("total")).select("block", F.ceil(F.col("total") / CHUNK).cast("int").alias("chunks"))
     placed = sized.join(totals, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     rows = materialize(placed.select("doc_id", "block", "chunks", "chunk"), "ngram-blocks")
-    texts = source.join(rows, "doc_id").withColumn("label", F.lit(None).cast("long"))
+    texts = maybe_in(source, "doc_id", rows.select("doc_id")).join(rows, "doc_id").withColumn("label", F.lit(None).cast("long"))
     keyed = F.struct("block", "chunk")
     links = materialize(join_groups(texts.select(F.xxhash64(keyed).alias("task_key"), "doc_id", "label", "text"), n, percent), "ngram-links")
     large = rows.where("chunks > 1")
     if not large.isEmpty():
         links = _join_chunks(source, large, links, n, percent)
-
-    class_of = members.select("doc_id", "class_id")
-    edges = links.join(class_of, links.a == class_of.doc_id).select("b", F.col("class_id").alias("x"))
-    edges = edges.join(class_of, edges.b == class_of.doc_id).select("x", F.col("class_id").alias("y"))
-    roots = connected_components(edges)
+    roots = connected_components(links)
     return members.join(roots, members.class_id == roots.node, "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
 
 
 def _join_chunks(source: DataFrame, large: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
     """Links across the chunks of blocks that have several."""
-    texts = materialize(source.join(large, "doc_id"), "ngram-chunks")
+    texts = materialize(maybe_in(source, "doc_id", large.select("doc_id")).join(large, "doc_id"), "ngram-chunks")
 
     def labelled(links: DataFrame) -> DataFrame:
         roots = connected_components(links)

@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +32,9 @@ from .common import fresh_path, materialize, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 60
+#: Distinct words that a task holds before it passes them on, and words whose edges an aggregation keeps before it sorts.
+HELD_WORDS = 200_000
+HELD_GROUPS = 150_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -117,8 +120,9 @@ class PieceModel:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The piece table: as many rows as the vocabulary, which bounds its broadcast."""
-        rows = [(p, i, float(self.scores[i])) for p, i in self.ids.items()]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        rank = {x: k for k, x in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
+        rows = [(p, i, float(self.scores[i]), rank[self.scores[i]]) for p, i in self.ids.items()]
+        return spark.createDataFrame(rows, "piece string, id int, score double, rank long")
 
     def fallback(self, text: str) -> list[int]:
         return [self.first_byte + b for b in text.encode()]
@@ -181,8 +185,10 @@ def normalise(text: str) -> str:
 
 
 def lattice(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
-    """(word, *keep, edges): the pieces that occur in each word, as (start, size, score, id), id null where a character has no piece.
+    """(word, *keep, edges): the pieces that occur in each word, a character without a piece too.
 
+    For merge models an edge is a long that sorts by score, start and size: rank << 32 | start << 26 | size << 20 | id + 1,
+    with 0 for no piece. For unigram models it is (start, size, score, id).
     ``words`` has distinct words of up to ``LONGEST`` characters. It comes dealt by word, and the join to the piece
     table is a broadcast, so the grouping needs no further exchange.
     """
@@ -192,30 +198,47 @@ def lattice(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
     parts = parts.withColumn("piece", F.substring("word", F.col("at") + 1, F.col("n")))
     edges = parts.join(table, "piece", "left").where("id is not null or n = 1")
     edge = F.struct("at", "n", "score", "id")
+    if model.algorithm == BPE:
+        place = _shift(F.col("at").cast("long"), 26).bitwiseOR(_shift(F.col("n").cast("long"), 20))
+        edge = _shift(F.coalesce("rank", F.lit(0).cast("long")), 32).bitwiseOR(place).bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))
     return edges.groupBy("word").agg(F.collect_list(edge).alias("edges"), *[F.first(c).alias(c) for c in keep])
 
 
+def _shift(x: Column, by: Column | int) -> Column:
+    return F.call_function("shiftleft", x, F.lit(by) if isinstance(by, int) else by)
+
+
+def _unpack(e: Column) -> tuple[Column, Column, Column]:
+    """(start, size, id or null) of an edge of a merge model."""
+
+    def bits(by: int, mask: int) -> Column:
+        return F.shiftright(e, by).bitwiseAND(F.lit(mask).cast("long")).cast("int")
+
+    code = bits(0, (1 << 20) - 1)
+    return bits(26, 63), bits(20, 63), F.when(code > 0, code - 1)
+
+
 def _span(at: Column, n: Column) -> Column:
     """The bits of the boundaries strictly inside [at, at + n)."""
-    return F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), n - 1) - 1, at + 1)
+    return _shift(_shift(F.lit(1).cast("long"), n - 1) - 1, at + 1)
 
 
-def merge_fold(edges: Column) -> Column:
-    """The segmentation of a merge model: a long with a bit for every boundary between characters."""
-    order = F.array_sort(F.transform(F.filter(edges, lambda e: e["n"] > 1), lambda e: F.struct((-e["score"]).alias("cost"), e["at"].alias("at"), e["n"].alias("n"))))
+def merge_fold(edges: Column, finish: Callable[[Column], Column]) -> Column:
+    """``finish`` of the segmentation of a merge model: a long with a bit for every boundary between characters."""
 
     def step(state: Column, e: Column) -> Column:
-        inside = _span(e["at"], e["n"])
+        at, n, _ = _unpack(e)
+        inside = _span(at, n)
         one = F.lit(1).cast("long")
-        ends = F.call_function("shiftleft", one, e["at"]).bitwiseOR(F.call_function("shiftleft", one, e["at"] + e["n"]))
+        ends = _shift(one, at).bitwiseOR(_shift(one, at + n))
         whole = (F.bit_count(state.bitwiseAND(inside)) == 1) & (state.bitwiseAND(ends) == ends)
         return F.when(whole, state.bitwiseAND(F.bitwise_not(inside))).otherwise(state)
 
-    return F.aggregate(order, F.lit((1 << 62) - 1).cast("long"), step)
+    return F.aggregate(F.sort_array(edges), F.lit((1 << 62) - 1).cast("long"), step, finish)
 
 
-def viterbi_fold(edges: Column, low: float) -> Column:
-    """The segmentation of a unigram model, in the same form: the path of the largest sum of scores, the shorter last piece on a tie."""
+def viterbi_fold(edges: Column, low: float, finish: Callable[[Column], Column]) -> Column:
+    """``finish`` of the segmentation of a unigram model, in the same form: the path of the largest sum of scores, the shorter last piece on a tie."""
     order = F.array_sort(F.transform(edges, lambda e: F.struct(e["at"].alias("at"), e["n"].alias("n"), F.coalesce(e["score"], F.lit(low)).alias("score"))))
     # best: per position the sum and the boundaries up to it; positions are filled in order of the edges' starts.
     kind = "struct<total:double,cut:bigint>"
@@ -225,28 +248,17 @@ def viterbi_fold(edges: Column, low: float) -> Column:
         here, end = F.try_element_at(best, e["at"]), e["at"] + e["n"]
         total = here["total"] + e["score"]
         there = F.try_element_at(best, end)
-        path = F.struct(total.alias("total"), here["cut"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), end)).alias("cut")).cast(kind)
+        path = F.struct(total.alias("total"), here["cut"].bitwiseOR(_shift(F.lit(1).cast("long"), end)).alias("cut")).cast(kind)
         better = there.isNull() | (total > there["total"])
         return F.when(better, F.map_concat(F.map_filter(best, lambda k, _: k != end), F.create_map(end, path))).otherwise(best)
 
-    last = F.array_max(F.transform(edges, lambda e: e["at"] + e["n"]))
-    return F.element_at(F.aggregate(order, zero, step), last)["cut"]
+    return F.aggregate(order, zero, step, lambda best: finish(F.element_at(best, F.array_max(F.map_keys(best)))["cut"]))
 
 
 def encode_words(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
     """(word, *keep, ids) of distinct words of up to ``LONGEST`` characters."""
     found = lattice(words, model, keep)
-    cut = merge_fold(F.col("edges")) if model.algorithm == BPE else viterbi_fold(F.col("edges"), min(model.scores) - 10.0)
-    found = found.select("word", *keep, "edges", cut.alias("cut"))
-    one = F.lit(1).cast("long")
-    full = F.array_sort(
-        F.filter(
-            "edges",
-            lambda e: (F.col("cut").bitwiseAND(_span(e["at"], e["n"])) == 0)
-            & (F.col("cut").bitwiseAND(F.call_function("shiftleft", one, e["at"])) != 0)
-            & (F.col("cut").bitwiseAND(F.call_function("shiftleft", one, e["at"] + e["n"])) != 0),
-        )
-    )
+    edges = F.col("edges")
 
     def of(e: Column) -> Column:
         # A character without a piece becomes its UTF-8 bytes.
@@ -254,7 +266,21 @@ def encode_words(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFr
         codes = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + model.first_byte)
         return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(codes)
 
-    return found.select("word", *keep, F.flatten(F.transform(full, of)).alias("ids"))
+    # The segmentation is a variable of the fold's last step. As a column of its own, the optimizer could put the fold
+    # in its place, once for every edge.
+    def finish(cut: Column) -> Column:
+        def used(at: Column, n: Column) -> Column:
+            ends = _shift(F.lit(1).cast("long"), at).bitwiseOR(_shift(F.lit(1).cast("long"), at + n))
+            return cut.bitwiseAND(_span(at, n).bitwiseOR(ends)) == ends
+
+        if model.algorithm == BPE:
+            parts = F.transform(F.filter(edges, lambda e: used(*_unpack(e)[:2])), lambda e: F.struct(*(x.alias(k) for x, k in zip(_unpack(e), ("at", "n", "id"), strict=True))))
+        else:
+            parts = F.transform(F.filter(edges, lambda e: used(e["at"], e["n"])), lambda e: F.struct(e["at"].alias("at"), e["n"].alias("n"), e["id"].alias("id")))
+        return F.flatten(F.transform(F.array_sort(parts), of))
+
+    ids = merge_fold(edges, finish) if model.algorithm == BPE else viterbi_fold(edges, min(model.scores) - 10.0, finish)
+    return found.select("word", *keep, ids.alias("ids"))
 
 
 def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -272,7 +298,7 @@ def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
             for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = seen.setdefault(file, set())
                 words.update(find(normalise(text or "")))
-                if len(words) > 500_000:
+                if len(words) > HELD_WORDS:
                     yield rows(file, seen.pop(file))
         for file, words in seen.items():
             yield rows(file, words)
@@ -283,6 +309,7 @@ def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
 def file_dictionary(docs: DataFrame, model: PieceModel) -> str:
     """Write (word, ids) for each input file into a folder of its own; returns where."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HELD_GROUPS))
     pairs = file_words(docs, model)
     words = pairs.groupBy("word").agg(F.collect_set("file").alias("files"))
     rows = encode_words(words, model, ["files"]).select("word", "ids", F.explode("files").alias("file"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, mix64, random_words, slices, utf8
+from .common import Prefixes, materialize, mix64, random_words, slices, utf8
 
 LENGTH = 400
 #: Bytes of an anchor string; it is the least that contexts which are compared share.
@@ -36,32 +36,7 @@ _PLACE_BITS = 31
 _T = [random_words(256, 21), random_words(256, 22)]
 
 
-def _odd_inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
-
-
 _BASE = [int(random_words(1, 23)[0]), int(random_words(1, 24)[0])]
-_INVERSE = [_odd_inverse(b) for b in _BASE]
-
-
-class Rolling:
-    """Polynomial 64-bit hashes of any substring of a buffer, in constant time each."""
-
-    def __init__(self, data: np.ndarray, which: int):
-        n = len(data)
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE[which], np.uint64)]))
-            self.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _INVERSE[which], np.uint64)]))
-            self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_T[which][data] * power[:n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def all_of(self, size: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64((self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -81,7 +56,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> dict[st
     rows = np.flatnonzero(size >= length)
     if not len(rows):
         return out
-    first = Rolling(data, 0)
+    first = Prefixes(data, _T[0], _BASE[0])
     key = first.all_of(gram)
     key &= np.uint64((1 << 64) - (1 << _PLACE_BITS))
     key |= np.arange(len(key), dtype=np.uint64)
@@ -98,7 +73,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> dict[st
     a, s1, s2 = place[opens], starts[opens], starts[closes]
     row = np.searchsorted(at, s1, side="right") - 1
     left, right = np.minimum(length - gram, a - at[row]), np.minimum(length, at[row + 1] - a)
-    second = Rolling(data, 1)
+    second = Prefixes(data, _T[1], _BASE[1])
     edges = (left * (length + 1) + right).astype(np.uint64)
     low, high = a - left, a + right
     return {
