@@ -1,0 +1 @@
+"""Plain functions: keys, patterns, schedules and generators."""
