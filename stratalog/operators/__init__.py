@@ -1,0 +1 @@
+"""Relational operators over logs and snapshots."""
