@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join by prefix trees.
 
 1. Every text becomes its set of word n-grams (64-bit hashes). Equal sets form a class.
-2. N-grams have one global order: rare before frequent, then by hash. Two sets that reach the similarity share an
-   n-gram in their prefixes, so documents that share one (and whose sizes allow it) are brought into one block.
+2. N-grams have one global order: rare before frequent, then by hash. Two sets that reach the similarity share a few
+   n-grams in their prefixes (``least_shared``), so documents that share so many, and whose sizes allow it, are brought
+   into one block. One n-gram that documents share by chance joins no blocks.
 3. The sets of a block are put into a prefix tree one after the other. Each set first walks the tree: it adds up the
    overlap of shared paths once, and leaves a subtree when the lengths that remain cannot reach the similarity, or when
    all of it is already linked to the set.
@@ -30,6 +31,10 @@ from .graph import connected_components
 COUNTED = 6_000_000
 FREQUENT = 4
 FREQUENT_LIST = 200_000
+#: Documents of an n-gram up to which pairs of them are counted; n-grams of more are linked through one document.
+PAIRED = 8
+#: Size that adds one to the n-grams that prefixes must share.
+SHARED = 25
 #: N-grams of a chunk of a block.
 CHUNK = 1_500_000
 
@@ -114,6 +119,11 @@ def needed(x: int, y: int, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
+def least_shared(size):
+    """N-grams that the prefixes of two sets have in common at least; of two sets, the smaller one's. A number or a column."""
+    return size // SHARED + 1 if isinstance(size, int) else F.floor(size / SHARED) + 1
+
+
 class _Node:
     __slots__ = ("children", "end", "largest", "least", "mixed", "owner", "ranks", "sets")
 
@@ -269,7 +279,7 @@ def prefix_tokens(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -
                     continue
                 known.add(marks[i])
                 s, last = values[a:b], slow[a:b]
-                length = b - a - -(-percent * (b - a) // 100) + 1
+                length = min(b - a, b - a - -(-percent * (b - a) // 100) + least_shared(b - a))
                 prefix = s[~last][:length]
                 if len(prefix) < length:
                     prefix = np.concatenate([prefix, s[last][: length - len(prefix)]])
@@ -283,16 +293,36 @@ def prefix_tokens(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -
 
 
 def candidate_edges(tokens: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect all documents that share a prefix token and whose sizes allow the similarity.
+    """Edges (x, y) that connect all documents whose prefixes share enough n-grams and whose sizes allow the similarity.
 
-    Along a token's documents by size, a run ends where the next size is too large for the last; every document is
-    linked to the first of its run, so edges grow with the tokens, not with their squares.
+    Pairs are counted over n-grams of few documents (``PAIRED``). Of the n-grams that a pair shares, the others are at
+    most as many as either document has of those, h. So a pair that shares enough either has enough counted ones less h,
+    or both documents have enough of the others; for those, along an n-gram's documents by size, every document is
+    linked to the first of its run, and a run ends where the next size is too large for the last. Edges grow with the
+    tokens, not with their squares.
     """
     by_size = Window.partitionBy("token").orderBy("size", "doc_id")
+    counted = tokens.withColumn("c", F.count("*").over(Window.partitionBy("token")))
+    earlier = [F.struct(F.lag("doc_id", k).over(by_size).alias("doc_id"), F.lag("size", k).over(by_size).alias("size")) for k in range(1, PAIRED)]
+    near = F.filter(F.array(*earlier), lambda e: e["doc_id"].isNotNull() & (e["size"] * 100 >= F.col("size") * percent))
+    shared = materialize(counted.withColumn("near", F.when(F.col("c") <= PAIRED, near)).where("c > 1"), "ngram-tokens")
+
+    many = shared.where(F.col("c") > PAIRED)
+    held = many.groupBy("doc_id").agg(F.count("*").alias("h"))
+    pairs = shared.where(F.col("c") <= PAIRED).select("doc_id", "size", F.explode("near").alias("e")).where("doc_id != e.doc_id")
+    pairs = pairs.select(F.col("doc_id").alias("x"), F.col("e.doc_id").alias("y"), F.col("e.size").alias("size")).groupBy("x", "y", "size").agg(F.count("*").alias("s"))
+    of = [held.select(F.col("doc_id").alias(k), F.col("h").alias(f"h_{k}")) for k in ("x", "y")]
+    counts = pairs.join(of[0], "x", "left").join(of[1], "y", "left")
+    rest = F.least(*(F.coalesce(f"h_{k}", F.lit(0)) for k in ("x", "y")))
+    linked = counts.where(F.col("s") >= least_shared(F.col("size")) - rest).select("x", "y")
+
+    smallest = F.floor(F.col("size") * percent / 100)
+    crowded = many.join(held, "doc_id").where(F.col("h") >= least_shared(smallest)).select("token", "doc_id", "size")
     last = F.lag("size").over(by_size)
-    opened = tokens.withColumn("opens", last.isNull() | (last * 100 < F.col("size") * percent))
+    opened = crowded.withColumn("opens", last.isNull() | (last * 100 < F.col("size") * percent))
     first = F.last(F.when(F.col("opens"), F.col("doc_id")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
-    return opened.withColumn("first", first).where("doc_id != first").select("doc_id", "first").distinct()
+    runs = opened.withColumn("first", first).where("doc_id != first").select(F.col("doc_id").alias("x"), F.col("first").alias("y"))
+    return linked.union(runs).distinct()
 
 
 def join_groups(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -351,8 +381,8 @@ def components_of(source: DataFrame, n: int, percent: int) -> DataFrame:
     # From here on a class stands for all its documents.
     class_of = members.select("doc_id", "class_id")
     edges = candidate_edges(prefix_tokens(source, n, percent, frequent), percent)
-    edges = edges.join(class_of, "doc_id").select(F.col("class_id").alias("x"), "first")
-    edges = edges.join(class_of, edges["first"] == class_of.doc_id).select("x", F.col("class_id").alias("y"))
+    edges = edges.join(class_of, edges.x == class_of.doc_id).select(F.col("class_id").alias("a"), "y")
+    edges = edges.join(class_of, edges.y == class_of.doc_id).select("a", F.col("class_id").alias("b"))
     blocks = connected_components(edges)
     sized = blocks.join(members, blocks.node == members.doc_id).select("doc_id", F.col("root").alias("block"), "n_shingles")
     totals = sized.groupBy("block").agg(F.sum("n_shingles").alias("total")).select("block", F.ceil(F.col("total") / CHUNK).cast("int").alias("chunks"))

@@ -32,6 +32,8 @@ from .common import fresh_path, materialize, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 60
+#: Characters by which substrings are bounded.
+HEAD = 3
 #: Distinct words that a task holds before it passes them on, and words whose edges an aggregation keeps before it sorts.
 HELD_WORDS = 200_000
 HELD_GROUPS = 150_000
@@ -118,6 +120,14 @@ class PieceModel:
         chars = "[" + re.escape("".join(joint)) + "]"
         return re.compile(f"{MARK}+{chars}*|{chars}+|.", re.DOTALL)
 
+    def prefixes(self, spark: SparkSession) -> DataFrame:
+        """(prefix, longest): of every start of pieces of ``HEAD`` characters, the longest piece."""
+        longest: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) >= HEAD:
+                longest[p[:HEAD]] = max(longest.get(p[:HEAD], 0), len(p))
+        return spark.createDataFrame(list(longest.items()) or [("", 0)], "prefix string, longest int")
+
     def table(self, spark: SparkSession) -> DataFrame:
         """The piece table: as many rows as the vocabulary, which bounds its broadcast."""
         rank = {x: k for k, x in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
@@ -180,28 +190,52 @@ class PieceModel:
         return out
 
 
-def normalise(text: str) -> str:
-    return MARK + text.replace(" ", MARK) if text else ""
+#: In front of a key that is a word as it is; other keys lack their first mark, except that a line feed starts a word.
+LITERAL = "\x01"
+
+
+def word_keys(text: str, pattern: re.Pattern) -> list[str]:
+    """The words of a text in order, as keys (see ``word_of``); no piece crosses them."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or MARK in text or LITERAL in text:
+        found = pattern.findall(MARK + text.replace(" ", MARK))
+        return [w[1:] if w[0] == MARK and w[1:2] not in ("\n", LITERAL) else w if w[0] == "\n" else LITERAL + w for w in found]
+    # Single spaces: words are what stands between them, cut before line feeds.
+    first, *lines = text.split("\n")
+    out = first.split(" ")
+    for line in lines:
+        head, *rest = line.split(" ")
+        out.append("\n" + head)
+        out += rest
+    return out
+
+
+def word_of(key: str) -> str:
+    return key if key[:1] == "\n" else key[1:] if key[:1] == LITERAL else MARK + key
 
 
 def lattice(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
-    """(word, *keep, edges): the pieces that occur in each word, a character without a piece too.
+    """(key, *keep, word, edges): the pieces that occur in each word, a character without a piece too.
 
     For merge models an edge is a long that sorts by score, start and size: rank << 32 | start << 26 | size << 20 | id + 1,
     with 0 for no piece. For unigram models it is (start, size, score, id).
-    ``words`` has distinct words of up to ``LONGEST`` characters. It comes dealt by word, and the join to the piece
-    table is a broadcast, so the grouping needs no further exchange.
+    ``words`` has distinct keys, and words of up to ``LONGEST`` characters. It comes dealt by key, and the joins to the
+    piece table are broadcasts, so the grouping needs no further exchange.
     """
     table = F.broadcast(model.table(words.sparkSession))
     starts = words.withColumn("size", F.char_length("word")).select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"))
-    parts = starts.select("word", *keep, "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("size") - F.col("at")))).alias("n"))
+    # No substring is longer than the longest piece that starts as it does.
+    starts = starts.withColumn("prefix", F.substring("word", F.col("at") + 1, HEAD)).join(F.broadcast(model.prefixes(words.sparkSession)), "prefix", "left")
+    most = F.least(F.coalesce("longest", F.lit(HEAD - 1)), F.col("size") - F.col("at"))
+    parts = starts.select("key", "word", *keep, "at", F.explode(F.sequence(F.lit(1), most)).alias("n"))
     parts = parts.withColumn("piece", F.substring("word", F.col("at") + 1, F.col("n")))
     edges = parts.join(table, "piece", "left").where("id is not null or n = 1")
     edge = F.struct("at", "n", "score", "id")
     if model.algorithm == BPE:
         place = _shift(F.col("at").cast("long"), 26).bitwiseOR(_shift(F.col("n").cast("long"), 20))
         edge = _shift(F.coalesce("rank", F.lit(0).cast("long")), 32).bitwiseOR(place).bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))
-    return edges.groupBy("word").agg(F.collect_list(edge).alias("edges"), *[F.first(c).alias(c) for c in keep])
+    return edges.groupBy("key").agg(F.collect_list(edge).alias("edges"), *[F.first(c).alias(c) for c in ["word", *keep]])
 
 
 def _shift(x: Column, by: Column | int) -> Column:
@@ -256,7 +290,7 @@ def viterbi_fold(edges: Column, low: float, finish: Callable[[Column], Column])
 
 
 def encode_words(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
-    """(word, *keep, ids) of distinct words of up to ``LONGEST`` characters."""
+    """(key, *keep, ids) of distinct keys, for words of up to ``LONGEST`` characters."""
     found = lattice(words, model, keep)
     edges = F.col("edges")
 
@@ -280,41 +314,44 @@ def encode_words(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFr
         return F.flatten(F.transform(F.array_sort(parts), of))
 
     ids = merge_fold(edges, finish) if model.algorithm == BPE else viterbi_fold(edges, min(model.scores) - 10.0, finish)
-    return found.select("word", *keep, ids.alias("ids"))
+    return found.select("key", *keep, ids.alias("ids"))
 
 
 def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, file) of the words up to ``LONGEST`` characters of each input file, distinct within a task."""
+    """(word, file) of the keys of words up to ``LONGEST`` characters of each input file, distinct within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = model.word_pattern().findall
+        pattern = model.word_pattern()
         seen: dict[int, set] = {}
 
-        def rows(file: int, words: set) -> pa.RecordBatch:
-            fit = [w for w in words if len(w) <= LONGEST]
-            return pa.RecordBatch.from_arrays([pa.array(fit, pa.string()), pa.array(np.full(len(fit), file))], ["word", "file"])
+        def rows(file: int, keys: set) -> pa.RecordBatch:
+            fit = [k for k in keys if len(k) < LONGEST]
+            return pa.RecordBatch.from_arrays([pa.array(fit, pa.string()), pa.array(np.full(len(fit), file, np.int32))], ["key", "file"])
 
         for batch in slices(batches, "text"):
             for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = seen.setdefault(file, set())
-                words.update(find(normalise(text or "")))
-                if len(words) > HELD_WORDS:
+                keys = seen.setdefault(file, set())
+                keys.update(word_keys(text, pattern))
+                if len(keys) > HELD_WORDS:
                     yield rows(file, seen.pop(file))
-        for file, words in seen.items():
-            yield rows(file, words)
+        for file, keys in seen.items():
+            yield rows(file, keys)
 
-    return docs.select("file", "text").mapInArrow(run, "word string, file long")
+    return docs.select("file", "text").mapInArrow(run, "key string, file int")
 
 
 def file_dictionary(docs: DataFrame, model: PieceModel) -> str:
-    """Write (word, ids) for each input file into a folder of its own; returns where."""
+    """Write (key, ids) for each input file into a folder of its own; returns where."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HELD_GROUPS))
     pairs = file_words(docs, model)
-    words = pairs.groupBy("word").agg(F.collect_set("file").alias("files"))
-    rows = encode_words(words, model, ["files"]).select("word", "ids", F.explode("files").alias("file"))
+    first = F.substring("key", 1, 1)
+    word = F.when(first == "\n", F.col("key")).when(first == LITERAL, F.substring("key", 2, LONGEST + 1)).otherwise(F.concat(F.lit(MARK), "key"))
+    words = pairs.groupBy("key").agg(F.collect_set("file").alias("files")).withColumn("word", word)
+    small = "smallint" if len(model.pieces) < 1 << 15 else "int"
+    rows = encode_words(words, model, ["files"]).select("key", F.col("ids").cast(f"array<{small}>").alias("ids"), F.explode("files").alias("file"))
     where = fresh_path(spark, "pieces")
-    rows.hint("rebalance", "file").write.partitionBy("file").parquet(where)
+    rows.hint("rebalance", "file").write.partitionBy("file").option("compression", "zstd").parquet(where)
     return where
 
 
@@ -329,7 +366,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
     if not rows.inputFiles():
         rows = materialize(rows, "piece-texts")
-    where = F.xxhash64(F.input_file_name())
+    where = F.hash(F.input_file_name())
     rows = rows.withColumn("__file", where)
     folder = file_dictionary(rows.select(F.col("__file").alias("file"), F.col(f"`{text}`").cast("string").alias("text")), model)
     uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
@@ -337,7 +374,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(uri)
-        find = model.word_pattern().findall
+        pattern = model.word_pattern()
         file, words, found = None, None, None
         for batch in slices(batches, text):
             files = batch.column("__file").to_pylist()
@@ -345,11 +382,11 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
                 if files[a] != file:
                     file = files[a]
                     info = store.get_file_info(f"{path}/file={file}")
-                    table = pq.read_table(f"{path}/file={file}", filesystem=store, columns=["word", "ids"], partitioning=None) if info.type == fs.FileType.Directory else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-                    words, found = table["word"].combine_chunks(), table["ids"].combine_chunks()
+                    table = pq.read_table(f"{path}/file={file}", filesystem=store, columns=["key", "ids"], partitioning=None) if info.type == fs.FileType.Directory else pa.table({"key": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int16()))})
+                    words, found = table["key"].combine_chunks(), table["ids"].combine_chunks()
                     words, found = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (words, found))
                 part = batch.slice(a, b - a)
-                split = [find(normalise(t or "")) for t in part.column(text).cast(pa.string()).to_pylist()]
+                split = [word_keys(t, pattern) for t in part.column(text).cast(pa.string()).to_pylist()]
                 flat = pa.array([w for s in split for w in s], pa.string())
                 codes = flat.dictionary_encode()
                 known = pc.index_in(codes.dictionary, value_set=words)
@@ -358,8 +395,8 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
                 if len(missing):
                     values = lists.to_pylist()
                     for i in missing.tolist():
-                        values[i] = model.encode_word(codes.dictionary[i].as_py())
-                    lists = pa.array(values, pa.list_(pa.int32()))
+                        values[i] = model.encode_word(word_of(codes.dictionary[i].as_py()))
+                    lists = pa.array(values, found.type)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _gather(lists, codes.indices.to_numpy(zero_copy_only=False), [len(s) for s in split])], [*keep, ids])
 
     return rows.mapInArrow(run, schema)
