@@ -96,7 +96,8 @@ def pair_codes(bins: np.ndarray, power: np.ndarray, owner: np.ndarray) -> tuple[
     """Codes of pairs of peaks and the owner of each: frame << 32 | first bin << 22 | second bin << 12 | distance.
 
     A peak is a band's power that exceeds the frame before and is no less than the frame after (of the same owner).
-    Each is paired with its next ``FAN_OUT`` peaks in order of frame and band that lie 1 to ``REACH`` frames later.
+    Each is paired with its next ``FAN_OUT`` peaks in order of frame and band that lie 1 to ``REACH`` frames later; one
+    without any such peak is stored alone, with 0 for the second bin and the distance.
     """
     n = len(owner)
     first = np.searchsorted(owner, owner, side="left") if n else owner
@@ -119,8 +120,10 @@ def pair_codes(bins: np.ndarray, power: np.ndarray, owner: np.ndarray) -> tuple[
         codes.append(when[i] << 32 | f[i] << 22 | f[i + step] << 12 | apart[ok])
         owners.append(who[i])
         order.append(i * 16 + step)
-    if not codes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lone = np.flatnonzero(seen == 0)
+    codes.append(when[lone] << 32 | f[lone] << 22)
+    owners.append(who[lone])
+    order.append(lone * 16)
     by = np.argsort(np.concatenate(order), kind="stable")
     return np.concatenate(codes)[by], np.concatenate(owners)[by]
 
