@@ -37,6 +37,8 @@ HEAD = 3
 #: Distinct words that a task holds before it passes them on, and words whose edges an aggregation keeps before it sorts.
 HELD_WORDS = 200_000
 HELD_GROUPS = 150_000
+#: Words that the second pass looks up at once.
+LOOKED_UP = 3_000_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -134,6 +136,25 @@ class PieceModel:
         rows = [(p, i, float(self.scores[i]), rank[self.scores[i]]) for p, i in self.ids.items()]
         return spark.createDataFrame(rows, "piece string, id int, score double, rank long")
 
+    def resolve(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids for codes: those of characters' pieces, or of their bytes where they have none; and the new lengths of the lists."""
+        alone = codes < 0
+        kinds, inverse = np.unique(codes[alone], return_inverse=True)
+        lists = [[self.ids[c]] if (c := chr(-int(k) - 1)) in self.ids else self.fallback(c) for k in kinds]
+        size = np.ones(len(codes), np.int64)
+        size[alone] = np.array([len(x) for x in lists], np.int64)[inverse] if len(kinds) else 0
+        out = np.repeat(codes, size)
+        stop = np.cumsum(size)
+        spots = np.flatnonzero(alone)
+        if len(kinds):
+            first = np.array([x[0] for x in lists])[inverse]
+            out[stop[spots] - size[spots]] = first
+            for at, k in zip(spots[size[spots] > 1].tolist(), inverse[size[spots] > 1].tolist(), strict=True):
+                out[stop[at] - size[at] : stop[at]] = lists[k]
+        total = np.concatenate([[0], stop])
+        edge = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        return out, np.diff(total[edge])
+
     def fallback(self, text: str) -> list[int]:
         return [self.first_byte + b for b in text.encode()]
 
@@ -215,27 +236,29 @@ def word_of(key: str) -> str:
     return key if key[:1] == "\n" else key[1:] if key[:1] == LITERAL else MARK + key
 
 
-def lattice(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
-    """(key, *keep, word, edges): the pieces that occur in each word, a character without a piece too.
+def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
+    """(key, word, edges): the pieces of two characters and more that occur in each word, null where none does.
 
-    For merge models an edge is a long that sorts by score, start and size: rank << 32 | start << 26 | size << 20 | id + 1,
-    with 0 for no piece. For unigram models it is (start, size, score, id).
-    ``words`` has distinct keys, and words of up to ``LONGEST`` characters. It comes dealt by key, and the joins to the
-    piece table are broadcasts, so the grouping needs no further exchange.
+    For merge models an edge is a long that sorts by score, start and size: rank << 32 | start << 26 | size << 20 | id.
+    For unigram models it is (start, size, score, id), and has single characters too, with a null id where there is no
+    piece. ``words`` has distinct keys, and words of up to ``LONGEST`` characters. It comes dealt by key, and the joins
+    to the piece table are broadcasts, so the grouping needs no further exchange.
     """
+    low = 2 if model.algorithm == BPE else 1
     table = F.broadcast(model.table(words.sparkSession))
-    starts = words.withColumn("size", F.char_length("word")).select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"))
+    starts = words.withColumn("size", F.char_length("word")).select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - low, F.lit(0)))).alias("at"))
     # No substring is longer than the longest piece that starts as it does.
     starts = starts.withColumn("prefix", F.substring("word", F.col("at") + 1, HEAD)).join(F.broadcast(model.prefixes(words.sparkSession)), "prefix", "left")
     most = F.least(F.coalesce("longest", F.lit(HEAD - 1)), F.col("size") - F.col("at"))
-    parts = starts.select("key", "word", *keep, "at", F.explode(F.sequence(F.lit(1), most)).alias("n"))
+    parts = starts.select("key", "word", "at", F.explode(F.sequence(F.lit(low), F.greatest(most, F.lit(low)))).alias("n"))
     parts = parts.withColumn("piece", F.substring("word", F.col("at") + 1, F.col("n")))
-    edges = parts.join(table, "piece", "left").where("id is not null or n = 1")
-    edge = F.struct("at", "n", "score", "id")
     if model.algorithm == BPE:
         place = _shift(F.col("at").cast("long"), 26).bitwiseOR(_shift(F.col("n").cast("long"), 20))
-        edge = _shift(F.coalesce("rank", F.lit(0).cast("long")), 32).bitwiseOR(place).bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))
-    return edges.groupBy("key").agg(F.collect_list(edge).alias("edges"), *[F.first(c).alias(c) for c in ["word", *keep]])
+        edges = parts.join(table, "piece").select("key", _shift(F.col("rank"), 32).bitwiseOR(place).bitwiseOR(F.col("id").cast("long")).alias("edge"))
+    else:
+        edges = parts.join(table, "piece", "left").where("id is not null or n = 1").select("key", F.struct("at", "n", "score", "id").alias("edge"))
+    found = edges.groupBy("key").agg(F.collect_list("edge").alias("edges"))
+    return words.join(found.hint("merge"), "key", "left")
 
 
 def _shift(x: Column, by: Column | int) -> Column:
@@ -243,13 +266,12 @@ def _shift(x: Column, by: Column | int) -> Column:
 
 
 def _unpack(e: Column) -> tuple[Column, Column, Column]:
-    """(start, size, id or null) of an edge of a merge model."""
+    """(start, size, id) of an edge of a merge model."""
 
     def bits(by: int, mask: int) -> Column:
         return F.shiftright(e, by).bitwiseAND(F.lit(mask).cast("long")).cast("int")
 
-    code = bits(0, (1 << 20) - 1)
-    return bits(26, 63), bits(20, 63), F.when(code > 0, code - 1)
+    return bits(26, 63), bits(20, 63), bits(0, (1 << 20) - 1)
 
 
 def _span(at: Column, n: Column) -> Column:
@@ -289,32 +311,39 @@ def viterbi_fold(edges: Column, low: float, finish: Callable[[Column], Column])
     return F.aggregate(order, zero, step, lambda best: finish(F.element_at(best, F.array_max(F.map_keys(best)))["cut"]))
 
 
-def encode_words(words: DataFrame, model: PieceModel, keep: list[str]) -> DataFrame:
-    """(key, *keep, ids) of distinct keys, for words of up to ``LONGEST`` characters."""
-    found = lattice(words, model, keep)
-    edges = F.col("edges")
+def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
+    """(key, codes) of distinct keys, for words of up to ``LONGEST`` characters.
 
-    def of(e: Column) -> Column:
-        # A character without a piece becomes its UTF-8 bytes.
-        raw = F.hex(F.encode(F.substring("word", e["at"] + 1, F.lit(1)), "UTF-8"))
-        codes = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + model.first_byte)
-        return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(codes)
+    A code is a piece's id, or for a character that stands alone the negative of its code point less one
+    (see ``PieceModel.resolve``).
+    """
+    found = lattice(words, model)
+    kind = "array<bigint>" if model.algorithm == BPE else "array<struct<at:int,n:int,score:double,id:int>>"
+    edges = F.coalesce("edges", F.array().cast(kind))
 
     # The segmentation is a variable of the fold's last step. As a column of its own, the optimizer could put the fold
     # in its place, once for every edge.
     def finish(cut: Column) -> Column:
+        one = F.lit(1).cast("long")
+
         def used(at: Column, n: Column) -> Column:
-            ends = _shift(F.lit(1).cast("long"), at).bitwiseOR(_shift(F.lit(1).cast("long"), at + n))
+            ends = _shift(one, at).bitwiseOR(_shift(one, at + n))
             return cut.bitwiseAND(_span(at, n).bitwiseOR(ends)) == ends
 
         if model.algorithm == BPE:
-            parts = F.transform(F.filter(edges, lambda e: used(*_unpack(e)[:2])), lambda e: F.struct(*(x.alias(k) for x, k in zip(_unpack(e), ("at", "n", "id"), strict=True))))
+            long = F.transform(F.filter(edges, lambda e: used(*_unpack(e)[:2])), lambda e: _pair(*_unpack(e)[::2]))
         else:
-            parts = F.transform(F.filter(edges, lambda e: used(e["at"], e["n"])), lambda e: F.struct(e["at"].alias("at"), e["n"].alias("n"), e["id"].alias("id")))
-        return F.flatten(F.transform(F.array_sort(parts), of))
+            long = F.transform(F.filter(edges, lambda e: (e["n"] > 1) & used(e["at"], e["n"])), lambda e: _pair(e["at"], e["id"]))
+        alone = F.filter(F.sequence(F.lit(0), F.char_length("word") - 1), lambda i: cut.bitwiseAND(_shift(F.lit(3).cast("long"), i)) == _shift(F.lit(3).cast("long"), i))
+        single = F.transform(alone, lambda i: _pair(i, -F.ascii(F.substring("word", i + 1, F.lit(1))) - 1))
+        return F.transform(F.array_sort(F.concat(long, single)), lambda x: x["code"])
+
+    codes = merge_fold(edges, finish) if model.algorithm == BPE else viterbi_fold(edges, min(model.scores) - 10.0, finish)
+    return found.select("key", codes.alias("codes"))
 
-    ids = merge_fold(edges, finish) if model.algorithm == BPE else viterbi_fold(edges, min(model.scores) - 10.0, finish)
-    return found.select("key", *keep, ids.alias("ids"))
+
+def _pair(at: Column, code: Column) -> Column:
+    return F.struct(at.alias("at"), code.alias("code"))
 
 
 def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -341,15 +370,15 @@ def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
 
 
 def file_dictionary(docs: DataFrame, model: PieceModel) -> str:
-    """Write (key, ids) for each input file into a folder of its own; returns where."""
+    """Write (key, codes) for each input file into a folder of its own; returns where."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HELD_GROUPS))
-    pairs = file_words(docs, model)
+    # One exchange by key serves the distinct words, their lattices and the join back to the files.
+    pairs = file_words(docs, model).repartition("key")
     first = F.substring("key", 1, 1)
     word = F.when(first == "\n", F.col("key")).when(first == LITERAL, F.substring("key", 2, LONGEST + 1)).otherwise(F.concat(F.lit(MARK), "key"))
-    words = pairs.groupBy("key").agg(F.collect_set("file").alias("files")).withColumn("word", word)
-    small = "smallint" if len(model.pieces) < 1 << 15 else "int"
-    rows = encode_words(words, model, ["files"]).select("key", F.col("ids").cast(f"array<{small}>").alias("ids"), F.explode("files").alias("file"))
+    words = pairs.select("key").distinct().withColumn("word", word)
+    rows = pairs.join(encode_words(words, model).hint("merge"), "key").select("key", "codes", "file")
     where = fresh_path(spark, "pieces")
     rows.hint("rebalance", "file").write.partitionBy("file").option("compression", "zstd").parquet(where)
     return where
@@ -375,33 +404,59 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(uri)
         pattern = model.word_pattern()
-        file, words, found = None, None, None
+        file, words, found = None, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+        held: list[tuple[pa.RecordBatch, pa.Array, list[int]]] = []
+
+        def look_up() -> Iterator[pa.RecordBatch]:
+            """Look the distinct words of all held parts up at once, since each look-up hashes the file's dictionary."""
+            coded = pa.chunked_array([c for _, c, _ in held]).unify_dictionaries()
+            asked = coded.chunk(0).dictionary
+            known = pc.index_in(asked, value_set=words)
+            lists = found.take(known)
+            missing = np.flatnonzero(np.asarray(known.is_null()))
+            if len(missing):
+                values = lists.to_pylist()
+                for i in missing.tolist():
+                    values[i] = model.encode_word(word_of(asked[i].as_py()))
+                lists = pa.array(values, pa.list_(pa.int32()))
+            values, size = model.resolve(np.asarray(lists.flatten()).astype(np.int64), np.diff(np.asarray(lists.offsets)))
+            at = np.concatenate([[0], np.cumsum(size)])
+            for (part, _, counts), codes in zip(held, coded.chunks, strict=True):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _gather(values, at, np.asarray(codes.indices), counts)], [*keep, ids])
+            held.clear()
+
+        size = 0
         for batch in slices(batches, text):
             files = batch.column("__file").to_pylist()
             for a, b in _runs(files):
                 if files[a] != file:
-                    file = files[a]
-                    info = store.get_file_info(f"{path}/file={file}")
-                    table = pq.read_table(f"{path}/file={file}", filesystem=store, columns=["key", "ids"], partitioning=None) if info.type == fs.FileType.Directory else pa.table({"key": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int16()))})
-                    words, found = table["key"].combine_chunks(), table["ids"].combine_chunks()
-                    words, found = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (words, found))
+                    if held:
+                        yield from look_up()
+                    file, size = files[a], 0
+                    if store.get_file_info(f"{path}/file={file}").type == fs.FileType.Directory:
+                        table = pq.read_table(f"{path}/file={file}", filesystem=store, columns=["key", "codes"], partitioning=None)
+                        words, found = (_whole(table[c]) for c in ("key", "codes"))
+                    else:
+                        words, found = words[:0], found[:0]
                 part = batch.slice(a, b - a)
                 split = [word_keys(t, pattern) for t in part.column(text).cast(pa.string()).to_pylist()]
                 flat = pa.array([w for s in split for w in s], pa.string())
-                codes = flat.dictionary_encode()
-                known = pc.index_in(codes.dictionary, value_set=words)
-                lists = found.take(known)
-                missing = np.flatnonzero(np.asarray(known.is_null()))
-                if len(missing):
-                    values = lists.to_pylist()
-                    for i in missing.tolist():
-                        values[i] = model.encode_word(word_of(codes.dictionary[i].as_py()))
-                    lists = pa.array(values, found.type)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _gather(lists, codes.indices.to_numpy(zero_copy_only=False), [len(s) for s in split])], [*keep, ids])
+                held.append((part, flat.dictionary_encode(), [len(s) for s in split]))
+                size += len(flat)
+                if size >= LOOKED_UP:
+                    yield from look_up()
+                    size = 0
+        if held:
+            yield from look_up()
 
     return rows.mapInArrow(run, schema)
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    one = column.combine_chunks()
+    return one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
+
+
 def _runs(values: list) -> Iterator[tuple[int, int]]:
     start = 0
     for i in range(1, len(values) + 1):
@@ -410,14 +465,11 @@ def _runs(values: list) -> Iterator[tuple[int, int]]:
             start = i
 
 
-def _gather(lists: pa.ListArray, index: np.ndarray, counts: list[int]) -> pa.ListArray:
-    """The concatenated lists at ``index``, in groups of ``counts``."""
-    at = np.asarray(lists.offsets).astype(np.int64)
-    values = np.asarray(lists.values)
+def _gather(values: np.ndarray, at: np.ndarray, index: np.ndarray, counts: list[int]) -> pa.ListArray:
+    """The concatenated lists at ``index`` (list i is values[at[i]:at[i + 1]]), in groups of ``counts``."""
     size = np.diff(at)[index]
     stop = np.cumsum(size)
-    total = int(stop[-1]) if len(stop) else 0
-    pick = np.arange(total) - np.repeat(stop - size, size) + np.repeat(at[:-1][index], size)
+    pick = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(at[:-1][index] - (stop - size), size)
     edge = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
     return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values[pick].astype(np.int32)))
 
