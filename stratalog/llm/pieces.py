@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, slices
+from .common import Prefixes, fresh_path, materialize, random_words, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -35,10 +35,9 @@ LONGEST = 60
 #: Characters by which substrings are bounded.
 HEAD = 3
 #: Distinct words that a task holds before it passes them on, and words whose edges an aggregation keeps before it sorts.
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
 HELD_GROUPS = 150_000
-#: Words that the second pass looks up at once.
-LOOKED_UP = 3_000_000
+_VALUES, _BASE = random_words(256, 31), int(random_words(1, 32)[0])
 UNIGRAM, BPE = 1, 2
 
 
@@ -404,54 +403,56 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(uri)
         pattern = model.word_pattern()
-        file, words, found = None, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
-        held: list[tuple[pa.RecordBatch, pa.Array, list[int]]] = []
-
-        def look_up() -> Iterator[pa.RecordBatch]:
-            """Look the distinct words of all held parts up at once, since each look-up hashes the file's dictionary."""
-            coded = pa.chunked_array([c for _, c, _ in held]).unify_dictionaries()
-            asked = coded.chunk(0).dictionary
-            known = pc.index_in(asked, value_set=words)
-            lists = found.take(known)
-            missing = np.flatnonzero(np.asarray(known.is_null()))
-            if len(missing):
-                values = lists.to_pylist()
-                for i in missing.tolist():
-                    values[i] = model.encode_word(word_of(asked[i].as_py()))
-                lists = pa.array(values, pa.list_(pa.int32()))
-            values, size = model.resolve(np.asarray(lists.flatten()).astype(np.int64), np.diff(np.asarray(lists.offsets)))
-            at = np.concatenate([[0], np.cumsum(size)])
-            for (part, _, counts), codes in zip(held, coded.chunks, strict=True):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _gather(values, at, np.asarray(codes.indices), counts)], [*keep, ids])
-            held.clear()
-
-        size = 0
+        file, dictionary = None, None
         for batch in slices(batches, text):
             files = batch.column("__file").to_pylist()
             for a, b in _runs(files):
                 if files[a] != file:
-                    if held:
-                        yield from look_up()
-                    file, size = files[a], 0
+                    file, dictionary = files[a], None
                     if store.get_file_info(f"{path}/file={file}").type == fs.FileType.Directory:
-                        table = pq.read_table(f"{path}/file={file}", filesystem=store, columns=["key", "codes"], partitioning=None)
-                        words, found = (_whole(table[c]) for c in ("key", "codes"))
+                        table = pq.read_table(f"{path}/file={file}", filesystem=store, columns=["key", "codes"], partitioning=None, use_threads=False)
+                        dictionary = _Dictionary(_whole(table["key"]), _whole(table["codes"]))
                     else:
-                        words, found = words[:0], found[:0]
+                        dictionary = _Dictionary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
                 part = batch.slice(a, b - a)
                 split = [word_keys(t, pattern) for t in part.column(text).cast(pa.string()).to_pylist()]
-                flat = pa.array([w for s in split for w in s], pa.string())
-                held.append((part, flat.dictionary_encode(), [len(s) for s in split]))
-                size += len(flat)
-                if size >= LOOKED_UP:
-                    yield from look_up()
-                    size = 0
-        if held:
-            yield from look_up()
+                coded = pa.array([w for s in split for w in s], pa.string()).dictionary_encode()
+                lists = dictionary.find(coded.dictionary, model)
+                values, size = model.resolve(np.asarray(lists.flatten()).astype(np.int64), np.diff(np.asarray(lists.offsets)))
+                at = np.concatenate([[0], np.cumsum(size)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _gather(values, at, np.asarray(coded.indices), [len(s) for s in split])], [*keep, ids])
 
     return rows.mapInArrow(run, schema)
 
 
+class _Dictionary:
+    """The words of a file, found by 64-bit hashes and then compared."""
+
+    def __init__(self, words: pa.Array, codes: pa.ListArray):
+        h = self._hashes(words)
+        order = np.argsort(h)
+        self.hashes, self.words, self.codes = h[order], words.take(pa.array(order)), codes.take(pa.array(order))
+
+    @staticmethod
+    def _hashes(words: pa.Array) -> np.ndarray:
+        data, at = utf8(words)
+        return Prefixes(data, _VALUES, _BASE).of(at[:-1], at[1:])
+
+    def find(self, words: pa.Array, model: PieceModel) -> pa.ListArray:
+        """The codes of each word; words that are not here are encoded."""
+        if not len(self.words):
+            return pa.array([model.encode_word(word_of(w)) for w in words.to_pylist()], pa.list_(pa.int32()))
+        spot = pa.array(np.minimum(np.searchsorted(self.hashes, self._hashes(words)), len(self.hashes) - 1))
+        lists = self.codes.take(spot)
+        missing = np.flatnonzero(~np.asarray(pc.equal(self.words.take(spot), words)))
+        if len(missing):
+            values = lists.to_pylist()
+            for i in missing.tolist():
+                values[i] = model.encode_word(word_of(words[i].as_py()))
+            lists = pa.array(values, pa.list_(pa.int32()))
+        return lists
+
+
 def _whole(column: pa.ChunkedArray) -> pa.Array:
     one = column.combine_chunks()
     return one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
