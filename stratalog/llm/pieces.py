@@ -236,7 +236,7 @@ def word_of(key: str) -> str:
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(key, word, edges): the pieces of two characters and more that occur in each word, null where none does.
+    """(key, word, edges): the pieces of two characters and more that occur in each word.
 
     For merge models an edge is a long that sorts by score, start and size: rank << 32 | start << 26 | size << 20 | id.
     For unigram models it is (start, size, score, id), and has single characters too, with a null id where there is no
@@ -252,12 +252,14 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     parts = starts.select("key", "word", "at", F.explode(F.sequence(F.lit(low), F.greatest(most, F.lit(low)))).alias("n"))
     parts = parts.withColumn("piece", F.substring("word", F.col("at") + 1, F.col("n")))
     if model.algorithm == BPE:
+        # The first substring stays without a piece, so that every word has a row; its null is no edge.
         place = _shift(F.col("at").cast("long"), 26).bitwiseOR(_shift(F.col("n").cast("long"), 20))
-        edges = parts.join(table, "piece").select("key", _shift(F.col("rank"), 32).bitwiseOR(place).bitwiseOR(F.col("id").cast("long")).alias("edge"))
+        found = parts.join(table, "piece", "left").where("id is not null or (at = 0 and n = 2)")
+        edge = _shift(F.col("rank"), 32).bitwiseOR(place).bitwiseOR(F.col("id").cast("long"))
     else:
-        edges = parts.join(table, "piece", "left").where("id is not null or n = 1").select("key", F.struct("at", "n", "score", "id").alias("edge"))
-    found = edges.groupBy("key").agg(F.collect_list("edge").alias("edges"))
-    return words.join(found.hint("merge"), "key", "left")
+        found = parts.join(table, "piece", "left").where("id is not null or n = 1")
+        edge = F.struct("at", "n", "score", "id")
+    return found.select("key", "word", edge.alias("edge")).groupBy("key").agg(F.first("word").alias("word"), F.collect_list("edge").alias("edges"))
 
 
 def _shift(x: Column, by: Column | int) -> Column:
@@ -317,8 +319,7 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     (see ``PieceModel.resolve``).
     """
     found = lattice(words, model)
-    kind = "array<bigint>" if model.algorithm == BPE else "array<struct<at:int,n:int,score:double,id:int>>"
-    edges = F.coalesce("edges", F.array().cast(kind))
+    edges = F.col("edges")
 
     # The segmentation is a variable of the fold's last step. As a column of its own, the optimizer could put the fold
     # in its place, once for every edge.
@@ -372,11 +373,12 @@ def file_dictionary(docs: DataFrame, model: PieceModel) -> str:
     """Write (key, codes) for each input file into a folder of its own; returns where."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HELD_GROUPS))
-    # One exchange by key serves the distinct words, their lattices and the join back to the files.
+    # One exchange by key serves the distinct words, their lattices and the join back to the files: as both sides of the
+    # join read the same columns of it (hence ``some``), Spark runs it once.
     pairs = file_words(docs, model).repartition("key")
     first = F.substring("key", 1, 1)
     word = F.when(first == "\n", F.col("key")).when(first == LITERAL, F.substring("key", 2, LONGEST + 1)).otherwise(F.concat(F.lit(MARK), "key"))
-    words = pairs.select("key").distinct().withColumn("word", word)
+    words = pairs.groupBy("key").agg(F.max("file").alias("some")).where("some is not null").withColumn("word", word)
     rows = pairs.join(encode_words(words, model).hint("merge"), "key").select("key", "codes", "file")
     where = fresh_path(spark, "pieces")
     rows.hint("rebalance", "file").write.partitionBy("file").option("compression", "zstd").parquet(where)
