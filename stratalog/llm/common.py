@@ -122,7 +122,7 @@ class Prefixes:
         if base not in cls._powers or len(cls._powers[base][0]) < n:
             size = max(n, SLICE_BYTES + 1)
             made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64))]
-            if size > 16 * SLICE_BYTES:
+            if size > SLICE_BYTES + 1:  # a long text: not worth keeping
                 return made[0], made[1]
             cls._powers[base] = (made[0], made[1])
         return cls._powers[base]

@@ -37,6 +37,8 @@ HEAD = 3
 #: Distinct words that a task holds before it passes them on, and words whose edges an aggregation keeps before it sorts.
 HELD_WORDS = 100_000
 HELD_GROUPS = 150_000
+#: Words that are hashed at once.
+HASHED = 30_000
 _VALUES, _BASE = random_words(256, 31), int(random_words(1, 32)[0])
 UNIGRAM, BPE = 1, 2
 
@@ -437,8 +439,11 @@ class _Dictionary:
 
     @staticmethod
     def _hashes(words: pa.Array) -> np.ndarray:
-        data, at = utf8(words)
-        return Prefixes(data, _VALUES, _BASE).of(at[:-1], at[1:])
+        parts = [np.zeros(0, np.uint64)]
+        for start in range(0, len(words), HASHED):
+            data, at = utf8(words.slice(start, HASHED))
+            parts.append(Prefixes(data, _VALUES, _BASE).of(at[:-1], at[1:]))
+        return np.concatenate(parts)
 
     def find(self, words: pa.Array, model: PieceModel) -> pa.ListArray:
         """The codes of each word; words that are not here are encoded."""
