@@ -52,6 +52,21 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n, list(sh ORDER BY sh) AS k FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n u ON x = u.doc_id JOIN n v ON y = v.doc_id WHERE 100 * o >= 85 * (u.n + v.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT c.doc_id, e.y FROM c JOIN e ON c.root = e.x),
+r AS (SELECT doc_id, min(root) AS component_id FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k) AS class_id FROM n)
+SELECT r.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(class_id, r.doc_id) AS class_id, component_id FROM r LEFT JOIN k ON r.doc_id = k.doc_id
+"""
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = "<|im_end|><|im_start|>assistant ok"
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(mine).alias("text"))
@@ -70,6 +85,21 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP7_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS times FROM g) WHERE times > 1),
+o AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 400 OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS z FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o) GROUP BY doc_id, span),
+t AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a) + 1, 1) AS f, a - 1 AS l FROM s
+  UNION ALL SELECT d.doc_id, coalesce(m.z + 1, 1), octet_length(b) FROM d LEFT JOIN (SELECT doc_id, max(z) AS z FROM s GROUP BY doc_id) m ON d.doc_id = m.doc_id),
+p AS (SELECT k.doc_id, string_agg(CASE WHEN l >= f THEN hex(b[f:l]) ELSE '' END, '' ORDER BY f) AS kept FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id JOIN p ON d.doc_id = p.doc_id
+"""
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -106,4 +136,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tokens": op9_tokens,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_ngram_join": OP5_SQL, "op7_suffixes": OP7_SQL}
