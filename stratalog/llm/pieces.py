@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
+import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ HEAD = 3
 #: Distinct words that a task holds before it passes them on, and words whose edges an aggregation keeps before it sorts.
 HELD_WORDS = 100_000
 HELD_GROUPS = 150_000
-#: Words that are hashed at once.
+#: Words that a task packs at once, and words that are hashed at once.
+PACKED = 300_000
 HASHED = 30_000
 _VALUES, _BASE = random_words(256, 31), int(random_words(1, 32)[0])
 UNIGRAM, BPE = 1, 2
@@ -372,7 +374,7 @@ def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
 
 
 def file_dictionary(docs: DataFrame, model: PieceModel) -> str:
-    """Write (key, codes) for each input file into a folder of its own; returns where."""
+    """Write the words of each input file and their codes into a folder of its own, in packed blocks; returns where."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HELD_GROUPS))
     # One exchange by key serves the distinct words, their lattices and the join back to the files: as both sides of the
@@ -383,10 +385,45 @@ def file_dictionary(docs: DataFrame, model: PieceModel) -> str:
     words = pairs.groupBy("key").agg(F.max("file").alias("some")).where("some is not null").withColumn("word", word)
     rows = pairs.join(encode_words(words, model).hint("merge"), "key").select("key", "codes", "file")
     where = fresh_path(spark, "pieces")
-    rows.hint("rebalance", "file").write.partitionBy("file").option("compression", "zstd").parquet(where)
+    rows.mapInArrow(_pack, "file int, words binary").hint("rebalance", "file").write.partitionBy("file").parquet(where)
     return where
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, codes, file) as compressed Arrow blocks of (key, codes) of a file, which take a fraction of the rows' space."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    count = 0
+
+    def flush() -> pa.RecordBatch:
+        blocks = []
+        for parts in held.values():
+            sink = pa.BufferOutputStream()
+            whole = pa.Table.from_batches(parts).combine_chunks().sort_by("key")
+            with pa.ipc.new_stream(sink, whole.schema) as out:
+                out.write_table(whole)
+            blocks.append(zstandard.compress(sink.getvalue()))
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blocks, pa.binary())], ["file", "words"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        files = np.asarray(batch.column("file"))
+        for file in np.unique(files).tolist():
+            held.setdefault(file, []).append(batch.filter(pa.array(files == file)).select(["key", "codes"]))
+        count += batch.num_rows
+        if count >= PACKED:
+            yield flush()
+            count = 0
+    if held:
+        yield flush()
+
+
+def _unpack_words(blocks: pa.ChunkedArray) -> tuple[pa.Array, pa.Array]:
+    tables = [pa.ipc.open_stream(zstandard.decompress(b.as_py())).read_all() for b in blocks]
+    whole = pa.concat_tables(tables)
+    return _whole(whole["key"]), _whole(whole["codes"])
+
+
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``: the piece ids of the whole text, as the model's own rule gives them.
 
@@ -414,8 +451,8 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
                 if files[a] != file:
                     file, dictionary = files[a], None
                     if store.get_file_info(f"{path}/file={file}").type == fs.FileType.Directory:
-                        table = pq.read_table(f"{path}/file={file}", filesystem=store, columns=["key", "codes"], partitioning=None, use_threads=False)
-                        dictionary = _Dictionary(_whole(table["key"]), _whole(table["codes"]))
+                        table = pq.read_table(f"{path}/file={file}", filesystem=store, columns=["words"], partitioning=None, use_threads=False)
+                        dictionary = _Dictionary(*_unpack_words(table["words"]))
                     else:
                         dictionary = _Dictionary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
                 part = batch.slice(a, b - a)
