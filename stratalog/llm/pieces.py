@@ -358,7 +358,7 @@ def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
         seen: dict[int, set] = {}
 
         def rows(file: int, keys: set) -> pa.RecordBatch:
-            fit = [k for k in keys if len(k) < LONGEST]
+            fit = sorted(k for k in keys if len(k) < LONGEST)  # sorted keys take less room in the exchange
             return pa.RecordBatch.from_arrays([pa.array(fit, pa.string()), pa.array(np.full(len(fit), file, np.int32))], ["key", "file"])
 
         for batch in slices(batches, "text"):
@@ -390,26 +390,23 @@ def file_dictionary(docs: DataFrame, model: PieceModel) -> str:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, codes, file) as compressed Arrow blocks of (key, codes) of a file, which take a fraction of the rows' space."""
+    """(key, codes, file) as compressed blocks of a file's keys and codes, which take a fraction of the rows' space."""
+    pa.set_memory_pool(pa.system_memory_pool())
     held: dict[int, list[pa.RecordBatch]] = {}
     count = 0
 
     def flush() -> pa.RecordBatch:
-        blocks = []
-        for parts in held.values():
-            sink = pa.BufferOutputStream()
-            whole = pa.Table.from_batches(parts).combine_chunks().sort_by("key")
-            with pa.ipc.new_stream(sink, whole.schema) as out:
-                out.write_table(whole)
-            blocks.append(zstandard.compress(sink.getvalue()))
+        blocks = [_block(pa.Table.from_batches(parts).sort_by("key")) for parts in held.values()]
         out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blocks, pa.binary())], ["file", "words"])
         held.clear()
         return out
 
     for batch in batches:
         files = np.asarray(batch.column("file"))
-        for file in np.unique(files).tolist():
-            held.setdefault(file, []).append(batch.filter(pa.array(files == file)).select(["key", "codes"]))
+        order = np.argsort(files, kind="stable")
+        dealt, files = batch.select(["key", "codes"]).take(pa.array(order)), files[order].tolist()
+        for a, b in _runs(files):
+            held.setdefault(files[a], []).append(dealt.slice(a, b - a))
         count += batch.num_rows
         if count >= PACKED:
             yield flush()
@@ -418,10 +415,27 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _unpack_words(blocks: pa.ChunkedArray) -> tuple[pa.Array, pa.Array]:
-    tables = [pa.ipc.open_stream(zstandard.decompress(b.as_py())).read_all() for b in blocks]
-    whole = pa.concat_tables(tables)
-    return _whole(whole["key"]), _whole(whole["codes"])
+def _block(rows: pa.Table) -> bytes:
+    """Byte lengths of keys, counts of codes, keys, codes. Both numbers fit a byte, since words are short."""
+    data, at = utf8(_whole(rows["key"]))
+    codes = _whole(rows["codes"])
+    counts = np.asarray(pc.list_value_length(codes)).astype(np.uint8)
+    body = np.diff(at).astype(np.uint8).tobytes() + counts.tobytes() + data.tobytes() + np.asarray(codes.flatten()).astype("<i4").tobytes()
+    return struct.pack("<II", len(counts), len(data)) + zstandard.compress(body, 6)
+
+
+def _unblock(blocks: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    sizes, counts, keys, codes = [], [], [], []
+    for block in blocks:
+        n, size = struct.unpack_from("<II", block)
+        body = np.frombuffer(zstandard.decompress(block[8:]), np.uint8)
+        sizes.append(body[:n])
+        counts.append(body[n : 2 * n])
+        keys.append(body[2 * n : 2 * n + size])
+        codes.append(body[2 * n + size :].view("<i4") if (2 * n + size) % 4 == 0 else np.frombuffer(body[2 * n + size :].tobytes(), "<i4"))
+    at, edge = (np.concatenate([[0], np.cumsum(np.concatenate(x), dtype=np.int32)]).astype(np.int32) for x in (sizes, counts))
+    words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.concatenate(keys)))
+    return words, pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(codes)))
 
 
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -442,6 +456,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.array().cast("array<int>").alias(ids)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         store, path = fs.FileSystem.from_uri(uri)
         pattern = model.word_pattern()
         file, dictionary = None, None
@@ -452,7 +467,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
                     file, dictionary = files[a], None
                     if store.get_file_info(f"{path}/file={file}").type == fs.FileType.Directory:
                         table = pq.read_table(f"{path}/file={file}", filesystem=store, columns=["words"], partitioning=None, use_threads=False)
-                        dictionary = _Dictionary(*_unpack_words(table["words"]))
+                        dictionary = _Dictionary(*_unblock(table["words"].to_pylist()))
                     else:
                         dictionary = _Dictionary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
                 part = batch.slice(a, b - a)
@@ -471,8 +486,8 @@ class _Dictionary:
 
     def __init__(self, words: pa.Array, codes: pa.ListArray):
         h = self._hashes(words)
-        order = np.argsort(h)
-        self.hashes, self.words, self.codes = h[order], words.take(pa.array(order)), codes.take(pa.array(order))
+        order = np.argsort(h).astype(np.int32)
+        self.hashes, self.order, self.words, self.codes = h[order], order, words, codes
 
     @staticmethod
     def _hashes(words: pa.Array) -> np.ndarray:
@@ -486,7 +501,7 @@ class _Dictionary:
         """The codes of each word; words that are not here are encoded."""
         if not len(self.words):
             return pa.array([model.encode_word(word_of(w)) for w in words.to_pylist()], pa.list_(pa.int32()))
-        spot = pa.array(np.minimum(np.searchsorted(self.hashes, self._hashes(words)), len(self.hashes) - 1))
+        spot = pa.array(self.order[np.minimum(np.searchsorted(self.hashes, self._hashes(words)), len(self.hashes) - 1)])
         lists = self.codes.take(spot)
         missing = np.flatnonzero(~np.asarray(pc.equal(self.words.take(spot), words)))
         if len(missing):
@@ -528,18 +543,23 @@ def decode(df: DataFrame, model: PieceModel, ids: str = "ids", text: str = "deco
     keep = [c for c in df.columns if c != text]
     schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit("").cast("string").alias(text)).schema
     raw = [bytes([i - model.first_byte]) if k == 6 else p.replace(MARK, " ").encode() if k == 1 else b"" for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
+    blob, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+    begin = np.cumsum(size) - size
+
+    def texts(part: pa.ListArray) -> list[str | None]:
+        codes = np.asarray(part.flatten())
+        n = size[codes]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        data = blob[np.arange(int(stop[-1])) + np.repeat(begin[codes] - stop[:-1], n)].tobytes()
+        count = np.asarray(pc.fill_null(pc.list_value_length(part), 0))
+        edge = stop[np.concatenate([[0], np.cumsum(count)])].tolist()
+        whole = [data[a:b].decode(errors="replace") for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return [None if null else t[1:] if t[:1] == " " else t for t, null in zip(whole, np.asarray(part.is_null()).tolist(), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
-                out = []
-                for x in batch.column(ids):
-                    if x.is_valid:
-                        whole = b"".join(map(raw.__getitem__, x.values.to_numpy().tolist())).decode(errors="replace")
-                        out.append(whole[1:] if whole.startswith(" ") else whole)
-                    else:
-                        out.append(None)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, text])
+            for at in range(0, big.num_rows, 128):
+                batch = big.slice(at, 128)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts(batch.column(ids)), pa.string())], [*keep, text])
 
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

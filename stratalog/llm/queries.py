@@ -13,10 +13,10 @@ from .common import fresh_path, table
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.PieceModel.load()
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    back = pieces.decode(coded, model)
-    same = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    back = pieces.decode(pieces.encode(docs, model).drop("text"), model)
+    decoded = F.sha2("decoded", 256)
+    return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
