@@ -16,7 +16,7 @@ SLICE_BYTES = 1 << 20
 
 
 #: Rows and bytes of the Arrow batches between Spark and Python, since one text may be long.
-BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 #: Bits of a filter of ids, which bounds its broadcast.
 FILTER_BITS = 1 << 23
 

@@ -36,7 +36,7 @@ LONGEST = 60
 #: Characters by which substrings are bounded.
 HEAD = 3
 #: Distinct words that a task holds before it passes them on, and words whose edges an aggregation keeps before it sorts.
-HELD_WORDS = 100_000
+HELD_WORDS = 600_000
 HELD_GROUPS = 150_000
 #: Words that a task packs at once, and words that are hashed at once.
 PACKED = 300_000
@@ -557,6 +557,7 @@ def decode(df: DataFrame, model: PieceModel, ids: str = "ids", text: str = "deco
         return [None if null else t[1:] if t[:1] == " " else t for t, null in zip(whole, np.asarray(part.is_null()).tolist(), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         for big in batches:
             for at in range(0, big.num_rows, 128):
                 batch = big.slice(at, 128)
