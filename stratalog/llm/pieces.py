@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Prefixes, fresh_path, materialize, random_words, slices, utf8
+from .common import Prefixes, fresh_path, materialize, random_words, release, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -354,21 +354,28 @@ def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
     """(word, file) of the keys of words up to ``LONGEST`` characters of each input file, distinct within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         pattern = model.word_pattern()
-        seen: dict[int, set] = {}
+        held: dict[int, list[pa.Array]] = {}
 
-        def rows(file: int, keys: set) -> pa.RecordBatch:
-            fit = sorted(k for k in keys if len(k) < LONGEST)  # sorted keys take less room in the exchange
-            return pa.RecordBatch.from_arrays([pa.array(fit, pa.string()), pa.array(np.full(len(fit), file, np.int32))], ["key", "file"])
+        def rows(file: int) -> pa.RecordBatch:
+            keys = pc.unique(pa.chunked_array(held.pop(file)))
+            keys = keys.filter(pc.less(pc.utf8_length(keys), LONGEST))
+            keys = keys.take(pc.sort_indices(keys))  # sorted keys take less room in the exchange
+            return pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(keys), file, np.int32))], ["key", "file"])
 
         for batch in slices(batches, "text"):
-            for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                keys = seen.setdefault(file, set())
-                keys.update(word_keys(text, pattern))
-                if len(keys) > HELD_WORDS:
-                    yield rows(file, seen.pop(file))
-        for file, keys in seen.items():
-            yield rows(file, keys)
+            files, texts = batch.column("file").to_pylist(), batch.column("text").to_pylist()
+            for a, b in _runs(files):
+                parts = held.setdefault(files[a], [])
+                parts.append(pa.array([w for t in texts[a:b] for w in word_keys(t, pattern)], pa.string()).unique())
+                if sum(map(len, parts[1:])) > HELD_WORDS // 2:
+                    parts[:] = [pc.unique(pa.chunked_array(parts))]
+                    if len(parts[0]) > HELD_WORDS:
+                        yield rows(files[a])
+        for file in list(held):
+            yield rows(file)
+        release()
 
     return docs.select("file", "text").mapInArrow(run, "key string, file int")
 
@@ -413,6 +420,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = 0
     if held:
         yield flush()
+    release()
 
 
 def _block(rows: pa.Table) -> bytes:
@@ -477,6 +485,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
                 values, size = model.resolve(np.asarray(lists.flatten()).astype(np.int64), np.diff(np.asarray(lists.offsets)))
                 at = np.concatenate([[0], np.cumsum(size)])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _gather(values, at, np.asarray(coded.indices), [len(s) for s in split])], [*keep, ids])
+        release()
 
     return rows.mapInArrow(run, schema)
 
@@ -562,5 +571,6 @@ def decode(df: DataFrame, model: PieceModel, ids: str = "ids", text: str = "deco
             for at in range(0, big.num_rows, 128):
                 batch = big.slice(at, 128)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts(batch.column(ids)), pa.string())], [*keep, text])
+        release()
 
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
