@@ -14,6 +14,7 @@ second pass over the file looks its words up there. So texts are never shuffled,
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -125,6 +126,10 @@ class PieceModel:
         chars = "[" + re.escape("".join(joint)) + "]"
         return re.compile(f"{MARK}+{chars}*|{chars}+|.", re.DOTALL)
 
+    def tails(self) -> str:
+        """Marks of punctuation that no piece has right after a letter, so that they can be cut off words."""
+        return "".join(c for c in ".,;:!?" if not any(x.isalpha() and y == c for p in self.ids for x, y in itertools.pairwise(p)))
+
     def prefixes(self, spark: SparkSession) -> DataFrame:
         """(prefix, longest): of every start of pieces of ``HEAD`` characters, the longest piece."""
         longest: dict[str, int] = {}
@@ -235,6 +240,17 @@ def word_keys(text: str, pattern: re.Pattern) -> list[str]:
     return out
 
 
+def stems(keys: pa.Array, tails: str) -> tuple[pa.Array, np.ndarray]:
+    """Keys without the mark of punctuation that ends them after a letter, and the code of that mark (0 for none)."""
+    codes = np.zeros(len(keys), np.int32)
+    if not tails or not len(keys):
+        return keys, codes
+    cut = pc.match_substring_regex(keys, rf"\p{{L}}[{re.escape(tails)}]$")
+    for c in tails:
+        codes[np.asarray(pc.and_(cut, pc.ends_with(keys, c)))] = -ord(c) - 1
+    return pc.if_else(cut, pc.utf8_slice_codeunits(keys, 0, -1), keys), codes
+
+
 def word_of(key: str) -> str:
     return key if key[:1] == "\n" else key[1:] if key[:1] == LITERAL else MARK + key
 
@@ -355,11 +371,12 @@ def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
-        pattern = model.word_pattern()
+        pattern, tails = model.word_pattern(), model.tails()
         held: dict[int, list[pa.Array]] = {}
 
         def rows(file: int) -> pa.RecordBatch:
-            keys = pc.unique(pa.chunked_array(held.pop(file)))
+            keys, _ = stems(pc.unique(pa.chunked_array(held.pop(file))), tails)
+            keys = keys.unique()
             keys = keys.filter(pc.less(pc.utf8_length(keys), LONGEST))
             keys = keys.take(pc.sort_indices(keys))  # sorted keys take less room in the exchange
             return pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(keys), file, np.int32))], ["key", "file"])
@@ -466,7 +483,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
         store, path = fs.FileSystem.from_uri(uri)
-        pattern = model.word_pattern()
+        pattern, tails = model.word_pattern(), model.tails()
         file, dictionary = None, None
         for batch in slices(batches, text):
             files = batch.column("__file").to_pylist()
@@ -481,7 +498,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
                 part = batch.slice(a, b - a)
                 split = [word_keys(t, pattern) for t in part.column(text).cast(pa.string()).to_pylist()]
                 coded = pa.array([w for s in split for w in s], pa.string()).dictionary_encode()
-                lists = dictionary.find(coded.dictionary, model)
+                lists = dictionary.find(coded.dictionary, model, tails)
                 values, size = model.resolve(np.asarray(lists.flatten()).astype(np.int64), np.diff(np.asarray(lists.offsets)))
                 at = np.concatenate([[0], np.cumsum(size)])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _gather(values, at, np.asarray(coded.indices), [len(s) for s in split])], [*keep, ids])
@@ -506,19 +523,26 @@ class _Dictionary:
             parts.append(Prefixes(data, _VALUES, _BASE).of(at[:-1], at[1:]))
         return np.concatenate(parts)
 
-    def find(self, words: pa.Array, model: PieceModel) -> pa.ListArray:
-        """The codes of each word; words that are not here are encoded."""
-        if not len(self.words):
-            return pa.array([model.encode_word(word_of(w)) for w in words.to_pylist()], pa.list_(pa.int32()))
-        spot = pa.array(self.order[np.minimum(np.searchsorted(self.hashes, self._hashes(words)), len(self.hashes) - 1)])
-        lists = self.codes.take(spot)
-        missing = np.flatnonzero(~np.asarray(pc.equal(self.words.take(spot), words)))
+    def find(self, keys: pa.Array, model: PieceModel, tails: str) -> pa.ListArray:
+        """The codes of each key; words that are not here are encoded."""
+        stem, last = stems(keys, tails)
+        if len(self.words):
+            spot = pa.array(self.order[np.minimum(np.searchsorted(self.hashes, self._hashes(stem)), len(self.hashes) - 1)])
+            lists, missing = self.codes.take(spot), np.flatnonzero(~np.asarray(pc.equal(self.words.take(spot), stem)))
+        else:
+            lists, missing = pa.array([[]] * len(keys), pa.list_(pa.int32())), np.arange(len(keys))
         if len(missing):
             values = lists.to_pylist()
             for i in missing.tolist():
-                values[i] = model.encode_word(word_of(words[i].as_py()))
+                values[i] = model.encode_word(word_of(stem[i].as_py()))
             lists = pa.array(values, pa.list_(pa.int32()))
-        return lists
+        # The mark that was cut off follows its word's codes.
+        size = np.asarray(pc.list_value_length(lists)) + (last != 0)
+        at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        values, ends = np.empty(int(at[-1]), np.int32), np.zeros(int(at[-1]), bool)
+        ends[at[1:][last != 0] - 1] = True
+        values[ends], values[~ends] = last[last != 0], np.asarray(lists.flatten())
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:

@@ -10,6 +10,7 @@ needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="the public v
 TEXTS = [
     None, "", " ", "  ", "a", " a", "a ", "a  b", "Hello world", "  Hello   world\n foo\tbar ﬁ Ａ ñ​", "\n", "\n\nx\n", "line one\nline two \n  three", "12 345,6", "▁x ▁", "\x01 \x01a b\x01c",
     "日本語 テキスト 😀😀 é", "x" * 500 + " y", "in" * 4000, " " * 100 + "z", "don't won't", "\r\n a\r\n", "\x00", "ab\x01 cd",
+    "word. word, word) . , word.) é. Ｘ. ., word.. a.b.\nend.\n.", "q" * 80 + ". z",
 ]
 
 
