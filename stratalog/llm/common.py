@@ -86,7 +86,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds about ``most`` bytes in each, or one row that is longer."""
+    """Cut batches so that ``column`` holds about ``most`` bytes in each, or one row that is longer; at the end, free memory is given back."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -96,6 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             end = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:

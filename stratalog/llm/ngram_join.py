@@ -28,7 +28,7 @@ from .graph import connected_components
 
 #: N-grams that are counted together in a task, the count from which one is reported as frequent, and the length of the
 #: list of frequent ones that is broadcast. These only shape the order: any order gives the same links.
-COUNTED = 6_000_000
+COUNTED = 2_000_000
 FREQUENT = 4
 FREQUENT_LIST = 200_000
 #: Documents of an n-gram up to which pairs of them are counted; n-grams of more are linked through one document.
