@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and automata inferred from labelled credentials.
 
 The credentials that the fixed patterns find are the labelled examples. Their prefix tree is folded into a probabilistic
-automaton by merging states whose outgoing frequencies are statistically compatible; every other token that is long
-enough is then scored by how much likelier the automata make it than the automaton of ordinary tokens.
+automaton by merging states whose outgoing frequencies are statistically compatible; every other token from
+``CANDIDATE`` characters on, with or without digits, is then scored by how much likelier the automata make it than the
+automata of ordinary tokens. These are two, since ordinary tokens with digits are rare among words.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import math
@@ -24,24 +26,25 @@ from .common import materialize, slices, utf8
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+DIGIT = re.compile(rb"[0-9]")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
-#: Tokens from this length on are candidates of the automata.
-CANDIDATE = 16
+#: Tokens from this length on are candidates of the automata, as are the shortest values of assignments.
+CANDIDATE = 12
 #: Examples of each label that an automaton is inferred from: those with the smallest hashes, a sample over all rows.
 EXAMPLES = 400
 #: Confidence of the compatibility test, and the symbol count from which the start of a token is abstracted.
 ALPHA = 0.05
 LITERAL = 4
-#: Nats a symbol by which a credential automaton must beat the automaton of ordinary tokens.
+#: Nats a symbol by which a credential automaton must beat the automata of ordinary tokens.
 MARGIN = 0.7
+#: Labels of ordinary tokens: without and with digits.
+ORDINARY = ("other", "other_digits")
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[list(b"0123456789")] = True
 
 
 def runs(member: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +84,6 @@ def scan_bytes(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes, l
     """Per row: its number, bytes, base matches (kind, start, end, start of the credential) and candidates, in bytes."""
     hex_start, hex_end = runs(_HEX[data], at, LEAST["hex"])
     start, end = runs(_TOKEN[data], at, CANDIDATE)
-    digits = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(_DIGIT[data], out=digits[1:])
-    mixed = digits[end] > digits[start]
-    start, end = start[mixed], end[mixed]
     hex_at, at_run = np.searchsorted(hex_start, at), np.searchsorted(start, at)
     raw = data.tobytes()
     for i in range(len(at) - 1):
@@ -95,9 +94,30 @@ def scan_bytes(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes, l
         yield i, text, found, [(int(a) - base, int(b) - base) for a, b in zip(start[at_run[i] : at_run[i + 1]], end[at_run[i] : at_run[i + 1]], strict=True)]
 
 
+def united(found: list[tuple[str, int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the places that base matches cover, in order; matches that meet are one."""
+    start, end = [], []
+    for _, a, b, _ in sorted(found, key=lambda x: x[1]):
+        if end and a <= end[-1]:
+            end[-1] = max(end[-1], b)
+        else:
+            start.append(a)
+            end.append(b)
+    return start, end
+
+
 def uncovered(candidates: list[tuple[int, int]], found: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
     """Candidates that overlap no base match; an assignment's candidate may start at its key word."""
-    return [(a, b) for a, b in candidates if not any(x[1] < b and a < x[2] for x in found)]
+    if not found:
+        return candidates
+    start, end = united(found)
+    after = [bisect.bisect_right(end, a) for a, _ in candidates]
+    return [(a, b) for (a, b), k in zip(candidates, after, strict=True) if k == len(end) or start[k] >= b]
+
+
+def ordinary(token: bytes) -> str:
+    """The label of a token that no base match overlaps."""
+    return ORDINARY[DIGIT.search(token) is not None]
 
 
 def symbols(token: bytes) -> list[str]:
@@ -222,30 +242,30 @@ class Automaton:
 
 
 class Grammar:
-    """Automata of credentials by label, and one of ordinary tokens."""
+    """Automata of credentials by label, and those of ordinary tokens."""
 
     def __init__(self, examples: dict[str, list[bytes]]):
-        self.kinds = {k: Automaton([symbols(x) for x in sorted(v)]) for k, v in sorted(examples.items()) if k != "other" and v}
-        self.other = Automaton([symbols(x) for x in sorted(examples.get("other", []))])
+        self.kinds = {k: Automaton([symbols(x) for x in sorted(v)]) for k, v in sorted(examples.items()) if k not in ORDINARY and v}
+        self.others = [Automaton([symbols(x) for x in sorted(examples[k])]) for k in ORDINARY if examples.get(k)] or [Automaton([])]
 
     def score(self, token: bytes) -> float:
-        """Nats a symbol by which the best credential automaton beats the ordinary one; minus infinity without any."""
+        """Nats a symbol by which the best credential automaton beats the best ordinary one; minus infinity without any."""
         s = symbols(token)
-        return max((a.log_likelihood(s) for a in self.kinds.values()), default=-math.inf) / (len(s) + 1) - self.other.log_likelihood(s) / (len(s) + 1)
+        return (max((a.log_likelihood(s) for a in self.kinds.values()), default=-math.inf) - max(a.log_likelihood(s) for a in self.others)) / (len(s) + 1)
 
 
 def labelled_examples(docs: DataFrame, text: str = "text", most: int = EXAMPLES) -> DataFrame:
     """(label, token, rank): the ``most`` distinct tokens of each label with the smallest SHA-1, over all texts.
 
-    Labels are the kinds of the fixed patterns, and ``other`` for candidates that none of them matches. Each task keeps
-    its smallest ones; Spark keeps the smallest of those.
+    Labels are the kinds of the fixed patterns, and ``ORDINARY`` ones for candidates that none of them matches. Each task
+    keeps its smallest ones; Spark keeps the smallest of those.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, dict[bytes, bytes]] = defaultdict(dict)
         for batch in slices(batches, "text"):
             for _, body, found, candidates in scan_bytes(*utf8(batch.column("text"))):
-                tokens = [(k, body[c:b]) for k, _, b, c in found] + [("other", body[a:b]) for a, b in uncovered(candidates, found)]
+                tokens = [(k, body[c:b]) for k, _, b, c in found] + [(ordinary(body[a:b]), body[a:b]) for a, b in uncovered(candidates, found)]
                 for label, token in tokens:
                     kept[label][hashlib.sha1(token).digest()] = token
             for label, x in kept.items():
@@ -260,9 +280,9 @@ def labelled_examples(docs: DataFrame, text: str = "text", most: int = EXAMPLES)
 
 
 def infer_grammar(docs: DataFrame, text: str = "text", most: int = EXAMPLES) -> Grammar:
-    """Infer the automata from at most ``most`` examples a label (four labels), which is all that reaches the driver."""
+    """Infer the automata from at most ``most`` examples a label (five labels), which is all that reaches the driver."""
     sample = labelled_examples(docs, text, most)
-    examples = {label: [bytes(r.token) for r in sample.where(F.col("label") == label).orderBy("rank").limit(most).collect()] for label in ("assign", "access", "hex", "other")}
+    examples = {label: [bytes(r.token) for r in sample.where(F.col("label") == label).orderBy("rank").limit(most).collect()] for label in ("assign", "access", "hex", *ORDINARY)}
     return Grammar(examples)
 
 

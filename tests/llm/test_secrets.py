@@ -84,3 +84,28 @@ def test_runs_stop_at_rows():
 @pytest.mark.parametrize("text", ["password=abcdefghijk", "AKIAABCDEFGHIJKLM", "0123456789abcde"])
 def test_short_ones_are_left(text):
     assert brute(text) == [] and not secrets.assignments(text.encode()) and not secrets.accesses(text.encode())
+
+
+def _letter_passwords():
+    """Texts with assigned passwords of letters only, ordinary long words and addresses, and passwords without a key word."""
+    import random
+
+    rng = random.Random(6)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(["inter", "nation", "order", "under", "standing", "ation"], k=4)) for _ in range(150)]
+    texts = [f"password={''.join(rng.choices(mixed, k=k))} and {w}" for k, w in zip([12, 14, 16, 20] * 40, words, strict=False)]
+    texts += [f"from 10.{rng.randrange(100, 256)}.{rng.randrange(100, 256)}.{rng.randrange(100, 256)} on" for _ in range(20)]
+    bare = ["".join(rng.choices(mixed, k=k)) for k in (12, 13, 16, 16, 20, 20)]
+    return texts, bare, words
+
+
+def test_letters_alone_and_short_runs_are_scored(spark):
+    texts, bare, words = _letter_passwords()
+    rows = [*texts, *(f"use {x} here" for x in bare)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    labels = {r.label: r for r in secrets.labelled_examples(df).groupBy("label").agg(F.collect_set("token").alias("t")).collect()}
+    assert {bytes(t).decode() for t in labels["other"].t} >= set(words)
+    assert all(any(c.isdigit() for c in bytes(t).decode()) for t in labels["other_digits"].t)
+    out = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.secrets if s.kind == "grammar"] for r in secrets.find_secrets(df, secrets.infer_grammar(df)).collect()}
+    assert all(not out[i] for i in range(len(texts)))
+    assert [out[len(texts) + i] for i in range(len(bare))] == [[x] for x in bare]
