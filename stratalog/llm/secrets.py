@@ -115,6 +115,15 @@ def uncovered(candidates: list[tuple[int, int]], found: list[tuple[str, int, int
     return [(a, b) for (a, b), k in zip(candidates, after, strict=True) if k == len(end) or start[k] >= b]
 
 
+def unsettled(candidates: list[tuple[int, int]], found: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
+    """Candidates that base matches do not cover wholly."""
+    if not found:
+        return candidates
+    start, end = united(found)
+    after = [bisect.bisect_right(end, a) for a, _ in candidates]
+    return [(a, b) for (a, b), k in zip(candidates, after, strict=True) if k == len(end) or start[k] > a or end[k] < b]
+
+
 def ordinary(token: bytes) -> str:
     """The label of a token that no base match overlaps."""
     return ORDINARY[DIGIT.search(token) is not None]
@@ -290,8 +299,8 @@ def find_secrets(docs: DataFrame, grammar: Grammar, text: str = "text", margin:
     """Add ``secrets``: array of (kind, start, end) in code points, ordered by start and kind.
 
     Null and empty texts have none. Fixed patterns match leftmost and without overlaps within a kind; ``grammar`` spans
-    are tokens outside all of those whose score reaches ``margin``. Extra columns pass through; one named ``secrets``
-    is replaced.
+    are whole tokens that those do not cover wholly and whose score reaches ``margin``; they may overlap those. Extra
+    columns pass through; one named ``secrets`` is replaced.
     """
     keep = [c for c in docs.columns if c != "secrets"]
     spans = "array<struct<kind:string,start:int,end:int>>"
@@ -304,7 +313,7 @@ def find_secrets(docs: DataFrame, grammar: Grammar, text: str = "text", margin:
         for batch in slices(batches, text):
             out = []
             for _, body, found, candidates in scan_bytes(*utf8(batch.column(text).cast(pa.string()))):
-                all_found = [x[:3] for x in found] + [("grammar", a, b) for a, b in uncovered(candidates, found) if model.score(body[a:b]) >= margin]
+                all_found = [x[:3] for x in found] + [("grammar", a, b) for a, b in unsettled(candidates, found) if model.score(body[a:b]) >= margin]
                 # Spans start and end at ASCII, so a byte's place is the code points before it.
                 place = (lambda x, wide=len(body) != len(body.decode(errors="surrogatepass")), body=body: len(body[:x].decode(errors="surrogatepass")) if wide else x) if all_found else None
                 spans = [{"kind": k, "start": place(a), "end": place(b)} for k, a, b in all_found]

@@ -109,3 +109,26 @@ def test_letters_alone_and_short_runs_are_scored(spark):
     out = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.secrets if s.kind == "grammar"] for r in secrets.find_secrets(df, secrets.infer_grammar(df)).collect()}
     assert all(not out[i] for i in range(len(texts)))
     assert [out[len(texts) + i] for i in range(len(bare))] == [[x] for x in bare]
+
+
+def test_tokens_around_base_matches_are_scored_whole(spark):
+    import random
+
+    rng = random.Random(7)
+
+    def key():
+        return f"live_{''.join(rng.choices('0123456789abcdef', k=20))}{''.join(rng.choices('QRSTUVWXYZ', k=8))}"
+
+    rows = [f"token={key()} of chapter-{i}.section-{i}.html" for i in range(100)] + [f"use {key()} here"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = secrets.find_secrets(df, secrets.infer_grammar(df))
+    last = found.where("doc_id = 100").first()
+    assert [(s.kind, s.start, s.end) for s in last.secrets] == [("grammar", 4, 37), ("hex", 9, 29)]
+    assert secrets.redact(found).where("doc_id = 100").first().text == "use [SECRET] here"
+    assert found.where("doc_id < 100").where(F.exists("secrets", lambda s: s["kind"] == "grammar")).count() == 0
+
+
+def test_cover_by_several_matches():
+    found = [("hex", 10, 20, 10), ("assign", 0, 10, 5), ("hex", 30, 40, 30)]
+    assert secrets.unsettled([(0, 20), (0, 21), (30, 40), (25, 40), (50, 60)], found) == [(0, 21), (25, 40), (50, 60)]
+    assert secrets.uncovered([(0, 20), (20, 30), (25, 40), (50, 60)], found) == [(20, 30), (50, 60)]
