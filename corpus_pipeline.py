@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-Stages take (spark, docs, sf_dir); all but the last return the columns of ``documents``. Nulls: documents with a null id
-pass the near-duplicate stage; null texts count as empty, which the quality stage rejects. Extra columns pass through.
+Stages take (spark, docs, sf_dir); all but the last return the columns of ``documents``. Ids may repeat or be null:
+every row counts as a document of its own. Null texts count as empty, which the quality stage rejects. Extra columns pass
+through.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id stays; of rows that repeat an id, one."""
-    found = ngram_join.jaccard_components(docs, n=WORDS, percent=SIMILARITY)
-    first = found.where("doc_id = component_id").select("doc_id")
-    stay = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Of every group of linked rows the one with the smallest id stays, a null id last; rows are told apart by keys of their own."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-rows")
+    found = ngram_join.jaccard_components(rows, doc_id="__row", n=WORDS, percent=SIMILARITY).select(F.col("doc_id").alias("__row"), "component_id")
+    named = found.join(rows.select("__row", "doc_id").hint("merge"), "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first")).select("first.__row")
+    return rows.join(first.hint("merge"), "__row", "left_semi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

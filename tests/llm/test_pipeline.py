@@ -49,3 +49,17 @@ def test_odd_documents_pass(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.drop_near_copies(spark, docs, SF).count() == 4
     assert quality.THRESHOLD == 0.3
+
+
+def test_repeated_and_null_ids_lose_only_linked_texts(spark):
+    def text(word):
+        return " ".join(f"{word}{i}" for i in range(60))
+
+    a, b, c, d, e = map(text, "abcde")
+    rows = [(1, a), (1, b), (2, b + " more"), (None, c), (None, c + " more"), (None, d), (5, e), (None, e), (7, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == 5 and {(1, a), (1, b), (None, d), (5, e)} < set(kept)
+    assert sum(i is None and t.startswith(c) for i, t in kept) == 1
