@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, random_words, slices, utf8
+from .common import materialize, mix64, random_words, slices, utf8
 
-#: Labelled documents that the model is fitted on: those with the smallest hashes; and the lines of these that are used.
+#: Labelled documents that the model is fitted on: those with the smallest hashes. Beyond so many lines, a sample of their
+#: blocks of contiguous lines is used, those with the smallest hashes.
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 120_000
+BLOCK = 256
 #: Scores from here on count as good.
 THRESHOLD = 0.3
 ROUNDS = 250
@@ -264,31 +266,45 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE_DOCS) -> LineField:
     """Fit on at most ``most`` labelled documents outside the held-out fold, those with the smallest hashes of their ids.
 
-    Only they reach the driver, as line features of at most ``SAMPLE_LINES`` lines. Rows without a label are ignored;
-    of repeated labels the largest counts. Without labels of both classes, every document gets the score of the share
+    Only they reach the driver, as line features. Documents of more than ``SAMPLE_LINES`` lines in all are thinned out
+    before: blocks of ``BLOCK`` lines are taken in the order of their hashes, whatever their documents' lengths, up to the
+    one that reaches the bound; a document's blocks are put together in order. Rows without a label are ignored; of
+    repeated labels the largest counts. Without labels of both classes, every document gets the score of the share
     of good labels (1 without labels).
     """
     known = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.max(F.col(f"`{label}`")).cast("int").alias("good"))
     chosen = known.where(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id").withColumn("row", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, owner, size = line_features(*utf8(batch.column("text")))
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            parts = [(x[a:b].tobytes(), size[a:b].astype(np.int64).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("good"), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["id", "good", "x", "size"])
-
-    rows = sorted(texts.select("id", "good", "text").mapInArrow(run, "id long, good int, x binary, size binary").toLocalIterator(), key=lambda r: (len(r.size), r.id))
-    xs, owners, sizes, good, lines = [], [], [], [], 0
-    for r in rows:
-        size = np.frombuffer(r.size, np.int64)
-        if len(size) and lines + len(size) <= SAMPLE_LINES:
-            xs.append(np.frombuffer(r.x, np.float32).reshape(len(size), -1))
-            owners.append(np.full(len(size), len(good)))
-            sizes.append(size)
-            good.append(r.good > 0)
-            lines += len(size)
+            ends = [(i, k, a, min(a + BLOCK, cut[i + 1])) for i in range(batch.num_rows) for k, a in enumerate(range(cut[i], cut[i + 1], BLOCK))]
+            of = batch.select(["id", "good", "row"]).take(pa.array([e[0] for e in ends], pa.int64()))
+            block, lines = pa.array([e[1] for e in ends], pa.int32()), pa.array([int(b - a) for _, _, a, b in ends], pa.int32())
+            parts = [pa.array([v[a:b].tobytes() for _, _, a, b in ends], pa.binary()) for v in (x, size.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*of.columns, block, lines, *parts], ["id", "good", "row", "block", "lines", "x", "size"])
+
+    blocks = texts.select("id", "good", "row", "text").mapInArrow(run, "id long, good int, row long, block int, lines int, x binary, size binary")
+    blocks = materialize(blocks.withColumn("hash", F.xxhash64("id", "block", "x")), "quality-lines")
+    # A block has a line at least, so no more blocks than lines are needed.
+    lines = 0
+    for r in blocks.select("hash", "row", "lines").orderBy("hash", "row").limit(SAMPLE_LINES).toLocalIterator():
+        lines += r.lines
+        if lines >= SAMPLE_LINES:
+            blocks = blocks.where((F.col("hash") < r.hash) | ((F.col("hash") == r.hash) & (F.col("row") <= r.row)))
+            break
+    held: dict[int, list] = {}
+    for r in blocks.toLocalIterator():
+        held.setdefault(r.row, []).append(r)
+    xs, owners, sizes, good = [], [], [], []
+    for rows in sorted(held.values(), key=lambda v: (sum(r.lines for r in v), v[0].id, v[0].row)):
+        for r in sorted(rows, key=lambda r: r.block):
+            xs.append(np.frombuffer(r.x, np.float32).reshape(r.lines, -1))
+            owners.append(np.full(r.lines, len(good)))
+            sizes.append(np.frombuffer(r.size, np.int64))
+        good.append(rows[0].good > 0)
     d = 3 * len(FEATURES) + 3
     if len(set(good)) < 2:
         share = sum(good) / len(good) if good else 1.0

@@ -64,3 +64,15 @@ def test_held_out_accuracy(spark):
     scored = quality.score_quality(docs, quality.train(docs, labels)).join(labels, "doc_id").where(quality.held_out("doc_id"))
     right = scored.agg(F.avg((F.col("quality") == (F.col("score") >= quality.THRESHOLD).cast("int")).cast("int"))).first()[0]
     assert right > 0.97
+
+
+def test_line_bound_takes_lines_of_long_documents_too(spark, monkeypatch):
+    fitted = {}
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 500)
+    monkeypatch.setattr(quality, "fit_field", lambda x, owner, size, good: fitted.update(x=x, owner=owner, size=size, good=good))
+    texts = [(i, f"A short one, number {i}.") for i in range(40)] + [(i, "\n".join(f"Line {k} of document {i}." for k in range(600))) for i in range(40, 80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int"))
+    lines = np.bincount(fitted["owner"])
+    assert lines.max() > 1 and 500 <= lines.sum() < 500 + quality.BLOCK
+    assert len(fitted["x"]) == len(fitted["size"]) == lines.sum() and len(fitted["good"]) == len(lines)
