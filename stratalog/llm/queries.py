@@ -82,7 +82,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.call_function("make_valid_utf8", F.col("kept").cast("string"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.char_length(text).cast("long").alias("n_chars"), text.alias("text"))
 
 
 OP7_SQL = """
@@ -94,9 +95,14 @@ s AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS z FROM (SELECT *, sum(opens) O
 t AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id),
 k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a) + 1, 1) AS f, a - 1 AS l FROM s
   UNION ALL SELECT d.doc_id, coalesce(m.z + 1, 1), octet_length(b) FROM d LEFT JOIN (SELECT doc_id, max(z) AS z FROM s GROUP BY doc_id) m ON d.doc_id = m.doc_id),
-p AS (SELECT k.doc_id, string_agg(CASE WHEN l >= f THEN hex(b[f:l]) ELSE '' END, '' ORDER BY f) AS kept FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
-SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
-FROM d LEFT JOIN t ON d.doc_id = t.doc_id JOIN p ON d.doc_id = p.doc_id
+p AS (SELECT k.doc_id, string_agg(CASE WHEN l >= f THEN hex(b[f:l]) ELSE '' END, '' ORDER BY f) AS kept FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id),
+-- The kept bytes as text: whatever is left of a character that was cut is one U+FFFD.
+v AS (SELECT doc_id, kept, decode(unhex(array_to_string(list_transform(
+  regexp_extract_all(kept, '[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].|E.[89AB].|F.[89AB].[89AB].|F.[89AB].|..'),
+  lambda c: CASE WHEN c < '8' OR (c >= 'C' AND len(c) = 2 * CASE WHEN c < 'E' THEN 2 WHEN c < 'F' THEN 3 ELSE 4 END) THEN c ELSE 'EFBFBD' END), ''))) AS text FROM p)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256,
+  CAST(length(text) AS BIGINT) AS n_chars, text
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id JOIN v ON d.doc_id = v.doc_id
 """
 
 
