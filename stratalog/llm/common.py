@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,13 +43,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or a fresh local one if that is unset."""
+    """This application's folder in ``spark.checkpoint.dir``, which all executors see; it is deleted when the driver ends.
+
+    Where the setting is missing, a session whose executors are threads of the driver gets a folder of its own; any
+    other is refused, since its executors would not see a local one.
+    """
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("stratalog.shared.dir", None)
+    where = sc.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = tempfile.mkdtemp(prefix="stratalog-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        where = spark.conf.get("stratalog.shared.dir", None) or tempfile.mkdtemp(prefix="stratalog-")
         spark.conf.set("stratalog.shared.dir", where)
-    return where.rstrip("/")
+    where = f"{where.rstrip('/')}/stratalog-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return where
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -63,12 +76,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the offsets of its rows (one more than rows); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -130,16 +137,30 @@ def random_words(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+def grams(data: np.ndarray, width: int, key: int) -> np.ndarray:
+    """A keyed, mixed 64-bit value of the ``width`` bytes (8 at most) from each place on; a bijection of those bytes."""
+    n = max(len(data) - width + 1, 0)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    x = np.ndarray((n,), "<u8", padded, strides=(1,)).astype(np.uint64)
+    if width < 8:
+        x &= np.uint64((1 << 8 * width) - 1)
+    return mix64(x ^ np.uint64(key))
+
+
 class Prefixes:
-    """Polynomial 64-bit hashes of any substring of a buffer, in constant time each."""
+    """Polynomial 64-bit hashes of any run of 64-bit values, in constant time each.
+
+    Over bytes' own values such hashes collide for known texts; callers that do not compare what they find give values
+    of several bytes that are mixed before (``grams``), whose differences have no such structure.
+    """
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, data: np.ndarray, values: np.ndarray, base: int):
-        n = len(data)
+    def __init__(self, values: np.ndarray, base: int):
+        n = len(values)
         power, self.inverse = self._tables(base, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * power[:n], out=self.sums[1:])
+        np.cumsum(values * power[:n], out=self.sums[1:])
 
     @classmethod
     def _tables(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Prefixes, materialize, maybe_in, mix64, random_words, slices, utf8
+from .common import materialize, maybe_in, mix64, random_words, slices, utf8
 from .graph import connected_components
 
 #: N-grams that are counted together in a task, the count from which one is reported as frequent, and the length of the
@@ -40,15 +40,16 @@ CHUNK = 1_500_000
 
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
-_BASE = int(random_words(1, 2)[0])
 _STEP = random_words(64, 3)
+#: Bytes of a word that are hashed together; longer words have several such parts.
+PART = 32
 
 
 def _letters() -> np.ndarray:
-    """Random values of bytes, the same for both cases of ASCII letters."""
-    values = random_words(256, 1)
-    values[65:91] = values[97:123]
-    return values
+    """A random value of every byte at every place of a part, the same for both cases of ASCII letters."""
+    values = mix64(random_words(256 * PART, 1)).reshape(PART, 256)
+    values[:, 65:91] = values[:, 97:123]
+    return values.ravel()
 
 
 _T = _letters()
@@ -67,8 +68,16 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start[firsts] = ~gap[firsts]
     stop[:-1] &= gap[1:]
     stop[lasts] = ~gap[lasts]
-    w = np.flatnonzero(start)
-    return Prefixes(data, _T, _BASE).of(w, np.flatnonzero(stop) + 1), np.searchsorted(w, at).astype(np.int64)
+    w, size = np.flatnonzero(start), np.flatnonzero(stop) + 1 - np.flatnonzero(start)
+    # Tabulation: a part's hash is the sum of its bytes' values by place, a word's the sum of its parts', mixed by place.
+    word = np.repeat(np.arange(len(w)), size)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    values = _T[(place % PART) * 256 + data[~gap]]
+    opens = np.flatnonzero(place % PART == 0)
+    h = mix64(np.add.reduceat(values, opens) + (place[opens] // PART).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) if len(opens) else np.zeros(0, np.uint64)
+    if len(opens) > len(w):
+        h = np.add.reduceat(h, np.flatnonzero(place[opens] == 0))
+    return mix64(h + size.astype(np.uint64)), np.searchsorted(w, at).astype(np.int64)
 
 
 def shingle_table(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

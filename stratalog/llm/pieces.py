@@ -520,7 +520,7 @@ class _Dictionary:
         parts = [np.zeros(0, np.uint64)]
         for start in range(0, len(words), HASHED):
             data, at = utf8(words.slice(start, HASHED))
-            parts.append(Prefixes(data, _VALUES, _BASE).of(at[:-1], at[1:]))
+            parts.append(Prefixes(_VALUES[data], _BASE).of(at[:-1], at[1:]))
         return np.concatenate(parts)
 
     def find(self, keys: pa.Array, model: PieceModel, tails: str) -> pa.ListArray:

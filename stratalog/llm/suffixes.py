@@ -2,11 +2,13 @@
 
 Every window of ``length`` bytes has an anchor: the place of the smallest hash of the short strings in it, so equal
 windows have equal anchors. Only suffixes at anchors are looked at. An anchor's context is the bytes that its windows
-can cover. Contexts that occur twice are repeated as a whole, which counts by hash show. A context that occurs once can
-still share windows with other contexts of the same anchor string. Those contexts are sorted as suffixes: every task
-writes front-coded sorted runs (the length of the prefix shared with the last suffix, then the rest), runs are dealt by
-the bytes around the anchor, and a loser tree merges them without comparing known prefixes again. The common prefixes
-of the merged order, and those of the bytes to the left read backwards, give the windows that are shared.
+can cover. Equal contexts are aggregated before the sort: one stands for all, and what occurs twice is repeated as a
+whole. A context that occurs once can still share windows with other contexts of the same anchor string. Those are
+sorted as suffixes: every task writes front-coded runs in suffix order (the length of the prefix shared with the last
+suffix, then the rest), runs are dealt so that suffixes which share their first ``_core`` bytes meet, and a loser tree
+merges them without comparing known prefixes again. The common prefixes of the merged order, and those of the bytes to
+the left read backwards, give the windows that are shared. Where more than ``HOT`` contexts share an anchor string,
+their windows are counted by hash instead, so that no task holds such a group.
 """
 
 from __future__ import annotations
@@ -19,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Prefixes, materialize, mix64, random_words, slices, utf8
+from .common import Prefixes, grams, materialize, mix64, random_words, slices, utf8
 
 LENGTH = 400
 #: Bytes of an anchor string; it is the least that contexts which are compared share.
@@ -30,12 +31,14 @@ GRAM = 100
 RUN = 4096
 #: Groups up to this many contexts are compared pair by pair, larger ones by classes of common prefixes.
 PAIRWISE = 12
+#: Distinct contexts of one anchor string up to which they are merged; beyond, their windows are counted one by one.
+HOT = 100_000
+#: Tasks over which the distinct contexts of one anchor string, or the occurrences of one window, are dealt.
+SALTS = 16
 #: Low bits of an ordering key that hold the place in its slice.
 _PLACE_BITS = 31
 
-_T = [random_words(256, 21), random_words(256, 22)]
-
-
+_KEYS = [int(x) for x in random_words(2, 21)]
 _BASE = [int(random_words(1, 23)[0]), int(random_words(1, 24)[0])]
 
 
@@ -56,8 +59,11 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> dict[st
     rows = np.flatnonzero(size >= length)
     if not len(rows):
         return out
-    first = Prefixes(data, _T[0], _BASE[0])
-    key = first.all_of(gram)
+    # A string's hash is that of its grams of up to 8 bytes, of which it has so many fewer than bytes.
+    less = min(8, gram) - 1
+    values = grams(data, less + 1, _KEYS[0])
+    first = Prefixes(values, _BASE[0])
+    key = first.all_of(gram - less)
     key &= np.uint64((1 << 64) - (1 << _PLACE_BITS))
     key |= np.arange(len(key), dtype=np.uint64)
     best = (sliding_min(key, length - gram + 1) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
@@ -73,12 +79,12 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> dict[st
     a, s1, s2 = place[opens], starts[opens], starts[closes]
     row = np.searchsorted(at, s1, side="right") - 1
     left, right = np.minimum(length - gram, a - at[row]), np.minimum(length, at[row + 1] - a)
-    second = Prefixes(data, _T[1], _BASE[1])
+    second = Prefixes(mix64(values ^ np.uint64(_KEYS[1])), _BASE[1])
     edges = (left * (length + 1) + right).astype(np.uint64)
     low, high = a - left, a + right
     return {
-        "row": row, "at": a - at[row], "low": a - s2, "high": a - s1, "left": left, "right": right, "g": first.of(a, a + gram),
-        "c1": mix64(first.of(low, high) + edges), "c2": mix64(second.of(low, high) ^ mix64(edges + np.uint64(5))),
+        "row": row, "at": a - at[row], "low": a - s2, "high": a - s1, "left": left, "right": right, "g": first.of(a, a + gram - less),
+        "c1": mix64(first.of(low, high - less) + edges), "c2": mix64(second.of(low, high - less) ^ mix64(edges + np.uint64(5))),
     }
 
 
@@ -225,14 +231,20 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h long, at int, low short, high short, left short, right short, g long, c1 long, c2 long")
 
 
+def _core(length: int, gram: int) -> int:
+    """Bytes that suffixes of one group share: equal windows lie in one group, whichever kind of suffix finds them."""
+    near = (length - gram) // 2
+    return min(length - near, near + gram)
+
+
 def _runs_of(found: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
-    """(part, suffixes, payload): sorted front-coded runs of the contexts in ``found`` (doc_id, h, once, text, spots).
+    """(part, suffixes, payload): sorted front-coded runs of the suffixes in ``found`` (doc_id, h, once, text, spots).
 
-    A context goes to the runs of two keys: that of the bytes from the anchor on (for windows that start at most ``near``
-    before it), and that of the bytes around the anchor (for the others). Equal windows have equal keys, and contexts of
-    one key share 250 bytes of 400.
+    A context gives a suffix at its anchor (for windows that start at most ``near`` before it), and one that starts
+    ``near`` before it (for the others). Runs are in order of kind and suffix. Equal windows have equal ``_core`` bytes
+    there, by whose hash suffixes are dealt, so that a group is adjacent in one part's order.
     """
-    near = (length - gram) // 2
+    near, core = (length - gram) // 2, _core(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -251,17 +263,19 @@ def _runs_of(found: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
             for doc_id, h, text, spots in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "spots")), strict=True):
                 data = text.encode()
                 for s in spots:
-                    a, low, high, once = s["at"], s["low"], s["high"], s["once"]
-                    right, left = data[a : a + s["right"]], data[a - s["left"] : a]
+                    if s["hot"]:
+                        continue
+                    a, low, high = s["at"], s["low"], s["high"]
+                    begin, end = a - s["left"], a + s["right"]
                     sides = []
-                    if low <= near and len(right) >= length - near:
-                        sides.append((b"R" + right[: length - near], left[-near:], right, low, min(high, near)))
-                    if high > near and len(left) > near:
-                        sides.append((b"L" + left[-near:] + right[:gram], left, right[: length - near - 1], max(low, near + 1), high))
-                    for key, before, after, d1, d2 in sides:
-                        k = hashlib.blake2b(key, digest_size=8).digest()
-                        part = int.from_bytes(k, "big") % parts
-                        held.setdefault(part, []).append((k + after, once, doc_id, h, a, d1, d2, before))
+                    if low <= near and end - a >= length - near:
+                        sides.append((b"R", a, data[a:end], data[max(begin, a - near) : a], low, min(high, near)))
+                    if high > near and a - begin > near:
+                        p = a - near
+                        sides.append((b"L", p, data[p : min(end, p + length - 1)], data[begin:p], max(low, near + 1) - near, high - near))
+                    for kind, p, suffix, before, d1, d2 in sides:
+                        part = int.from_bytes(hashlib.blake2b(suffix[:core], digest_size=8).digest(), "big") % parts
+                        held.setdefault(part, []).append((kind + suffix, s["once"], doc_id, h, p, d1, d2, before))
                         count += 1
             if count > 40_000:
                 for part in list(held):
@@ -284,11 +298,13 @@ def _payloads(data: bytes) -> Iterator[tuple]:
 _PAYLOAD = struct.calcsize("<?qqiHHH")
 
 
-def _merge(runs: DataFrame, parts: int, length: int) -> DataFrame:
+def _merge(runs: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     """(doc_id, h, start, end): what the contexts that occur once share with others, by merging the runs of each part.
 
-    A task holds the runs of one part; the parts' number follows the runs' total size.
+    A task holds the runs of one part, and one group of at most ``HOT`` suffixes; the parts' number follows the runs'
+    total size.
     """
+    least = 1 + _core(length, gram)
 
     def solve(found: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         tree = LoserTree([((s, shared, p) for (s, shared), p in zip(front_decode(a), _payloads(b), strict=True)) for a, b in found])
@@ -303,10 +319,10 @@ def _merge(runs: DataFrame, parts: int, length: int) -> DataFrame:
                         out.extend((doc_id, h, a - d2, a - d1 + length) for d1, d2 in ranges)
 
         for _, shared, payload in tree:
-            if shared < 8:
+            if shared < least:
                 close()
                 prefix, group = [], []
-            prefix.append(shared - 8)
+            prefix.append(shared - 1)
             group.append(payload)
         close()
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "h", "start", "end"])
@@ -326,6 +342,31 @@ def _merge(runs: DataFrame, parts: int, length: int) -> DataFrame:
     return runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, h long, start int, end int")
 
 
+def _windows(found: DataFrame, length: int) -> DataFrame:
+    """(doc_id, h, start, end): windows of the hot contexts that occur once, where another hot context has them too.
+
+    A window's 128-bit hash is counted over all contexts of its anchor string, so that no task holds them together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for doc_id, h, text, spots in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "spots")), strict=True):
+                data = text.encode()
+                for s in spots:
+                    if s["hot"]:
+                        starts = range(s["at"] - s["high"], s["at"] - s["low"] + 1)
+                        k = len(starts)
+                        marks = [hashlib.blake2b(data[a : a + length], digest_size=16).digest() for a in starts]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(marks, pa.binary()), pa.array([doc_id] * k, pa.int64()), pa.array([h] * k, pa.int64()), pa.array(starts, pa.int32()), pa.array([s["once"]] * k)], ["window", "doc_id", "h", "start", "once"]
+                        )
+
+    rows = materialize(found.mapInArrow(run, "window binary, doc_id long, h long, start int, once boolean"), "suffix-windows")
+    shared = rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.where("once").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    return salted.join(shared.hint("merge"), ["window", "salt"]).select("doc_id", "h", "start", (F.col("start") + length).alias("end"))
+
+
 #: Bytes of contexts that a part holds.
 PART_BYTES = 12 << 20
 
@@ -336,18 +377,22 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     ``keyed`` has doc_id, h (a hash of the text) and text; rows that agree in both are told apart only by their number.
     """
     scan = materialize(_scan(keyed, length, gram), "suffix-anchors")
-    in_group = Window.partitionBy("g")
     kinds = scan.groupBy("g", "c1", "c2").agg(F.count("*").alias("m"))
-    kinds = kinds.select("c1", "c2", "m", F.count("*").over(in_group).alias("k"), F.min("m").over(in_group).alias("least"))
-    kinds = kinds.where("m > 1 or k > 1").select("c1", "c2", (F.col("m") == 1).alias("once"), ((F.col("k") > 1) & (F.col("least") == 1)).alias("open"))
+    # Anchor strings with several contexts of which one occurs once; partial aggregates come first, and the contexts of
+    # one anchor string are dealt by a salt too, since a third of all contexts may have the same.
+    groups = kinds.groupBy("g").agg(F.count("*").alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1")
+    groups = groups.select("g", "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    kinds = kinds.withColumn("salt", F.pmod("c1", F.lit(SALTS)).cast("int")).join(groups.hint("merge"), ["g", "salt"], "left").where("m > 1 or k is not null")
+    kinds = kinds.select("c1", "c2", (F.col("m") == 1).alias("once"), F.col("k").isNotNull().alias("open"), (F.coalesce("k", F.lit(0)) > HOT).alias("hot"))
     hits = materialize(scan.select("doc_id", "h", "at", "low", "high", "left", "right", "c1", "c2").join(kinds.hint("merge"), ["c1", "c2"]), "suffix-hits")
     whole = hits.where("not once").select("doc_id", "h", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
     contexts = hits.where("open").dropDuplicates(["c1", "c2"])
-    total = hits.where("open").agg(F.sum(F.col("left") + F.col("right") + 200)).first()[0] or 0
-    parts = max(1, -(-int(total) * 2 // PART_BYTES))
-    spots = contexts.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "low", "high", "left", "right", "once")).alias("spots"))
+    total, hot = hits.where("open").agg(F.sum(F.when(~F.col("hot"), F.col("left") + F.col("right") + 200)), F.max("hot")).first()
+    parts = max(1, -(-int(total or 0) * 2 // PART_BYTES))
+    spots = contexts.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "low", "high", "left", "right", "once", "hot")).alias("spots"))
     found = keyed.join(spots.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "text", "spots")
-    return whole.union(_merge(_runs_of(found, length, gram, parts), parts, length))
+    spans = whole.union(_merge(_runs_of(found, length, gram, parts), parts, length, gram))
+    return spans.union(_windows(found, length)) if hot else spans
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -357,7 +402,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cross texts, may overlap, and are judged on the input. ``kept`` is binary, since cuts may fall inside a character;
     n_spans counts the runs that were removed. Null texts are empty; texts shorter than ``length`` stay as they are.
     Every row gives one row, repeated rows too (which then repeat each other). Null ids are allowed. Other columns are
-    ignored.
+    ignored. Texts of any length: a task holds one whole text and slices of short ones.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     keyed = rows.select(F.coalesce("id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("h"), "id", "text")

@@ -99,6 +99,16 @@ def test_prefix_tree_against_all_pairs(seed):
         assert same == {True}
 
 
+def test_words_on_which_polynomial_hashes_agree_are_told_apart(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word.upper()), (4, "x" * 32 + "y" * 32), (5, "y" * 32 + "x" * 32), (6, "x" * 64), (7, "x" * 32)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+
+
 def test_no_documents(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

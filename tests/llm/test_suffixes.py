@@ -45,6 +45,34 @@ def test_removal_against_brute_force(spark, monkeypatch, seed, length, gram, pai
     assert got == sorted(str((r[0], *w)) for r, w in zip(rows, brute(texts, length), strict=True))
 
 
+@pytest.mark.parametrize("seed", [0, 4])
+def test_contexts_of_crowded_anchor_strings_are_counted_by_window(spark, monkeypatch, seed):
+    monkeypatch.setattr(suffixes, "HOT", 1)
+    texts = [*corpus(seed), *(f"{i:03d}" * (i % 5) + "a passage that stands in many surroundings, 50 letters." + f"{i:04d}" for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df, length=40, gram=10).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 40)
+
+
+def test_strings_on_which_polynomial_hashes_agree_are_told_apart(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word[:1500], word[:1500].translate(str.maketrans("ab", "ba")), "c" * 100 + word[:1024]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df).collect()}
+    assert [got[i] for i in range(3)] == brute(texts, 400)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(1)
+    passage = "".join(rng.choices("abcdefgh ", k=700))
+    long = "".join(rng.choices("abcdefghij ", k=3_000_000))
+    texts = [long[:1_000_000] + passage + long[1_000_000:], "x" + passage, "é" * 300]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (3_000_700, 700, 1), 1: (701, 700, 1), 2: (600, 600, 1)}
+
+
 def test_the_same_row_twice_repeats_itself(spark):
     df = spark.createDataFrame([(1, "x" * 10 + "abcdefghij" * 3), (1, "x" * 10 + "abcdefghij" * 3)], "doc_id long, text string")
     assert [(r.n_removed, r.n_spans) for r in suffixes.remove_repeats(df, length=30, gram=8).collect()] == [(40, 1)] * 2
