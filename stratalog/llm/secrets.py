@@ -299,8 +299,9 @@ def find_secrets(docs: DataFrame, grammar: Grammar, text: str = "text", margin:
     """Add ``secrets``: array of (kind, start, end) in code points, ordered by start and kind.
 
     Null and empty texts have none. Fixed patterns match leftmost and without overlaps within a kind; ``grammar`` spans
-    are whole tokens that those do not cover wholly and whose score reaches ``margin``; they may overlap those. Extra
-    columns pass through; one named ``secrets`` is replaced.
+    are whole tokens that those do not cover wholly and whose score reaches ``margin``; they may overlap those. Work grows
+    with a text's length, and repeated rows give repeated results. Extra columns pass through; one named ``secrets`` is
+    replaced.
     """
     keep = [c for c in docs.columns if c != "secrets"]
     spans = "array<struct<kind:string,start:int,end:int>>"
@@ -314,10 +315,11 @@ def find_secrets(docs: DataFrame, grammar: Grammar, text: str = "text", margin:
             out = []
             for _, body, found, candidates in scan_bytes(*utf8(batch.column(text).cast(pa.string()))):
                 all_found = [x[:3] for x in found] + [("grammar", a, b) for a, b in unsettled(candidates, found) if model.score(body[a:b]) >= margin]
-                # Spans start and end at ASCII, so a byte's place is the code points before it.
-                place = (lambda x, wide=len(body) != len(body.decode(errors="surrogatepass")), body=body: len(body[:x].decode(errors="surrogatepass")) if wide else x) if all_found else None
-                spans = [{"kind": k, "start": place(a), "end": place(b)} for k, a, b in all_found]
-                out.append(sorted(spans, key=lambda s: (s["start"], order[s["kind"]])))
+                if all_found and not body.isascii():
+                    # A byte's place is the code points that begin before it.
+                    points = np.concatenate([[0], np.cumsum((np.frombuffer(body, np.uint8) & 0xC0) != 0x80)])
+                    all_found = [(k, int(points[a]), int(points[b])) for k, a, b in all_found]
+                out.append(sorted(({"kind": k, "start": a, "end": b} for k, a, b in all_found), key=lambda s: (s["start"], order[s["kind"]])))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, kind)], [*keep, "secrets"])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

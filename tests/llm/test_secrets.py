@@ -132,3 +132,13 @@ def test_cover_by_several_matches():
     found = [("hex", 10, 20, 10), ("assign", 0, 10, 5), ("hex", 30, 40, 30)]
     assert secrets.unsettled([(0, 20), (0, 21), (30, 40), (25, 40), (50, 60)], found) == [(0, 21), (25, 40), (50, 60)]
     assert secrets.uncovered([(0, 20), (20, 30), (25, 40), (50, 60)], found) == [(20, 30), (50, 60)]
+
+
+def test_places_in_a_long_text_of_wide_characters(spark):
+    """Work grows with the text: half a million places among characters of two bytes."""
+    line = "é token = abcdefghijkl0123 ä\n"
+    docs = spark.createDataFrame([(1, line * 20_000), (1, line * 20_000), (2, "")], "doc_id int, text string")
+    found = secrets.find_secrets(docs, secrets.Grammar({})).collect()
+    spans = next(r.secrets for r in found if r.doc_id == 1)
+    assert len(spans) == 20_000 and [(s.start, s.end) for s in spans[:2]] == [(2, 26), (2 + len(line), 26 + len(line))]
+    assert all(r.secrets == spans for r in found if r.doc_id == 1)
