@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix64, random_words, slices, utf8
 
-#: Labelled documents that the model is fitted on: those with the smallest hashes. Beyond so many lines, a sample of their
-#: blocks of contiguous lines is used, those with the smallest hashes.
+#: Defaults of ``train``: labelled documents that the model is fitted on, those with the smallest hashes, and lines beyond
+#: which a sample of their blocks of contiguous lines is used, those with the smallest hashes.
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 120_000
 BLOCK = 256
@@ -263,10 +263,10 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE_DOCS) -> LineField:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE_DOCS, most_lines: int = SAMPLE_LINES) -> LineField:
     """Fit on at most ``most`` labelled documents outside the held-out fold, those with the smallest hashes of their ids.
 
-    Only they reach the driver, as line features. Documents of more than ``SAMPLE_LINES`` lines in all are thinned out
+    Only they reach the driver, as line features. Documents of more than ``most_lines`` lines in all are thinned out
     before: blocks of ``BLOCK`` lines are taken in the order of their hashes, whatever their documents' lengths, up to the
     one that reaches the bound; a document's blocks are put together in order. Rows without a label are ignored; of
     repeated labels the largest counts. Without labels of both classes, every document gets the score of the share
@@ -290,9 +290,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     blocks = materialize(blocks.withColumn("hash", F.xxhash64("id", "block", "x")), "quality-lines")
     # A block has a line at least, so no more blocks than lines are needed.
     lines = 0
-    for r in blocks.select("hash", "row", "lines").orderBy("hash", "row").limit(SAMPLE_LINES).toLocalIterator():
+    for r in blocks.select("hash", "row", "lines").orderBy("hash", "row").limit(most_lines).toLocalIterator():
         lines += r.lines
-        if lines >= SAMPLE_LINES:
+        if lines >= most_lines:
             blocks = blocks.where((F.col("hash") < r.hash) | ((F.col("hash") == r.hash) & (F.col("row") <= r.row)))
             break
     held: dict[int, list] = {}
