@@ -41,11 +41,13 @@ def wav_bytes(payload: bytes) -> bytes:
     return out.getvalue()
 
 
-def wav_samples(media: bytes) -> bytes:
-    with wave.open(io.BytesIO(media), "rb") as w:
-        if (w.getnchannels(), w.getsampwidth()) != (1, 1):
-            raise ValueError("only mono 8-bit samples are fingerprinted")
-        return w.readframes(w.getnframes())
+def wav_samples(media: bytes) -> bytes | None:
+    """The samples of a mono 8-bit WAV file; None for anything else, an empty or a broken file among them."""
+    try:
+        with wave.open(io.BytesIO(media), "rb") as w:
+            return w.readframes(w.getnframes()) if (w.getnchannels(), w.getsampwidth()) == (1, 1) else None
+    except (wave.Error, EOFError):
+        return None
 
 
 def encode_wav(df: DataFrame, text: str, wav: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
@@ -133,8 +135,10 @@ def fingerprint_wav(df: DataFrame, wav: str = "media") -> DataFrame:
 
     Adds payload_bytes, payload_sha256, tail_crc32 (of the last 32 samples), media_bytes, media_sha256, n_frames,
     ``fingerprint`` (array of time-coded peak pairs, see ``pair_codes``) and ``feature``, a string of the frame and
-    pair counts and the SHA-1 of the codes. A null file gives nulls. Long files are transformed in blocks of frames.
-    Columns that already have one of these names are replaced.
+    pair counts and the SHA-1 of the codes. A null file gives nulls; one that is no mono 8-bit WAV (an empty or broken
+    one too) has only media_bytes and media_sha256. A file of fewer samples than a frame, or none, has no frames and no
+    pairs. Long files are transformed in blocks of frames; repeated rows give repeated results. Columns that already
+    have one of these names are replaced.
     """
     added = {
         "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(),
@@ -164,10 +168,10 @@ def fingerprint_wav(df: DataFrame, wav: str = "media") -> DataFrame:
         at = np.searchsorted(who, np.arange(len(media) + 1))
         prints = [None if p is None else codes[a:b] for p, a, b in zip(payloads, at[:-1], at[1:], strict=True)]
         out = {
-            "payload_bytes": [p and len(p) for p in payloads],
+            "payload_bytes": [None if p is None else len(p) for p in payloads],
             "payload_sha256": [None if p is None else hashlib.sha256(p).hexdigest() for p in payloads],
             "tail_crc32": [None if p is None else zlib.crc32(p[-32:]) for p in payloads],
-            "media_bytes": [m and len(m) for m in media],
+            "media_bytes": [None if m is None else len(m) for m in media],
             "media_sha256": [None if m is None else hashlib.sha256(m).hexdigest() for m in media],
             "n_frames": [None if p is None else int(n) for p, n in zip(payloads, counts, strict=True)],
             "fingerprint": prints,

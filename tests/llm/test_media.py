@@ -51,6 +51,25 @@ def test_pairs_against_brute_force():
         assert codes[who == k].tolist() == w
 
 
+def test_files_without_samples_and_files_that_are_none(spark):
+    stereo = bytearray(media.wav_bytes(b"\x80" * 600))
+    stereo[22:24] = (2).to_bytes(2, "little")
+    files = [media.wav_bytes(b""), media.wav_bytes(b"\x80" * 10), b"", b"RIFF", media.wav_bytes(b"\x01" * 600)[:20], bytes(stereo), None]
+    df = spark.createDataFrame([(i, None if f is None else bytearray(f), "x", "y") for i, f in enumerate(files)], "doc_id int, media binary, feature string, n_frames string")
+    got = {r.doc_id: r for r in media.fingerprint_wav(df, "media").collect()}
+    assert [(got[i].payload_bytes, got[i].n_frames, got[i].fingerprint) for i in (0, 1)] == [(0, 0, []), (10, 0, [])]
+    assert got[0].payload_sha256 == hashlib.sha256(b"").hexdigest() and got[0].tail_crc32 == 0
+    for i in (2, 3, 4, 5):
+        assert got[i].payload_bytes is None and got[i].feature is None and got[i].media_bytes == len(files[i]) and got[i].media_sha256 == hashlib.sha256(files[i]).hexdigest()
+    assert got[6].media_bytes is None and got[6].media_sha256 is None
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "some text", b"old", 7)] * 2, "doc_id int, text string, media binary, n_bytes int")
+    out = media.fingerprint_wav(media.encode_wav(df, "text"), "media").collect()
+    assert [(r.n_bytes, r.payload_bytes) for r in out] == [(9, 576)] * 2 and out[0] == out[1]
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert media.fingerprint_wav(media.encode_wav(df, "text"), "media").count() == 0
