@@ -8,6 +8,7 @@ frame and the offset inside the decompressed frame, so that one record is read b
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 import uuid
@@ -33,6 +34,8 @@ BUNDLE_BYTES = 32 << 20
 REVISIT_BYTES = 1000
 #: Tasks over which the rows of one payload are dealt.
 SALTS = 32
+#: Reading tasks a core at most.
+TASKS = 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX_SCHEMA = "id long, record_id string, bundle string, frame int, frame_start long, frame_bytes long, record_start long, record_bytes long"
 
@@ -77,7 +80,7 @@ def record_bytes(row_id: int | None, record_id: str, url: str | None, payload: b
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 37))) + ''.join(map(chr, range(38, 127))))}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -96,7 +99,7 @@ def parse_records(data: bytes) -> Iterator[dict]:
             "id": int(key) if key else None, "record_id": head["WARC-Record-ID"].strip("<>"), "record_type": head["WARC-Type"],
             "url": None if url is None else unquote(url), "declared_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
             "declared_bytes": int(http[b"Content-Length"]), "payload": block[cut:] if to is None else None,
-            "refers_to": None if to is None else int(re.sub(r"\D*(-?\d+)>$", r"\1", to)),
+            "refers_to": None if to is None else int(to.split(":")[2]),
         }
         at = end + 4 + size + 4
 
@@ -166,7 +169,9 @@ def write_archive(decided: DataFrame, folder: str) -> DataFrame:
     """Write the rows of ``decide_revisits`` as bundles in ``folder``, a URI that all executors reach; returns the record index.
 
     The index is written to ``folder/index`` and read back. A task that is run again writes bundles under new names;
-    only the names in the index count, so bundles of lost attempts are never read.
+    only the names in the index count, so bundles of lost attempts are never read. A record's id holds the row's id and
+    its payload's digest, so rows that repeat an id with other payloads have ids of their own; rows that repeat both are
+    one record written again.
     """
     spark = decided.sparkSession
     jvm = spark.sparkContext._jvm
@@ -185,7 +190,7 @@ def write_archive(decided: DataFrame, folder: str) -> DataFrame:
         written = 0
         for batch in slices(batches, "payload"):
             for row_id, url, payload, digest, refers in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                record_id = f"urn:page:{row_id}" if row_id is not None else f"urn:uuid:{uuid.uuid4()}"
+                record_id = f"urn:page:{row_id}:{digest}" if row_id is not None else f"urn:uuid:{uuid.uuid4()}"
                 record = record_bytes(row_id, record_id, url, payload, digest, refers)
                 bundle.add(row_id, record_id, record)
                 written += len(record)
@@ -211,6 +216,8 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     bundles = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index").select("bundle").distinct()
+    # Names are small, so Spark would merge them into a few tasks; a bundle is the work of one.
+    bundles = bundles.repartition(max(1, min(bundles.count(), TASKS * spark.sparkContext.defaultParallelism)))
     where = _uri(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,10 +239,13 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
-    """The records whose id is in ``ids`` (one column), by seeking: each frame that holds one is read alone."""
+    """The records whose id is in ``ids`` (one column), by seeking: each frame that holds some is read once, and no other."""
     name = ids.columns[0]
     index = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
     wanted = index.join(ids.select(F.col(f"`{name}`").cast("long").alias("id")).distinct(), "id", "left_semi")
+    # A frame's records are few, since frames are closed at a size.
+    frames = wanted.groupBy("bundle", "frame_start", "frame_bytes").agg(F.collect_list(F.struct("record_start", "record_bytes")).alias("records"))
+    frames = frames.sortWithinPartitions("bundle", "frame_start")
     schema = "id long, record_type string, payload binary"
     where = _uri(spark, folder)
 
@@ -243,11 +253,12 @@ def read_records(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
         store, path = fs.FileSystem.from_uri(where)
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for r in batch.to_pylist():
-                with store.open_input_file(f"{path}/{r['bundle']}") as f:
-                    f.seek(r["frame_start"])
-                    frame = unpack.decompress(f.read(r["frame_bytes"]))
-                record = next(parse_records(frame[r["record_start"] : r["record_start"] + r["record_bytes"]]))
-                yield pa.RecordBatch.from_arrays([pa.array([record["id"]], pa.int64()), pa.array([record["record_type"]]), pa.array([record["payload"]], pa.binary())], ["id", "record_type", "payload"])
-
-    return wanted.mapInArrow(run, schema)
+            for bundle, group in itertools.groupby(batch.to_pylist(), key=lambda r: r["bundle"]):
+                with store.open_input_file(f"{path}/{bundle}") as f:
+                    for r in group:
+                        f.seek(r["frame_start"])
+                        frame = unpack.decompress(f.read(r["frame_bytes"]))
+                        found = [next(parse_records(frame[x["record_start"] : x["record_start"] + x["record_bytes"]])) for x in r["records"]]
+                        yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in found], pa.int64()), pa.array([x["record_type"] for x in found]), pa.array([x["payload"] for x in found], pa.binary())], ["id", "record_type", "payload"])
+
+    return frames.mapInArrow(run, schema)

@@ -55,6 +55,26 @@ def test_frames_are_independent_and_seekable(spark):
         assert record["id"] == r.id and record["payload"].startswith(f"{r.id} ".encode())
 
 
+def test_repeated_ids_with_other_payloads_are_records_of_their_own(spark):
+    rows = [(1, "u", "a" * 2000, "x"), (1, "u", "b" * 2000, "x"), (2, "u", "a" * 2000, "x"), (2, "u", "b" * 2000, "x")]
+    folder = fresh_path(spark, "t")
+    index = warc.write_archive(warc.decide_revisits(spark.createDataFrame(rows, SCHEMA)), folder).collect()
+    assert len({r.record_id for r in index}) == 4
+    read = warc.read_archive(spark, folder).collect()
+    assert sorted((r.id, r.record_type, r.refers_to or 0) for r in read) == [(1, "revisit", 2), (1, "revisit", 2), (2, "response", 0), (2, "response", 0)]
+    assert sorted(bytes(r.payload or b"")[:1] for r in warc.read_records(spark, folder, spark.createDataFrame([(1,), (2,), (2,)], "i int")).collect()) == [b"", b"", b"a", b"b"]
+
+
+def test_a_task_a_bundle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 1)
+    rows = [(i, "u", f"{i} " * 1000, "x") for i in range(9)]
+    folder = fresh_path(spark, "t")
+    index = warc.write_archive(warc.decide_revisits(spark.createDataFrame(rows, SCHEMA)), folder)
+    assert index.select("bundle").distinct().count() == 9
+    read = warc.read_archive(spark, folder)
+    assert read.rdd.getNumPartitions() == 9 and {r.id for r in read.collect()} == set(range(9))
+
+
 def test_no_pages(spark):
     folder = fresh_path(spark, "t")
     warc.write_archive(warc.decide_revisits(spark.createDataFrame([], SCHEMA)), folder)
