@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join by prefix trees.
 
-1. Every text becomes its set of word n-grams (64-bit hashes). Equal sets form a class.
+1. Every text becomes its set of word n-grams (64-bit hashes). Equal sets form a class, for which one row stands.
 2. N-grams have one global order: rare before frequent, then by hash. Two sets that reach the similarity share a few
    n-grams in their prefixes (``least_shared``), so documents that share so many, and whose sizes allow it, are brought
    into one block. One n-gram that documents share by chance joins no blocks.
@@ -10,7 +10,8 @@
 4. Links and classes give components.
 
 A block of many n-grams is cut into chunks. Chunks are joined alone, then one set of each of their components together;
-blocks that still have several components get every pair of chunks joined, so no link between components is lost.
+in blocks that still have several components, the sets that share an n-gram of their prefixes are joined, for every such
+n-gram, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ PAIRED = 8
 SHARED = 25
 #: N-grams of a chunk of a block.
 CHUNK = 1_500_000
+#: Tasks over which the rows of one class, or of one frequent n-gram, are dealt.
+SALTS = 16
 
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
@@ -238,17 +241,17 @@ def join_sets(sets: list[np.ndarray], percent: int, labels: list[int] | None = N
 
 
 def text_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: each document's (doc_id, n_shingles, s1, s2), and (token, times) of n-grams frequent in a task."""
+    """Rows of two kinds: each row's (row, doc_id, n_shingles, s1, s2), and (token, times) of n-grams frequent in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "s1", "s2", "token", "times"]
+        names = ["row", "doc_id", "n_shingles", "s1", "s2", "token", "times"]
         held, count, known = [], 0, set()
 
         def frequent() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(held), return_counts=True)
             keep = times >= FREQUENT
             k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array(token[keep].astype(np.int64)), pa.array(times[keep].astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(5)), pa.array(token[keep].astype(np.int64)), pa.array(times[keep].astype(np.int64))], names)
 
         for batch in slices(batches, "text"):
             values, cut = shingle_table(*utf8(batch.column("text")), n)
@@ -262,18 +265,18 @@ def text_sets(docs: DataFrame, n: int) -> DataFrame:
             held.append(values[np.repeat(fresh, size)])
             count += len(held[-1])
             none = pa.nulls(len(size), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(s1), pa.array(s2), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(size), pa.array(s1), pa.array(s2), none, none], names)
             if count >= COUNTED:
                 yield frequent()
                 held, count = [], 0
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, token long, times long")
+    return docs.mapInArrow(run, "row long, doc_id long, n_shingles long, s1 long, s2 long, token long, times long")
 
 
 def prefix_tokens(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(token, doc_id, size) of the n-grams in each set's prefix; of equal sets in a task, the first document stands for all."""
+    """(token, row, size, frequent) of the n-grams in each set's prefix; of equal sets in a task, the first row stands for all."""
     held = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.astype(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +285,7 @@ def prefix_tokens(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -
             values, cut = shingle_table(*utf8(batch.column("text")), n)
             marks = list(zip(*(x.tolist() for x in signatures(values, cut)), strict=True))
             slow = late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values if len(late) else np.zeros(len(values), bool)
-            tokens, owners = [], []
+            tokens, owners, late_ones = [], [], []
             for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                 if a == b or marks[i] in known:
                     continue
@@ -290,52 +293,70 @@ def prefix_tokens(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -
                 s, last = values[a:b], slow[a:b]
                 length = min(b - a, b - a - -(-percent * (b - a) // 100) + least_shared(b - a))
                 prefix = s[~last][:length]
-                if len(prefix) < length:
-                    prefix = np.concatenate([prefix, s[last][: length - len(prefix)]])
+                rest = length - len(prefix)
+                late_ones.append(np.arange(length) >= len(prefix))
+                if rest:
+                    prefix = np.concatenate([prefix, s[last][:rest]])
                 tokens.append(prefix)
                 owners.append(i)
             if tokens:
                 of = np.repeat(owners, [len(t) for t in tokens])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column("doc_id").take(pa.array(of)), pa.array(np.diff(cut)[of].astype(np.int32))], ["token", "doc_id", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column("row").take(pa.array(of)), pa.array(np.diff(cut)[of].astype(np.int32)), pa.array(np.concatenate(late_ones))], ["token", "row", "size", "frequent"])
 
-    return docs.mapInArrow(run, "token long, doc_id long, size int")
+    return docs.mapInArrow(run, "token long, row long, size int, frequent boolean")
 
 
-def candidate_edges(tokens: DataFrame, percent: int) -> DataFrame:
-    """Edges (x, y) that connect all documents whose prefixes share enough n-grams and whose sizes allow the similarity.
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """(token, row, size, many, near): the tokens that several rows have, with the rows before each one by size where they are few.
 
-    Pairs are counted over n-grams of few documents (``PAIRED``). Of the n-grams that a pair shares, the others are at
-    most as many as either document has of those, h. So a pair that shares enough either has enough counted ones less h,
-    or both documents have enough of the others; for those, along an n-gram's documents by size, every document is
-    linked to the first of its run, and a run ends where the next size is too large for the last. Edges grow with the
+    ``many`` marks the tokens that are not counted pair by pair: those of more than ``PAIRED`` rows, and the frequent ones.
+    The latter skip the window, since one of them may be in a third of all rows.
+    """
+    by_size = Window.partitionBy("token").orderBy("size", "row")
+    counted = tokens.where("not frequent").withColumn("c", F.count("*").over(Window.partitionBy("token")))
+    earlier = F.array(*[F.struct(F.lag("row", k).over(by_size).alias("row"), F.lag("size", k).over(by_size).alias("size")) for k in range(1, PAIRED)])
+    few = counted.withColumn("near", F.when(F.col("c") <= PAIRED, earlier)).where("c > 1").select("token", "row", "size", (F.col("c") > PAIRED).alias("many"), "near")
+    often = tokens.where("frequent").select("token", "row", "size", F.lit(True).alias("many"), F.lit(None).cast(few.schema["near"].dataType).alias("near"))
+    return few.union(often)
+
+
+def candidate_edges(shared: DataFrame, percent: int) -> DataFrame:
+    """Edges (x, y) that connect all rows whose prefixes share enough n-grams and whose sizes allow the similarity.
+
+    Pairs are counted over n-grams of few rows. Of the n-grams that a pair shares, the others (``many``) are at most as
+    many as either row has of those, h. So a pair that shares enough either has enough counted ones less h, or both rows
+    have enough of the others; for those, along an n-gram's rows by size, every row is linked to the first of its run,
+    and a run ends where the next size is too large for the last. Rows of one n-gram and size are linked within salts,
+    then the salts' first rows, then the sizes': each step has one row for all of the last one's. Edges grow with the
     tokens, not with their squares.
     """
-    by_size = Window.partitionBy("token").orderBy("size", "doc_id")
-    counted = tokens.withColumn("c", F.count("*").over(Window.partitionBy("token")))
-    earlier = [F.struct(F.lag("doc_id", k).over(by_size).alias("doc_id"), F.lag("size", k).over(by_size).alias("size")) for k in range(1, PAIRED)]
-    near = F.filter(F.array(*earlier), lambda e: e["doc_id"].isNotNull() & (e["size"] * 100 >= F.col("size") * percent))
-    shared = materialize(counted.withColumn("near", F.when(F.col("c") <= PAIRED, near)).where("c > 1"), "ngram-tokens")
-
-    many = shared.where(F.col("c") > PAIRED)
-    held = many.groupBy("doc_id").agg(F.count("*").alias("h"))
-    pairs = shared.where(F.col("c") <= PAIRED).select("doc_id", "size", F.explode("near").alias("e")).where("doc_id != e.doc_id")
-    pairs = pairs.select(F.col("doc_id").alias("x"), F.col("e.doc_id").alias("y"), F.col("e.size").alias("size")).groupBy("x", "y", "size").agg(F.count("*").alias("s"))
-    of = [held.select(F.col("doc_id").alias(k), F.col("h").alias(f"h_{k}")) for k in ("x", "y")]
+    many = shared.where("many").select("token", "row", "size")
+    held = many.groupBy("row").agg(F.count("*").alias("h"))
+    near = F.filter("near", lambda e: e["row"].isNotNull() & (e["size"] * 100 >= F.col("size") * percent))
+    pairs = shared.where("not many").select("row", "size", F.explode(near).alias("e")).where("row != e.row")
+    pairs = pairs.select(F.col("row").alias("x"), F.col("e.row").alias("y"), F.col("e.size").alias("size")).groupBy("x", "y", "size").agg(F.count("*").alias("s"))
+    of = [held.select(F.col("row").alias(k), F.col("h").alias(f"h_{k}")) for k in ("x", "y")]
     counts = pairs.join(of[0], "x", "left").join(of[1], "y", "left")
     rest = F.least(*(F.coalesce(f"h_{k}", F.lit(0)) for k in ("x", "y")))
     linked = counts.where(F.col("s") >= least_shared(F.col("size")) - rest).select("x", "y")
 
     smallest = F.floor(F.col("size") * percent / 100)
-    crowded = many.join(held, "doc_id").where(F.col("h") >= least_shared(smallest)).select("token", "doc_id", "size")
+    crowded = many.join(held, "row").where(F.col("h") >= least_shared(smallest)).select("token", "row", "size", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+    in_salt = Window.partitionBy("token", "size", "salt")
+    salted = materialize(crowded.select("token", "size", "salt", "row", F.min("row").over(in_salt).alias("first")), "ngram-crowded")
+    heads = salted.where("row = first").select("token", "size", "row", F.min("row").over(Window.partitionBy("token", "size")).alias("first"))
+    sizes = heads.where("row = first").select("token", "size", "row")
+    by_size = Window.partitionBy("token").orderBy("size")
     last = F.lag("size").over(by_size)
-    opened = crowded.withColumn("opens", last.isNull() | (last * 100 < F.col("size") * percent))
-    first = F.last(F.when(F.col("opens"), F.col("doc_id")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
-    runs = opened.withColumn("first", first).where("doc_id != first").select(F.col("doc_id").alias("x"), F.col("first").alias("y"))
-    return linked.union(runs).distinct()
+    opened = sizes.withColumn("opens", last.isNull() | (last * 100 < F.col("size") * percent))
+    first = F.last(F.when(F.col("opens"), F.col("row")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+    runs = opened.withColumn("first", first)
+    chains = [x.where("row != first").select(F.col("row").alias("x"), F.col("first").alias("y")) for x in (salted, heads, runs)]
+    return linked.union(chains[0]).union(chains[1]).union(chains[2]).distinct()
 
 
 def join_groups(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Prefix-tree joins of the groups of ``rows`` (task_key, doc_id, label, text): edges (a, b) to the first document of a component.
+    """Prefix-tree joins of the groups of ``rows`` (task_key, row, label, text): edges (a, b) to the first document of a component.
 
     Rows come dealt by task_key and sorted by it; a task holds the sets of one group at a time.
     """
@@ -351,18 +372,18 @@ def join_groups(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
         for batch in slices(batches, "text"):
             found = shingle_sets(*utf8(batch.column("text")), n)
-            for k, doc_id, label, s in zip(batch.column("task_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), found, strict=True):
+            for k, row, label, s in zip(batch.column("task_key").to_pylist(), batch.column("row").to_pylist(), batch.column("label").to_pylist(), found, strict=True):
                 if k != key:
                     if len(sets) > 1:
                         yield solve()
                     key, ids, labels, sets = k, [], [], []
-                ids.append(doc_id)
+                ids.append(row)
                 labels.append(label)
                 sets.append(s)
         if len(sets) > 1:
             yield solve()
 
-    return spread.select("task_key", "doc_id", "label", "text").mapInArrow(run, "a long, b long")
+    return spread.select("task_key", "row", "label", "text").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -371,61 +392,90 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Documents are linked when 100 * overlap >= percent * union of their sets of distinct word n-grams. class_id is the
     smallest id with an equal set, component_id the smallest id that links reach. Words are runs of anything but ASCII
     white space, ASCII letters in lower case. Texts of fewer than n words have one n-gram; null, empty and blank texts
-    have none and are linked with nothing. Rows with a null id are left out; rows that repeat an id count as one, that
-    with the largest set. Other columns are ignored.
+    have none and are linked with nothing. Every row is a document of its own, whether or not its id repeats; rows with
+    a null id take part, and the smallest id is null only where no row has one. Other columns are ignored.
     """
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    return components_of(source, n, percent)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return components_of(materialize(rows, "ngram-rows"), n, percent).select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+
+
+def for_salts(rows: DataFrame) -> DataFrame:
+    """Each row once for every salt, for a join with rows of which one key may have very many."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def components_of(source: DataFrame, n: int, percent: int) -> DataFrame:
+    """(row, doc_id, n_shingles, class_id, component_row, component_id) for ``source`` (row, doc_id, text): a table, with unique rows.
+
+    component_row is the smallest row that links reach.
+    """
     found = materialize(text_sets(source, n), "ngram-sets")
     counts = found.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT_LIST)
     frequent = np.array([r.token for r in counts.select("token").collect()], np.int64).view(np.uint64)
-    sets = found.where("token is null").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("s")).select("doc_id", "s.*")
-    classes = sets.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("first_id"))
-    members = sets.join(classes.hint("merge"), ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("class_id"))
+    mark = ["n_shingles", "s1", "s2"]
+    sets = found.where("token is null").select("row", "doc_id", *mark)
+    classes = sets.where("n_shingles > 0").groupBy(*mark).agg(F.min("row").alias("class_row"), F.min("doc_id").alias("class_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    members = salted(sets).join(for_salts(classes).hint("merge"), [*mark, "salt"], "left")
+    alone = F.col("class_row").isNull()
+    members = members.select("row", "doc_id", "n_shingles", F.coalesce("class_row", "row").alias("class_row"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
     members = materialize(members, "ngram-classes")
 
-    # From here on a class stands for all its documents.
-    class_of = members.select("doc_id", "class_id")
-    edges = candidate_edges(prefix_tokens(source, n, percent, frequent), percent)
-    edges = edges.join(class_of, edges.x == class_of.doc_id).select(F.col("class_id").alias("a"), "y")
-    edges = edges.join(class_of, edges.y == class_of.doc_id).select("a", F.col("class_id").alias("b"))
+    # From here on a class's first row stands for all its rows.
+    class_of = members.select("row", "class_row")
+    shared = materialize(shared_tokens(prefix_tokens(source, n, percent, frequent)), "ngram-tokens")
+    edges = candidate_edges(shared, percent)
+    edges = edges.join(class_of, edges.x == class_of.row).select(F.col("class_row").alias("a"), "y")
+    edges = edges.join(class_of, edges.y == class_of.row).select("a", F.col("class_row").alias("b"))
     blocks = connected_components(edges)
-    sized = blocks.join(members, blocks.node == members.doc_id).select("doc_id", F.col("root").alias("block"), "n_shingles")
+    sized = blocks.join(members, blocks.node == members.row).select("row", F.col("root").alias("block"), "n_shingles")
     totals = sized.groupBy("block").agg(F.sum("n_shingles").alias("total")).select("block", F.ceil(F.col("total") / CHUNK).cast("int").alias("chunks"))
-    placed = sized.join(totals, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    rows = materialize(placed.select("doc_id", "block", "chunks", "chunk"), "ngram-blocks")
-    texts = maybe_in(source, "doc_id", rows.select("doc_id")).join(rows, "doc_id").withColumn("label", F.lit(None).cast("long"))
+    placed = sized.join(totals, "block").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    rows = materialize(placed.select("row", "block", "chunks", "chunk", "n_shingles"), "ngram-blocks")
+    texts = maybe_in(source.select("row", "text"), "row", rows.select("row")).join(rows, "row").withColumn("label", F.lit(None).cast("long"))
     keyed = F.struct("block", "chunk")
-    links = materialize(join_groups(texts.select(F.xxhash64(keyed).alias("task_key"), "doc_id", "label", "text"), n, percent), "ngram-links")
+    links = materialize(join_groups(texts.select(F.xxhash64(keyed).alias("task_key"), "row", "label", "text"), n, percent), "ngram-links")
     large = rows.where("chunks > 1")
     if not large.isEmpty():
-        links = _join_chunks(source, large, links, n, percent)
-    roots = connected_components(links)
-    return members.join(roots, members.class_id == roots.node, "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
-
-
-def _join_chunks(source: DataFrame, large: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links across the chunks of blocks that have several."""
-    texts = materialize(maybe_in(source, "doc_id", large.select("doc_id")).join(large, "doc_id"), "ngram-chunks")
+        links = _join_chunks(source, large, links, shared.select("token", "row").join(class_of, "row").select("token", F.col("class_row").alias("row")).distinct(), n, percent)
+    roots = materialize(connected_components(links), "ngram-roots")
+    # Components of several classes, with the smallest id of theirs; all else is a component of its class.
+    ids = roots.join(members.select("row", "class_id"), roots.node == members.row).groupBy("root").agg(F.min("class_id").alias("component_id"))
+    named = for_salts(roots.join(ids, "root").select(F.col("node").alias("class_row"), F.col("root").alias("component_row"), "component_id"))
+    out = salted(members).join(named.hint("merge"), ["class_row", "salt"], "left")
+    return out.select(
+        "row", "doc_id", "n_shingles", "class_id", F.coalesce("component_row", "class_row").alias("component_row"),
+        F.when(F.col("component_row").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def _join_chunks(source: DataFrame, large: DataFrame, links: DataFrame, tokens: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links across the chunks of blocks that have several. ``tokens``: (token, row) of the n-grams that several rows' prefixes share."""
+    texts = materialize(maybe_in(source.select("row", "text"), "row", large.select("row")).join(large, "row"), "ngram-chunks")
 
     def labelled(links: DataFrame) -> DataFrame:
         roots = connected_components(links)
-        return texts.join(roots, texts.doc_id == roots.node, "left").select("doc_id", "block", "chunks", "chunk", "text", F.coalesce("root", "doc_id").alias("label"))
+        return texts.join(roots, texts.row == roots.node, "left").select("row", "block", "n_shingles", "text", F.coalesce("root", "row").alias("label"))
 
     # One set of each component of a chunk, dealt anew into as many chunks as these need.
-    heads = labelled(links).where("doc_id = label")
+    heads = labelled(links).where("row = label")
     counts = heads.groupBy("block").agg(F.count("*").alias("heads"))
-    least = heads.join(counts, "block").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("heads") / 1000)))
-    more = join_groups(least.select(F.xxhash64(F.struct("block", "part")).alias("task_key"), "doc_id", F.lit(None).cast("long").alias("label"), "text"), n, percent)
+    least = heads.join(counts, "block").withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), F.ceil(F.col("heads") / 1000)))
+    more = join_groups(least.select(F.xxhash64(F.struct("block", "part")).alias("task_key"), "row", F.lit(None).cast("long").alias("label"), "text"), n, percent)
     links = materialize(links.union(more), "ngram-links")
 
-    # Whatever is still apart: every pair of chunks of blocks with several components.
+    # Whatever is still apart: similar sets share an n-gram of their prefixes, so the sets of each such n-gram are joined.
+    # Those of an n-gram that many large sets have are cut into parts, of which every two meet.
     now = labelled(links)
     apart = now.groupBy("block").agg(F.countDistinct("label").alias("labels")).where("labels > 1").select("block")
-    rest = now.join(apart, "block", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other != chunk")
-    pair = F.struct("block", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    last = join_groups(rest.select(F.xxhash64(pair).alias("task_key"), "doc_id", "label", "text"), n, percent)
+    rest = materialize(now.join(apart, "block", "left_semi"), "ngram-apart")
+    on = tokens.join(rest.select("row", "label", "n_shingles"), "row")
+    groups = on.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n_shingles").alias("total")).where("low < high")
+    dealt = on.join(groups.select("token", F.ceil(F.col("total") / CHUNK).alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("row", F.lit(2)), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or other != part")
+    dealt = dealt.select("row", F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("task_key"))
+    last = join_groups(dealt.join(rest.select("row", "label", "text"), "row"), n, percent)
     return materialize(links.union(last), "ngram-links")

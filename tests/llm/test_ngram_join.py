@@ -54,13 +54,40 @@ def corpus(seed):
 def test_components_against_all_pairs(spark, seed, n, percent):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 0) for i, t in [*rows, rows[0], (None, "null id text here now")]], "doc_id long, text string, component_id int").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, n=n, percent=percent).collect()}
+    out = ngram_join.jaccard_components(df, n=n, percent=percent).collect()
+    assert len(out) == len(rows) + 2
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in out}
+    assert got.pop(None) == (len(shingles("null id text here now", n)), None)
     assert got == brute(rows, n, percent)
 
 
-def test_chunks_lose_no_link(spark, monkeypatch):
+def test_repeated_and_null_ids(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (1, "quite another text that is longer " * 3), (2, words + " tail"), (3, words), (None, words), (None, "nothing else is like this here"), (None, None), (4, "quite another text that is longer " * 3), (5, None)]
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.class_id, r.component_id) for r in out), key=str)
+    assert got == sorted([(1, 37, 1, 1), (1, 6, 1, 1), (2, 38, 2, 1), (3, 37, 1, 1), (0, 37, 1, 1), (0, 3, None, None), (0, 0, None, None), (4, 6, 1, 1), (5, 0, 5, 5)], key=str)
+
+
+def test_very_long_texts_and_ties_at_the_threshold(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    near = long[:30_000] + ["x"] * 3 + long[30_000:]
+    # 20 single words, 17 of them shared: 17 / 20 is the threshold itself.
+    tie = [" ".join(f"t{i}" for i in range(20)), " ".join(f"t{i}" for i in range(17))]
+    below = " ".join([*(f"t{i}" for i in range(16)), "other"])
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(reversed(long)))]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    rows = [(1, tie[0]), (2, tie[1]), (3, below)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=1).collect()}
+    assert got == {r: c for r, (_, c) in brute(rows, 1, 85).items()} and got[2] == 1
+
+
+@pytest.mark.parametrize("chunk", [300, 60])
+def test_chunks_lose_no_link(spark, monkeypatch, chunk):
     rows = corpus(5) + [(5000 + i, " ".join(f"c{j}" for j in range(60) if j != i % 30) + f" x{i % 7}") for i in range(40)]
-    monkeypatch.setattr(ngram_join, "CHUNK", 300)
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()}
     assert got == brute(rows, 4, 85)
