@@ -24,11 +24,14 @@ def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked rows the one with the smallest id stays, a null id last; rows are told apart by keys of their own."""
+    """Of every group of linked rows the one with the smallest id stays, a null id last, and of equal ids the first row.
+
+    Rows are told apart by keys of their own, so rows that repeat an id stay unless their texts are linked.
+    """
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-rows")
-    found = ngram_join.jaccard_components(rows, doc_id="__row", n=WORDS, percent=SIMILARITY).select(F.col("doc_id").alias("__row"), "component_id")
-    named = found.join(rows.select("__row", "doc_id").hint("merge"), "__row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first")).select("first.__row")
+    source = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = ngram_join.components_of(source, n=WORDS, percent=SIMILARITY)
+    first = found.groupBy("component_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("__row"))
     return rows.join(first.hint("merge"), "__row", "left_semi").select(docs.columns)
 
 
