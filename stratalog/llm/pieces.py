@@ -4,8 +4,10 @@ The normalised text (a space mark in front, spaces as marks) falls into words th
 taken from all texts; their substrings of up to the longest piece's length are exploded and equi-joined to the piece
 table; the edges are grouped by word and folded with Spark's higher-order ``aggregate``. The fold is Viterbi for unigram
 models. For merge (BPE) models Viterbi picks other pieces than the model's own rule, so there the fold goes through the
-edges in order of score and joins two neighbouring segments where an edge spans just these: the segments are the bits of
-a long, which bounds words to ``LONGEST`` characters. Longer words are merged one by one in the Python worker.
+edges in order of score and joins two neighbouring segments where an edge spans just these; where that makes an edge
+possible that was met before, it is joined next (``PieceModel.out_of_turn``). The boundaries between segments are the bits of a long for words of up to ``SHORT`` characters, and the characters of a string for longer ones.
+The fold's work grows with the square of a word's length, so words beyond ``LONGEST`` characters are merged with a heap
+in the Python worker, by the same rule.
 
 Every input file gets the part of the dictionary that its own texts need, as a table in the shared folder, and the
 second pass over the file looks its words up there. So texts are never shuffled, and a task holds the words of a file.
@@ -33,7 +35,8 @@ from .common import Prefixes, fresh_path, materialize, random_words, release, sl
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LONGEST = 60
+#: Characters of words whose boundaries fit a long, and of words that are folded at all.
+SHORT, LONGEST = 60, 1000
 #: Characters by which substrings are bounded.
 HEAD = 3
 #: Distinct words that a task holds before it passes them on, and words whose edges an aggregation keeps before it sorts.
@@ -44,6 +47,9 @@ PACKED = 300_000
 HASHED = 30_000
 _VALUES, _BASE = random_words(256, 31), int(random_words(1, 32)[0])
 UNIGRAM, BPE = 1, 2
+#: Flags of an edge of a merge model, above the id of its piece.
+ID_BITS = 18
+LATE, TRIGGER = 1 << ID_BITS, 2 << ID_BITS
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -106,8 +112,8 @@ class PieceModel:
     def of(cls, pieces: list[str], scores: list[float], kinds: list[int], algorithm: int) -> PieceModel:
         model = cls(pieces, scores, kinds, algorithm)
         model.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == 1}
-        if kinds.count(6) != 256 or algorithm not in (UNIGRAM, BPE) or 4 in kinds:
-            raise ValueError("only unigram and merge models with byte pieces and without user-defined ones can be used")
+        if kinds.count(6) != 256 or algorithm not in (UNIGRAM, BPE) or 4 in kinds or len(pieces) > 1 << ID_BITS:
+            raise ValueError(f"only unigram and merge models with byte pieces, without user-defined ones and of {1 << ID_BITS} pieces at most can be used")
         if any(MARK in p.lstrip(MARK) for p in model.ids):
             raise ValueError("a piece crosses words")
         return model
@@ -141,9 +147,28 @@ class PieceModel:
     def table(self, spark: SparkSession) -> DataFrame:
         """The piece table: as many rows as the vocabulary, which bounds its broadcast."""
         rank = {x: k for k, x in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
-        rows = [(p, i, float(self.scores[i]), rank[self.scores[i]]) for p, i in self.ids.items()]
+        late, trigger = self.out_of_turn() if self.algorithm == BPE else (set(), set())
+        rows = [(p, i | LATE * (p in late) | TRIGGER * (p in trigger), float(self.scores[i]), rank[self.scores[i]]) for p, i in self.ids.items()]
         return spark.createDataFrame(rows, "piece string, id int, score double, rank long")
 
+    def out_of_turn(self) -> tuple[set[str], set[str]]:
+        """Pieces of a merge model that may become possible after their turn, and the pieces that may make them so.
+
+        A fold in order of score meets a piece before a part of it whose score is no better: the part then makes the
+        piece possible, and the piece comes before everything that follows.
+        """
+        late, trigger = set(), set()
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                parts = p[:k], p[k:]
+                if all(len(x) == 1 or x in self.ids for x in parts):
+                    # Of equal scores the leftmost comes first, so a first part of the same score makes nothing late.
+                    after = [x for x, tie in zip(parts, (False, True), strict=True) if len(x) > 1 and (self.score(x) < self.scores[i] or tie and self.score(x) == self.scores[i])]
+                    if after:
+                        late.add(p)
+                        trigger.update(after)
+        return late, trigger
+
     def resolve(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids for codes: those of characters' pieces, or of their bytes where they have none; and the new lengths of the lists."""
         alone = codes < 0
@@ -163,6 +188,9 @@ class PieceModel:
         edge = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         return out, np.diff(total[edge])
 
+    def score(self, piece: str) -> float:
+        return self.scores[self.ids[piece]]
+
     def fallback(self, text: str) -> list[int]:
         return [self.first_byte + b for b in text.encode()]
 
@@ -258,7 +286,7 @@ def word_of(key: str) -> str:
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     """(key, word, edges): the pieces of two characters and more that occur in each word.
 
-    For merge models an edge is a long that sorts by score, start and size: rank << 32 | start << 26 | size << 20 | id.
+    For merge models an edge is a long that sorts by score, start and size: rank << 38 | start << 26 | size << 20 | flags | id.
     For unigram models it is (start, size, score, id), and has single characters too, with a null id where there is no
     piece. ``words`` has distinct keys, and words of up to ``LONGEST`` characters. It comes dealt by key, and the joins
     to the piece table are broadcasts, so the grouping needs no further exchange.
@@ -275,7 +303,7 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
         # The first substring stays without a piece, so that every word has a row; its null is no edge.
         place = _shift(F.col("at").cast("long"), 26).bitwiseOR(_shift(F.col("n").cast("long"), 20))
         found = parts.join(table, "piece", "left").where("id is not null or (at = 0 and n = 2)")
-        edge = _shift(F.col("rank"), 32).bitwiseOR(place).bitwiseOR(F.col("id").cast("long"))
+        edge = _shift(F.col("rank"), 38).bitwiseOR(place).bitwiseOR(F.col("id").cast("long"))
     else:
         found = parts.join(table, "piece", "left").where("id is not null or n = 1")
         edge = F.struct("at", "n", "score", "id")
@@ -292,7 +320,7 @@ def _unpack(e: Column) -> tuple[Column, Column, Column]:
     def bits(by: int, mask: int) -> Column:
         return F.shiftright(e, by).bitwiseAND(F.lit(mask).cast("long")).cast("int")
 
-    return bits(26, 63), bits(20, 63), bits(0, (1 << 20) - 1)
+    return bits(26, (1 << 12) - 1), bits(20, 63), bits(0, (1 << ID_BITS) - 1)
 
 
 def _span(at: Column, n: Column) -> Column:
@@ -300,32 +328,70 @@ def _span(at: Column, n: Column) -> Column:
     return _shift(_shift(F.lit(1).cast("long"), n - 1) - 1, at + 1)
 
 
-def merge_fold(edges: Column, finish: Callable[[Column], Column]) -> Column:
-    """``finish`` of the segmentation of a merge model: a long with a bit for every boundary between characters."""
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
+def _merge_all(edges: Column, size: Column, zero: Column, fits: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+    """``finish`` of the state after the merges of a merge model: ``fits`` says whether an edge spans two segments, ``join`` makes them one."""
 
     def step(state: Column, e: Column) -> Column:
+        def best_of(now: Column) -> Column:
+            return F.array_min(F.filter(edges, lambda x: (x < e) & (x.bitwiseAND(F.lit(LATE).cast("long")) != 0) & fits(now, x)))
+
+        def settled(now: Column) -> Column:
+            again = F.aggregate(F.sequence(F.lit(1), size), now, lambda s, _: _let(best_of(s), lambda b: F.when(b.isNull(), s).otherwise(join(s, b))))
+            return F.when(best_of(now).isNull(), now).otherwise(again)
+
+        joined = F.when(e.bitwiseAND(F.lit(TRIGGER).cast("long")) != 0, _let(join(state, e), settled)).otherwise(join(state, e))
+        return F.when(fits(state, e), joined).otherwise(state)
+
+    return F.aggregate(F.sort_array(edges), zero, step, finish)
+
+
+def merge_fold(edges: Column, size: Column, finish: Callable[[Column], Column]) -> Column:
+    """``finish`` of the segmentation of a merge model: a long with a bit for every boundary between characters."""
+
+    def fits(state: Column, e: Column) -> Column:
         at, n, _ = _unpack(e)
-        inside = _span(at, n)
         one = F.lit(1).cast("long")
         ends = _shift(one, at).bitwiseOR(_shift(one, at + n))
-        whole = (F.bit_count(state.bitwiseAND(inside)) == 1) & (state.bitwiseAND(ends) == ends)
-        return F.when(whole, state.bitwiseAND(F.bitwise_not(inside))).otherwise(state)
+        return (F.bit_count(state.bitwiseAND(_span(at, n))) == 1) & (state.bitwiseAND(ends) == ends)
+
+    def join(state: Column, e: Column) -> Column:
+        return state.bitwiseAND(F.bitwise_not(_span(*_unpack(e)[:2])))
+
+    return _merge_all(edges, size, F.lit((1 << 62) - 1).cast("long"), fits, join, finish)
 
-    return F.aggregate(F.sort_array(edges), F.lit((1 << 62) - 1).cast("long"), step, finish)
+
+def long_merge_fold(edges: Column, size: Column, finish: Callable[[Column], Column]) -> Column:
+    """As ``merge_fold`` for words of any size: the state is a string with a 1 for every boundary between characters, else 0."""
+
+    def fits(state: Column, e: Column) -> Column:
+        at, n, _ = _unpack(e)
+        ends = F.concat(F.substr(state, at + 1, F.lit(1)), F.substr(state, at + n + 1, F.lit(1)))
+        return (ends == "11") & (F.char_length(F.replace(F.substr(state, at + 2, n - 1), F.lit("0"), F.lit(""))) == 1)
+
+    def join(state: Column, e: Column) -> Column:
+        at, n, _ = _unpack(e)
+        return F.overlay(state, F.repeat(F.lit("0"), n - 1), at + 2)
+
+    return _merge_all(edges, size, F.repeat(F.lit("1"), size + 1), fits, join, finish)
 
 
 def viterbi_fold(edges: Column, low: float, finish: Callable[[Column], Column]) -> Column:
-    """``finish`` of the segmentation of a unigram model, in the same form: the path of the largest sum of scores, the shorter last piece on a tie."""
+    """``finish`` of the segmentation of a unigram model, as a string of boundaries: the path of the largest sum of scores, the shorter last piece on a tie."""
     order = F.array_sort(F.transform(edges, lambda e: F.struct(e["at"].alias("at"), e["n"].alias("n"), F.coalesce(e["score"], F.lit(low)).alias("score"))))
     # best: per position the sum and the boundaries up to it; positions are filled in order of the edges' starts.
-    kind = "struct<total:double,cut:bigint>"
-    zero = F.create_map(F.lit(0), F.struct(F.lit(0.0).alias("total"), F.lit(1).cast("long").alias("cut")).cast(kind))
+    kind = "struct<total:double,cut:string>"
+    zero = F.create_map(F.lit(0), F.struct(F.lit(0.0).alias("total"), F.lit("1").alias("cut")).cast(kind))
 
     def step(best: Column, e: Column) -> Column:
         here, end = F.try_element_at(best, e["at"]), e["at"] + e["n"]
         total = here["total"] + e["score"]
         there = F.try_element_at(best, end)
-        path = F.struct(total.alias("total"), here["cut"].bitwiseOR(_shift(F.lit(1).cast("long"), end)).alias("cut")).cast(kind)
+        path = F.struct(total.alias("total"), F.concat(here["cut"], F.repeat(F.lit("0"), e["n"] - 1), F.lit("1")).alias("cut")).cast(kind)
         better = there.isNull() | (total > there["total"])
         return F.when(better, F.map_concat(F.map_filter(best, lambda k, _: k != end), F.create_map(end, path))).otherwise(best)
 
@@ -339,27 +405,36 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     (see ``PieceModel.resolve``).
     """
     found = lattice(words, model)
-    edges = F.col("edges")
+    edges, size = F.col("edges"), F.char_length("word")
 
     # The segmentation is a variable of the fold's last step. As a column of its own, the optimizer could put the fold
     # in its place, once for every edge.
-    def finish(cut: Column) -> Column:
-        one = F.lit(1).cast("long")
-
-        def used(at: Column, n: Column) -> Column:
-            ends = _shift(one, at).bitwiseOR(_shift(one, at + n))
-            return cut.bitwiseAND(_span(at, n).bitwiseOR(ends)) == ends
-
+    def codes(used: Callable[[Column, Column], Column], alone: Callable[[Column], Column]) -> Column:
+        """The codes in order: of the edges that are used, and of the characters that stand alone."""
         if model.algorithm == BPE:
             long = F.transform(F.filter(edges, lambda e: used(*_unpack(e)[:2])), lambda e: _pair(*_unpack(e)[::2]))
         else:
             long = F.transform(F.filter(edges, lambda e: (e["n"] > 1) & used(e["at"], e["n"])), lambda e: _pair(e["at"], e["id"]))
-        alone = F.filter(F.sequence(F.lit(0), F.char_length("word") - 1), lambda i: cut.bitwiseAND(_shift(F.lit(3).cast("long"), i)) == _shift(F.lit(3).cast("long"), i))
-        single = F.transform(alone, lambda i: _pair(i, -F.ascii(F.substring("word", i + 1, F.lit(1))) - 1))
+        single = F.transform(F.filter(F.sequence(F.lit(0), size - 1), alone), lambda i: _pair(i, -F.ascii(F.substring("word", i + 1, F.lit(1))) - 1))
         return F.transform(F.array_sort(F.concat(long, single)), lambda x: x["code"])
 
-    codes = merge_fold(edges, finish) if model.algorithm == BPE else viterbi_fold(edges, min(model.scores) - 10.0, finish)
-    return found.select("key", codes.alias("codes"))
+    def of_bits(cut: Column) -> Column:
+        one, two = F.lit(1).cast("long"), F.lit(3).cast("long")
+
+        def used(at: Column, n: Column) -> Column:
+            ends = _shift(one, at).bitwiseOR(_shift(one, at + n))
+            return cut.bitwiseAND(_span(at, n).bitwiseOR(ends)) == ends
+
+        return codes(used, lambda i: cut.bitwiseAND(_shift(two, i)) == _shift(two, i))
+
+    def of_text(cut: Column) -> Column:
+        return codes(lambda at, n: F.substr(cut, at + 1, n + 1) == F.concat(F.lit("1"), F.repeat(F.lit("0"), n - 1), F.lit("1")), lambda i: F.substr(cut, i + 1, F.lit(2)) == "11")
+
+    if model.algorithm == BPE:
+        out = F.when(size <= SHORT, merge_fold(edges, size, of_bits)).otherwise(long_merge_fold(edges, size, of_text))
+    else:
+        out = viterbi_fold(edges, min(model.scores) - 10.0, of_text)
+    return found.select("key", out.alias("codes"))
 
 
 def _pair(at: Column, code: Column) -> Column:
@@ -441,11 +516,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block(rows: pa.Table) -> bytes:
-    """Byte lengths of keys, counts of codes, keys, codes. Both numbers fit a byte, since words are short."""
+    """Byte lengths of keys, counts of codes, keys, codes. Both numbers fit 16 bits, since words have ``LONGEST`` characters at most."""
     data, at = utf8(_whole(rows["key"]))
     codes = _whole(rows["codes"])
-    counts = np.asarray(pc.list_value_length(codes)).astype(np.uint8)
-    body = np.diff(at).astype(np.uint8).tobytes() + counts.tobytes() + data.tobytes() + np.asarray(codes.flatten()).astype("<i4").tobytes()
+    counts = np.asarray(pc.list_value_length(codes)).astype("<u2")
+    body = np.diff(at).astype("<u2").tobytes() + counts.tobytes() + data.tobytes() + np.asarray(codes.flatten()).astype("<i4").tobytes()
     return struct.pack("<II", len(counts), len(data)) + zstandard.compress(body, 6)
 
 
@@ -454,10 +529,10 @@ def _unblock(blocks: list[bytes]) -> tuple[pa.Array, pa.Array]:
     for block in blocks:
         n, size = struct.unpack_from("<II", block)
         body = np.frombuffer(zstandard.decompress(block[8:]), np.uint8)
-        sizes.append(body[:n])
-        counts.append(body[n : 2 * n])
-        keys.append(body[2 * n : 2 * n + size])
-        codes.append(body[2 * n + size :].view("<i4") if (2 * n + size) % 4 == 0 else np.frombuffer(body[2 * n + size :].tobytes(), "<i4"))
+        sizes.append(body[: 2 * n].view("<u2"))
+        counts.append(body[2 * n : 4 * n].view("<u2"))
+        keys.append(body[4 * n : 4 * n + size])
+        codes.append(body[4 * n + size :].view("<i4") if size % 4 == 0 else np.frombuffer(body[4 * n + size :].tobytes(), "<i4"))
     at, edge = (np.concatenate([[0], np.cumsum(np.concatenate(x), dtype=np.int32)]).astype(np.int32) for x in (sizes, counts))
     words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(np.concatenate(keys)))
     return words, pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(codes)))

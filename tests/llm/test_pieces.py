@@ -9,7 +9,7 @@ MODEL = pieces.MODEL
 needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="the public vocabulary is not here")
 TEXTS = [
     None, "", " ", "  ", "a", " a", "a ", "a  b", "Hello world", "  Hello   world\n foo\tbar ﬁ Ａ ñ​", "\n", "\n\nx\n", "line one\nline two \n  three", "12 345,6", "▁x ▁", "\x01 \x01a b\x01c",
-    "日本語 テキスト 😀😀 é", "x" * 500 + " y", "in" * 4000, " " * 100 + "z", "don't won't", "\r\n a\r\n", "\x00", "ab\x01 cd",
+    "日本語 テキスト 😀😀 é", "x" * 500 + " y", "in" * 4000, " " * 100 + "z", "a" + " " * 17 + "b" + " " * 40 + "c", "don't won't", "\r\n a\r\n", "\x00", "ab\x01 cd",
     "word. word, word) . , word.) é. Ｘ. ., word.. a.b.\nend.\n.", "q" * 80 + ". z",
 ]
 
@@ -47,6 +47,31 @@ def test_long_words_merge_alike():
         assert model.encode_word(pieces.MARK + word) == library.encode(word)
 
 
+@needs_model
+def test_the_fold_of_words_of_every_length(spark):
+    """Words up to the longest that is folded, on both sides of where the state changes, against the heap's merges."""
+    model = pieces.PieceModel.load(MODEL)
+    rng = random.Random(3)
+    lengths = [1, 2, 58, 59, 60, 61, 62, 63, 64, 65, 66, 500, 999, 1000] * 3
+    words = sorted({pieces.MARK + "".join(rng.choices("inthetaostr", k=k - 1)) for k in lengths} | {pieces.MARK + "a" * 499, pieces.MARK + "in" * 250, pieces.MARK + "=" * 900} | {pieces.MARK * k for k in (2, 3, 9, 15, 31, 58, 60, 61, 70, 400)} | {pieces.MARK * k + "the" for k in (4, 17, 33)})
+    df = spark.createDataFrame([(w[1:], w) for w in words], "key string, word string")
+    got = {r.key: list(r.codes) for r in pieces.encode_words(df, model).collect()}
+    for w in words:
+        codes = [model.ids.get(chr(-c - 1), -1) if c < 0 else c for c in got[w[1:]]]
+        assert codes == model.encode_word(w), len(w)
+
+
+@needs_model
+def test_a_very_long_text(spark):
+    import sentencepiece
+
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("intheraos", k=rng.choice([2, 5, 9, 300]))) for _ in range(60_000)) + " " + "b" * 200_000
+    out = pieces.encode(texts(spark, [text, text]), pieces.PieceModel.load(MODEL)).collect()
+    want = sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
+    assert list(out[0].ids) == want and out[1].ids == out[0].ids
+
+
 def unigram():
     letters = {"a": -2.0, "b": -2.5, "c": -3.0, "▁": -4.0, "ab": -3.2, "bc": -3.1, "abc": -5.5, "▁a": -3.5, "▁ab": -4.1, "ca": -4.0, "cab": -4.4}
     names = ["<unk>", *(f"<0x{b:02X}>" for b in range(256)), *letters]
