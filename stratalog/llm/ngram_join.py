@@ -44,22 +44,18 @@ SALTS = 16
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
 _STEP = random_words(64, 3)
-#: Bytes of a word that are hashed together; longer words have several such parts.
-PART = 32
-
-
-def _letters() -> np.ndarray:
-    """A random value of every byte at every place of a part, the same for both cases of ASCII letters."""
-    values = mix64(random_words(256 * PART, 1)).reshape(PART, 256)
-    values[:, 65:91] = values[:, 97:123]
-    return values.ravel()
-
-
-_T = _letters()
+_KEY = random_words(1, 1)[0]
+#: Masks of the first bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of each row, ASCII letters in lower case, and the offsets of rows among them."""
+    """64-bit hashes of the words of each row, ASCII letters in lower case, and the offsets of rows among them.
+
+    A word's bytes are taken by eights; each is mixed with its place, and their sum with the word's length.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
@@ -71,15 +67,18 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start[firsts] = ~gap[firsts]
     stop[:-1] &= gap[1:]
     stop[lasts] = ~gap[lasts]
-    w, size = np.flatnonzero(start), np.flatnonzero(stop) + 1 - np.flatnonzero(start)
-    # Tabulation: a part's hash is the sum of its bytes' values by place, a word's the sum of its parts', mixed by place.
-    word = np.repeat(np.arange(len(w)), size)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-    values = _T[(place % PART) * 256 + data[~gap]]
-    opens = np.flatnonzero(place % PART == 0)
-    h = mix64(np.add.reduceat(values, opens) + (place[opens] // PART).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) if len(opens) else np.zeros(0, np.uint64)
-    if len(opens) > len(w):
-        h = np.add.reduceat(h, np.flatnonzero(place[opens] == 0))
+    w = np.flatnonzero(start)
+    size = np.flatnonzero(stop) + 1 - w
+    eights = np.ndarray((n,), "<u8", np.concatenate([_LOWER[data], np.zeros(8, np.uint8)]), strides=(1,))
+    parts = (size + 7) >> 3
+    head = np.cumsum(parts) - parts
+    if len(w) and int(parts.max()) > 1:
+        k = np.arange(int(parts.sum())) - np.repeat(head, parts)
+        left = np.repeat(size, parts) - 8 * k
+        x = eights[np.repeat(w, parts) + 8 * k] & _FIRST[np.minimum(left, 8)]
+        h = np.add.reduceat(mix64(x + _KEY * (k + 1).astype(np.uint64)), head)
+    else:
+        h = mix64((eights[w] & _FIRST[size]) + _KEY)
     return mix64(h + size.astype(np.uint64)), np.searchsorted(w, at).astype(np.int64)
 
 
