@@ -1,8 +1,10 @@
 """Chat formatting with budgeted windows, in DataFrame functions only.
 
 A conversation is cut at turns into windows. Prefix sums of turn tokens choose the spans: a turn opens a new window when
-the window's own turns would exceed the budget. Each window after the first starts with the conversation's leading
-system turn and a limited history of the turns before it; what is repeated is never a target.
+the window's own turns would exceed the budget, and where a section of the conversation begins (each ``SECTION``
+budgets), so that spans are chosen within a section at a time. Each window after the first starts with the
+conversation's leading system turn and a limited history of the turns before it; what is repeated is never a target.
+Turns stay rows of their own until a window's turns meet, which its budget bounds.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` a turn. In roles and texts, ``^`` is put after every ``<`` that ``|`` or
 ``^`` follows, so ``<|`` occurs in control strings alone; a line break in a role becomes ``<|nl|>``.
@@ -14,9 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
-#: Tokens (words and single other characters) of a window's own turns, and of the history repeated before them.
+#: Tokens (words and single other characters, one a turn at least) of a window's own turns, and of the history repeated
+#: before them; and budgets of a section.
 BUDGET = 512
 HISTORY = 128
+SECTION = 64
 
 
 def escape(text: Column) -> Column:
@@ -37,45 +41,51 @@ def format_windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     ``loss`` holds [start, end) code point ranges of ``formatted``: the escaped texts of the window's own assistant
     turns. Every turn is an own turn of exactly one window. Null texts and roles are empty; turns order by turn (nulls
     first), then role and text; repeated rows are repeated turns; a null conv_id is a conversation. A turn longer than
-    the budget is a window of its own. Other columns are ignored. Texts of one conversation meet in one row.
+    the budget is a window of its own. Other columns are ignored.
     """
     rows = turns.select(
         F.col(f"`{conv}`").alias("conv_id"),
         F.col(f"`{turn}`").alias("turn"),
         F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
-    ).withColumn("n", token_count(F.col("text")))
-    # All windows and the aggregate need the rows of a conversation together: one exchange. before: tokens of the turns
-    # before this one; back: the first turn whose history, up to this one, is within the limit.
+    ).withColumn("n", F.greatest(token_count(F.col("text")), F.lit(1).cast("long")))
+    # before: tokens of the turns before this one; back: the first turn whose history, up to this one, is within the
+    # limit; led: whether the conversation has a system turn in front.
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("pos", F.row_number().over(in_order) - 1)
+    rows = rows.withColumn("pos", F.row_number().over(in_order) - 1).withColumn("led", F.first("role").over(in_order) == "system")
     rows = rows.withColumn("before", F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     rows = rows.withColumn("back", F.min("pos").over(Window.partitionBy("conv_id").orderBy("before").rangeBetween(-history, 0)))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text", "n", "before", "back"))).alias("ts"))
+    section = F.floor(F.col("before") / (budget * SECTION)).alias("section")
+    slim = F.struct("pos", "n", "before", "back", "led")
+    sections = rows.groupBy("conv_id", section).agg(F.sort_array(F.collect_list(slim)).alias("ts"))
 
-    # Spans [a, b) of turns, in one pass: a turn that does not fit opens the next window.
-    span = "struct<a:int,b:int>"
-    zero = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(0).alias("a"), F.lit(0).cast("long").alias("from"), F.lit(0).alias("end"))
+    # Places at which windows open, in one pass over a section: a turn that does not fit opens the next one.
+    zero = F.struct(F.array().cast("array<int>").alias("opens"), F.lit(0).cast("long").alias("from"))
 
     def fit(acc: Column, t: Column) -> Column:
-        full = (t["pos"] > acc["a"]) & (t["before"] + t["n"] - acc["from"] > budget)
-        closed = F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), t["pos"].alias("b"))))
-        return F.struct(
-            F.when(full, closed).otherwise(acc["done"]).alias("done"), F.when(full, t["pos"]).otherwise(acc["a"]).alias("a"),
-            F.when(full, t["before"]).otherwise(acc["from"]).alias("from"), (t["pos"] + 1).alias("end"),
-        )
+        opens = (F.size(acc["opens"]) == 0) | (t["before"] + t["n"] - acc["from"] > budget)
+        here = F.concat(acc["opens"], F.array(t["pos"]))
+        return F.struct(F.when(opens, here).otherwise(acc["opens"]).alias("opens"), F.when(opens, t["before"]).otherwise(acc["from"]).alias("from"))
 
-    spans = F.aggregate("ts", zero, fit, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["a"].alias("a"), acc["end"].alias("b")))))
-    led = F.element_at("ts", 1)["role"] == "system"
+    opens = F.aggregate("ts", zero, fit, lambda acc: acc["opens"])
+    start, last = F.element_at("ts", 1)["pos"], F.element_at("ts", -1)["pos"]
 
-    def cut(s: Column, i: Column) -> Column:
+    def span(a: Column, i: Column) -> Column:
+        first = F.element_at("ts", a - start + 1)
+        end = F.coalesce(F.try_element_at("opens", i + 2), last + 1)
         # Histories reach back over whole turns, not over the system turn, which is put first.
-        first = F.greatest(F.element_at("ts", s["a"] + 1)["back"], F.when(led, 1).otherwise(0))
-        lead = F.slice("ts", 1, F.when(led & (s["a"] > 0), 1).otherwise(0))
-        old = F.concat(lead, F.slice("ts", first + 1, F.greatest(s["a"] - first, F.lit(0))))
-        return F.struct(i.alias("window"), old.alias("old"), F.slice("ts", s["a"] + 1, s["b"] - s["a"]).alias("own"))
-
-    spans = whole.select("conv_id", F.explode(F.transform(spans, cut)).alias("w")).select("conv_id", "w.window", "w.old", "w.own")
+        return F.struct(a.alias("a"), end.alias("b"), F.greatest(first["back"], F.when(first["led"], 1).otherwise(0)).alias("first"), (first["led"] & (a > 0)).alias("lead"))
+
+    spans = sections.withColumn("opens", opens).select("conv_id", F.explode(F.transform("opens", span)).alias("w")).select("conv_id", "w.*")
+    spans = spans.withColumn("window", F.row_number().over(Window.partitionBy("conv_id").orderBy("a")) - 1)
+    none = F.array().cast("array<int>")
+    old = F.concat(F.when(F.col("lead"), F.array(F.lit(0))).otherwise(none), F.when(F.col("first") < F.col("a"), F.sequence("first", F.col("a") - 1)).otherwise(none))
+    places = F.concat(old, F.sequence("a", F.col("b") - 1))
+    members = spans.select(F.col("conv_id").alias("conv"), "window", "a", F.explode(places).alias("place"))
+    texts = rows.select("conv_id", "pos", "role", "text")
+    met = members.join(texts, F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("place") == F.col("pos")))
+    whole = met.groupBy("conv_id", "window").agg(F.first("a").alias("a"), F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("ts"))
+    spans = whole.select("conv_id", "window", F.filter("ts", lambda t: t["pos"] < F.col("a")).alias("old"), F.filter("ts", lambda t: t["pos"] >= F.col("a")).alias("own"))
 
     def head(t: Column) -> Column:
         return F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit(BREAK)), F.lit("\n"))
@@ -99,7 +109,10 @@ def format_windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
-    """Conversations read back from formatted windows: conv_id, turns (array of role and text), targets (the texts under the loss), formatted_chars."""
+    """Conversations read back from formatted windows: conv_id, turns (array of role and text), targets (the texts under the loss), formatted_chars.
+
+    A row holds a whole conversation, as it was before it was cut.
+    """
     pieces = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p.startswith(START))
     own = F.slice(pieces, F.col("n_repeated") + 1, F.size(pieces))
     body = F.transform(own, lambda p: F.substr(p, F.lit(len(START) + 1)))

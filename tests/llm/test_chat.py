@@ -43,6 +43,19 @@ def test_spans_history_and_system(spark):
         assert masked == "w " * 4 and all(w.formatted.rfind("<|im_start|>assistant\n", 0, s.start) + len("<|im_start|>assistant\n") == s.start for s in w.loss)
 
 
+def test_sections_and_turns_without_words(spark, monkeypatch):
+    """Spans are chosen section by section, and a turn without words counts as one token, so windows stay bounded."""
+    monkeypatch.setattr(chat, "SECTION", 2)
+    rows = [(c, i, "system" if i == 0 and c else "assistant" if i % 2 else "user", None if i % 3 == 0 else f"{'w ' * (i % 5)}{i}", 0) for c in range(2) for i in range(400)]
+    windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA).repartition(3), budget=12, history=6)
+    assert max(w.n_turns + w.n_repeated for w in windows.collect()) <= 12 + 6 + 1
+    assert sorted((w.conv_id, w.window) for w in windows.collect()) == [(c, k) for c in range(2) for k in range(windows.where(f"conv_id = {c}").count())]
+    got = {r.conv_id: r for r in chat.read_windows(windows).collect()}
+    for c in range(2):
+        assert [(t.role, t.text) for t in got[c].turns] == [(r, x or "") for k, _, r, x, _ in rows if k == c]
+        assert got[c].targets == [x or "" for k, _, r, x, _ in rows if k == c and r == "assistant"]
+
+
 def test_a_long_turn_is_a_window_of_its_own(spark):
     rows = [(1, 0, "user", "x " * 100, 0), (1, 1, "assistant", "y", 0), (1, 2, "user", "z " * 100, 0)]
     assert [w.n_turns for w in chat.format_windows(spark.createDataFrame(rows, SCHEMA), budget=50).orderBy("window").collect()] == [1, 1, 1]
