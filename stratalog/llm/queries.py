@@ -80,6 +80,26 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Windows are cut as ``chat`` documents it; the template's marks have 12, 1 and 11 characters, an escape adds one.
+OP6_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+r AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+  greatest(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0B]')), 1) AS n,
+  24 + length(role) + len(regexp_extract_all(role, '<[|^]')) + 5 * len(regexp_extract_all(role, '\n')) + length(text) + len(regexp_extract_all(text, '<[|^]')) AS chars FROM m),
+b AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) - n AS before, first_value(role) OVER (PARTITION BY conv_id ORDER BY pos) = 'system' AS led FROM r),
+w AS (SELECT conv_id, pos, before AS base, pos AS a FROM b WHERE pos = 0
+  UNION ALL SELECT conv_id, pos, CASE WHEN o THEN before ELSE base END, CASE WHEN o THEN pos ELSE a END FROM (
+    SELECT b.conv_id, b.pos, b.before, w.base, w.a, b.before // 32768 <> w.base // 32768 OR b.before + b.n - w.base > 512 AS o FROM w JOIN b ON w.conv_id = b.conv_id AND b.pos = w.pos + 1)),
+h AS (SELECT s.conv_id, sum(b.chars) AS chars FROM w s JOIN b ON s.conv_id = b.conv_id AND s.pos = s.a AND s.a > 0
+  AND ((led AND b.pos = 0) OR (b.pos < s.a AND b.pos >= CASE WHEN led THEN 1 ELSE 0 END AND b.before >= s.base - 128)) GROUP BY s.conv_id)
+SELECT b.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(b.chars) + coalesce(any_value(h.chars), 0) AS BIGINT) AS formatted_chars
+FROM b LEFT JOIN h ON b.conv_id = h.conv_id GROUP BY b.conv_id
+"""
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     text = F.call_function("make_valid_utf8", F.col("kept").cast("string"))
@@ -130,6 +150,69 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), count("grammar"))
 
 
+# What SQL can express of op4, op9 and op10, each from its operator's own output.
+
+
+def media_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_media without its feature."""
+    return op4_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+
+
+#: The CRC goes over the last 32 bytes with a table of the polynomial 0xEDB88320, whose entries are computed here.
+MEDIA_SQL = """
+WITH t AS (SELECT list(list_reduce(list_prepend(CAST(i AS UBIGINT), [CAST(0 AS UBIGINT) FOR x IN range(8)]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS entry FROM range(256) r(i)),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, n, h || repeat('FF', greatest(576, (n + 575) // 576 * 576) - n) AS h FROM d),
+l AS (SELECT *, len(h) // 2 AS size, lpad(to_hex(len(h) // 2), 8, '0') AS a, lpad(to_hex(len(h) // 2 + 36), 8, '0') AS b FROM p),
+m AS (SELECT *, unhex('52494646' || b[7:8] || b[5:6] || b[3:4] || b[1:2] || '57415645666D74201000000001000100401F0000401F00000100080064617461' || a[7:8] || a[5:6] || a[3:4] || a[1:2] || h) AS media FROM l)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(size AS BIGINT) AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+  CAST(xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, [CAST('0x' || h[len(h) - 63 + 2 * k:len(h) - 62 + 2 * k] AS UBIGINT) FOR k IN range(32)]),
+    lambda c, x: xor(entry[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8))) AS BIGINT) AS tail_crc32,
+  CAST(octet_length(media) AS BIGINT) AS media_bytes, sha256(media) AS media_sha256 FROM m, t
+"""
+
+
+def token_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_tokens without its counts."""
+    return op9_tokens(spark, sf_dir).select("doc_id", "field", "section", "start", "end")
+
+
+#: The line feed that joins the fields belongs to the first one's last line.
+SECTIONS_SQL = r"""
+WITH f AS (SELECT doc_id, 'source' AS field, coalesce(source, '') AS body, 0 AS base FROM documents
+  UNION ALL SELECT doc_id, 'text', coalesce(text, ''), length(coalesce(source, '')) + 1 FROM documents),
+s AS (SELECT doc_id, field, base, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS section FROM (
+  SELECT *, CASE WHEN body = '' THEN [''] ELSE regexp_extract_all(body, '[^
+]*
+|[^
+]+$') END AS lines FROM f))
+SELECT doc_id, field, CAST(section AS INTEGER) AS section, CAST(base + last - length(line) AS BIGINT) AS start, CAST(base + last + joined AS BIGINT) AS "end"
+FROM (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id, field ORDER BY section) AS last,
+  CASE WHEN field = 'source' AND section = max(section) OVER (PARTITION BY doc_id, field) THEN 1 ELSE 0 END AS joined FROM s)
+"""
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_secrets without the spans of its grammar."""
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+_ASSIGN = """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?"""
+#: A match starts after all that lies between the matches before it, and those matches.
+SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+k AS (SELECT doc_id, 0 AS kind, 'assign' AS name, regexp_extract_all(x, '{_ASSIGN}[A-Za-z0-9+/_.=-]+') AS found, regexp_split_to_array(x, '{_ASSIGN}[A-Za-z0-9+/_.=-]+') AS between FROM d
+  UNION ALL SELECT doc_id, 1, 'access', regexp_extract_all(x, 'AKIA[A-Z0-9]+'), regexp_split_to_array(x, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT doc_id, 2, 'hex', regexp_extract_all(x, '[0-9a-f]+'), regexp_split_to_array(x, '[0-9a-f]+') FROM d),
+m AS (SELECT doc_id, kind, name, unnest(found) AS s, unnest(between[1:len(found)]) AS b, generate_subscripts(found, 1) AS i FROM k),
+p AS (SELECT *, sum(length(b) + length(s)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS z FROM m),
+g AS (SELECT *, z - length(s) AS a FROM p WHERE length(CASE WHEN kind = 0 THEN regexp_extract(s, '{_ASSIGN}(.*)', 2) ELSE s END) >= CASE kind WHEN 0 THEN 12 WHEN 1 THEN 18 ELSE 16 END)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(name || ':' || CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT), ',' ORDER BY a, kind), '')) AS base_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_warc": op2_warc,
@@ -141,5 +224,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_tokens": op9_tokens,
     "op10_secrets": op10_secrets,
+    "media_digests": media_digests,
+    "token_sections": token_sections,
+    "secrets_base": secrets_base,
 }
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_ngram_join": OP5_SQL, "op7_suffixes": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_ngram_join": OP5_SQL, "op6_chat": OP6_SQL, "op7_suffixes": OP7_SQL, "media_digests": MEDIA_SQL, "token_sections": SECTIONS_SQL, "secrets_base": SECRETS_SQL}
