@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import as_bytes, bound, has_prefix, matches
+from ..shared import materialize
 
 
 def _text(rows: DataFrame) -> bool:
@@ -68,49 +69,42 @@ def with_prefix(rows: DataFrame, prefix: bytes | str | None, reverse: bool = Fal
     return descend(found) if reverse else ascend(found)
 
 
-#: Sampled keys for each boundary between parts, and the most parts that a row's key is compared against.
-SAMPLE, PARTS = 20, 512
+def dealt_by_range(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows as a table in the shared folder, dealt by ranges of the first of ``order`` and sorted by all of them.
 
+    ``__part`` rises with the order and ``__at`` numbers the rows of a part from 0 on. Rows that agree in the first of
+    ``order`` share a part. It is written at once, since boundaries differ between runs of a range exchange: one pass
+    over ``rows``, one exchange.
+    """
+    dealt = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    return materialize(dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "dealt")
 
-def dealt_by_range(rows: DataFrame, column: str = "key") -> DataFrame:
-    """The rows with ``__part``, a number that rises with the key; equal keys share one, and each part is a task's.
 
-    The boundaries are fixed values from a sample of keys of bounded size (the keys with the smallest hashes), so two
-    reads of the same rows agree, which a range exchange with sampled boundaries of its own would not ensure.
-    """
-    parts = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS)
-    some = rows.where(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column), column).limit(SAMPLE * parts)
-    keys = sorted({r[0] if isinstance(r[0], str) else bytes(r[0]) for r in some.collect()}, key=lambda k: k.encode() if isinstance(k, str) else k)
-    bounds = keys[:: max(1, -(-len(keys) // parts))][1:]
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column))) if bounds else F.lit(0)
-    return rows.withColumn("__part", part)
+def _ahead(per_part: DataFrame, amount: str) -> DataFrame:
+    """(__part, __offset): the sum of ``amount`` over the parts before; one row a part."""
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(per_part.select("__part", F.coalesce(F.sum(amount).over(earlier), F.lit(0)).alias("__offset")))
 
 
 def ranked(rows: DataFrame, reverse: bool = False) -> DataFrame:
     """The rows with ``rn``, their place from 1 on in key order; parts number their own rows after the counts of the parts before."""
-    dealt = dealt_by_range(rows)
-    order = F.desc("key") if reverse else F.asc("key")
+    dealt = dealt_by_range(rows, F.desc("key") if reverse else F.asc("key"))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    ahead = Window.orderBy(F.desc("__part") if reverse else F.asc("__part")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).select("__part", "__offset")
-    local = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    return local.join(offsets, "__part").select(*rows.columns, (F.col("rn") + F.col("__offset")).cast("long").alias("rn"))
+    return dealt.join(_ahead(counts, "__n"), "__part").select(*rows.columns, (F.col("__at") + F.col("__offset") + 1).alias("rn"))
 
 
 def until_bytes(rows: DataFrame, limit: int, column: str = "value") -> DataFrame:
     """The leading rows of an ascending scan up to the first at which the bytes of ``column`` so far exceed ``limit``, that row included.
 
-    The running sum is global. To keep it off a single task, keys are dealt by range, each part sums its own rows, and
-    the parts' totals (one row a part) are added in front.
+    The running sum is global. To keep it off a single task, keys are dealt by range and the parts' totals (one row a
+    part) are added up; only parts that begin within the limit are summed row by row.
     """
-    dealt = dealt_by_range(rows.withColumn("__size", F.coalesce(F.octet_length(column), F.lit(0)).cast("long")))
-    inside = Window.partitionBy("__part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    summed = dealt.withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    totals = summed.groupBy("__part").agg(F.max(F.col("__before") + F.col("__size")).alias("__total"))
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("__offset", F.coalesce(F.sum("__total").over(earlier), F.lit(0))).select("__part", "__offset")
-    kept = summed.join(offsets, "__part").where(F.col("__before") + F.col("__offset") <= limit)
-    return kept.select(rows.columns).orderBy("key")
+    dealt = dealt_by_range(rows.withColumn("__size", F.coalesce(F.octet_length(column), F.lit(0)).cast("long")), "key")
+    totals = dealt.groupBy("__part").agg(F.sum("__size").alias("__total"))
+    begun = dealt.join(_ahead(totals, "__total"), "__part").where(F.col("__offset") <= limit)
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = begun.withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    return summed.where(F.col("__before") + F.col("__offset") <= limit).select(rows.columns).orderBy("key")
 
 
 def successors(rows: DataFrame) -> DataFrame:
@@ -118,12 +112,11 @@ def successors(rows: DataFrame) -> DataFrame:
 
     Keys are dealt by range; a part's last key gets the smallest key of the next part that has any.
     """
-    dealt = dealt_by_range(rows.select("key"))
-    inside = Window.partitionBy("__part").orderBy("key")
-    local = dealt.withColumn("__next", F.lead("key").over(inside))
-    heads = local.groupBy("__part").agg(F.min("key").alias("__head"))
+    dealt = dealt_by_range(rows.select("key"), "key")
+    local = dealt.withColumn("__next", F.lead("key").over(Window.partitionBy("__part").orderBy("__at")))
+    heads = dealt.groupBy("__part").agg(F.min("key").alias("__head"))
     ahead = heads.withColumn("__first", F.lead("__head").over(Window.orderBy("__part"))).select("__part", "__first")
-    return local.join(ahead, "__part").select("key", F.coalesce("__next", "__first").alias("next_key"))
+    return local.join(F.broadcast(ahead), "__part").select("key", F.coalesce("__next", "__first").alias("next_key"))
 
 
 def seek(rows: DataFrame, probes: DataFrame, reverse: bool = False) -> DataFrame:
@@ -136,8 +129,8 @@ def seek(rows: DataFrame, probes: DataFrame, reverse: bool = False) -> DataFrame
     # At the same place, a key comes where its probes find it.
     keys = rows.select(F.col("key").alias("__k"), F.lit(0 if reverse else 1).alias("__kind"), F.col("key").alias("__key"))
     asked = probes.select(F.col(name).alias("__k"), F.lit(1 if reverse else 0).alias("__kind"), F.lit(None).cast(rows.schema["key"].dataType).alias("__key"))
-    both = dealt_by_range(keys.unionByName(asked), "__k")
-    inside = Window.partitionBy("__part").orderBy("__k", "__kind")
+    both = dealt_by_range(keys.unionByName(asked), "__k", "__kind")
+    inside = Window.partitionBy("__part").orderBy("__at")
     if reverse:
         near = F.last("__key", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
         edge, beyond = F.max("__key"), F.last("__edge", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
@@ -145,8 +138,8 @@ def seek(rows: DataFrame, probes: DataFrame, reverse: bool = False) -> DataFrame
         near = F.first("__key", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
         edge, beyond = F.min("__key"), F.first("__edge", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing))
     local = both.withColumn("__near", near)
-    edges = local.groupBy("__part").agg(edge.alias("__edge")).withColumn("__beyond", beyond).select("__part", "__beyond")
-    return local.where(F.col("__key").isNull()).join(edges, "__part").select(F.col("__k").alias("probe"), F.coalesce("__near", "__beyond").alias("key"))
+    edges = both.groupBy("__part").agg(edge.alias("__edge")).withColumn("__beyond", beyond).select("__part", "__beyond")
+    return local.where(F.col("__kind") == (1 if reverse else 0)).join(F.broadcast(edges), "__part").select(F.col("__k").alias("probe"), F.coalesce("__near", "__beyond").alias("key"))
 
 
 def run(rows: DataFrame, handler: Callable[[bytes, bytes | None], bool]) -> None:
