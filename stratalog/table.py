@@ -1,25 +1,32 @@
 """A keyed table on shared storage: immutable files of operations, a sorted snapshot, and versioned manifests.
 
-    path/manifest/v<version>.json   what a version consists of; creating the file is the commit
+    path/manifest/v<version>.json   what a version consists of; the file appears whole, and that is the commit
     path/log/<commit>/              operations of one commit, as Parquet
     path/snapshot/<id>/             live rows of a compaction, dealt and sorted by key
 
-Writers create the next manifest, which only one can; a loser reads again and repeats its own publish, or gives up after
-``RETRIES``. Readers see one version. Every read is a DataFrame over the snapshot and the operations after it.
+Writers give the next manifest its name, which only one can; a loser reads again and repeats its own publish, or gives up
+after ``RETRIES``. A manifest that is torn all the same (by a storage that failed) does not count: the last whole one
+does. Readers see one version. Every read is a DataFrame over the snapshot and the operations after it. The file system
+needs an atomic rename that does not overwrite, as HDFS and local ones have.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from .config import BatchOptions, IteratorOptions, Options
 from .errors import BatchCommitted, BatchRollbacked, DatabaseIsUsing, DBClosed, KeyIsEmpty, KeyNotFound, MergeRunning, ReadOnlyBatch, WatchDisabled
+from .functions.cron import next_time
 from .functions.keys import as_key, check_pattern
 from .operators import compact, feed, lookup, scan, ttl
 from .operators.log import expired
@@ -55,15 +62,36 @@ class Files:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Write a new file under a name that nobody has taken; False if someone has."""
+        """Put a whole new file under a name that nobody has taken; False if someone has.
+
+        It is written under another name first, which then becomes this one in one step.
+        """
+        folder, _, last = name.rpartition("/")
+        draft = f"{folder}/.{last}-{uuid.uuid4().hex}"
+        stream = self.fs.create(self._path(draft), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
         try:
-            stream = self.fs.create(self._path(name), False)
+            return self._name(draft, name)
+        finally:
+            self.fs.delete(self._path(draft), False)
+
+    def _name(self, draft: str, name: str) -> bool:
+        old, new = (self.fs.makeQualified(self._path(x)) for x in (draft, name))
+        if new.toUri().getScheme() == "file":
+            try:
+                os.link(old.toUri().getPath(), new.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        jvm, conf = self.jvm, self.fs.getConf()
+        options = self.jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(old, new, options)
         except Exception as e:
             if "already exists" in str(e) or "AlreadyExists" in str(e):
                 return False
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
         return True
 
     def move(self, old: str, new: str) -> None:
@@ -84,17 +112,43 @@ class Store:
         self.spark, self.options, self.clock = spark, options, clock
         self.files = Files(spark, options.path)
         self.closed = self.merging = False
-        if not self.files.list("manifest"):
-            self.files.create(f"manifest/{_name(0)}", json.dumps({"version": 0, "log": [], "snapshot": None, "next_seq": 1, "seg": 0, "seg_rows": 0, "purged_ns": 0}))
+        self._queries: list[StreamingQuery] = []
+        self._skip_corrupt = False
+        self._over = threading.Event()
+        self._merger: threading.Thread | None = None
+        if not self._versions():
+            self.files.create(f"manifest/{_name(0)}", json.dumps({"version": 0, "log": [], "snapshot": None, "next_seq": 1, "seg": 0, "seg_rows": 0, "seg_bytes": 0, "purged_ns": 0}))
+        held = set(self.files.list("log"))
         for entry in self._manifest()["log"]:
-            self._settle(entry["dir"])
+            if entry["dir"] not in held:
+                self._settle(entry["dir"])
+        if options.auto_merge_cron:
+            self._merger = threading.Thread(target=self._merge_in_time, daemon=True)
+            self._merger.start()
 
     @classmethod
     def open(cls, spark: SparkSession, options: Options | str, clock: Callable[[], int] = time.time_ns) -> Store:
         return cls(spark, Options(options) if isinstance(options, str) else options, clock)
 
     def close(self) -> None:
+        """End the store's own feeds and compactions; verbs raise from now on."""
         self.closed = True
+        self._over.set()
+        for q in self._queries:
+            q.stop()
+        if self._merger and self._merger is not threading.current_thread():
+            self._merger.join()
+
+    def _merge_in_time(self) -> None:
+        """Compact whenever the schedule says so, until the store is closed."""
+        while (due := next_time(self.options.auto_merge_cron, self.clock())) is not None:
+            while (left := (due - self.clock()) / 1e9) > 0:
+                if self._over.wait(min(left, 1.0)):
+                    return
+            with contextlib.suppress(MergeRunning, DBClosed, DatabaseIsUsing):
+                self.merge()
+            if self._over.is_set():
+                return
 
     def sync(self) -> None:
         """Nothing to do: a commit is durable when its manifest is there."""
@@ -106,19 +160,21 @@ class Store:
 
     # Versions.
 
-    def _manifest(self) -> dict:
-        name = self.files.list("manifest")[-1]
-        for _ in range(RETRIES):
-            text = self.files.read(f"manifest/{name}")
-            if text.endswith("}"):
-                return json.loads(text)
-            time.sleep(0.05)  # its writer has created it and not yet closed it
-        raise DatabaseIsUsing(f"manifest {name} is not complete")
+    def _versions(self) -> list[str]:
+        return [n for n in self.files.list("manifest") if n.startswith("v")]
+
+    def _manifest(self, names: list[str] | None = None) -> dict:
+        """The newest whole manifest."""
+        for name in reversed(self._versions() if names is None else names):
+            with contextlib.suppress(ValueError):
+                return json.loads(self.files.read(f"manifest/{name}"))
+        raise DatabaseIsUsing("no manifest is whole")
 
     def _publish(self, change: Callable[[dict], dict]) -> dict:
         for _ in range(RETRIES):
-            now = self._manifest()
-            new = change(dict(now)) | {"version": now["version"] + 1}
+            names = self._versions()
+            now = self._manifest(names)
+            new = change(dict(now)) | {"version": int(names[-1][1:-5]) + 1}
             if self.files.create(f"manifest/{_name(new['version'])}", json.dumps(new)):
                 return new
         raise DatabaseIsUsing("other writers keep publishing first")
@@ -132,7 +188,8 @@ class Store:
         """Commit a DataFrame (op, key, value, ttl_ns) as one batch; returns its id.
 
         With ``order``, operations on a key apply in that column's order, and the last of them counts, as in a batch;
-        without, keys must not repeat. Rows are numbered on the executors, so the numbers have gaps.
+        without, keys must not repeat. Rows are numbered on the executors, so the numbers have gaps. Expires and persists
+        store the value that their key has now, for the feed.
         """
         self._check()
         columns = ops.columns
@@ -141,6 +198,10 @@ class Store:
             rows = rows.groupBy("key").agg(F.max_by(F.struct("op", "value", "ttl_ns"), "__order").alias("o")).select("o.op", "key", "o.value", "o.ttl_ns")
         bad = F.raise_error(F.lit("KeyIsEmpty"))
         rows = rows.withColumn("key", F.when(F.octet_length("key") > 0, F.col("key")).otherwise(bad))
+        kept = F.col("op").isin(EXPIRE, PERSIST)
+        if not rows.where(kept).isEmpty():
+            now = self.live().select("key", F.col("value").alias("__now"))
+            rows = rows.join(now, "key", "left").withColumn("value", F.when(kept, F.col("__now")).otherwise(F.col("value"))).drop("__now")
         return self._commit(rows.withColumn("n", F.monotonically_increasing_id()))
 
     def _commit(self, rows: DataFrame) -> int:
@@ -154,12 +215,13 @@ class Store:
             if "KeyIsEmpty" in str(e):
                 raise KeyIsEmpty("a key needs at least one byte") from None
             raise
+        size = self.files.size(f"staging/{name}")
         top, count = self.spark.read.parquet(f"{self.files.root}/staging/{name}").agg(F.coalesce(F.max("n"), F.lit(-1)), F.count("*")).first()
 
         def add(m: dict) -> dict:
-            full = m["seg_rows"] >= self.options.segment_rows
-            seg = m["seg"] + full
-            return m | {"log": [*m["log"], {"dir": name, "seg": seg, "first": m["next_seq"], "rows": count}], "next_seq": m["next_seq"] + top + 1, "seg": seg, "seg_rows": count + (0 if full else m["seg_rows"])}
+            full = m["seg_rows"] >= self.options.segment_rows or m.get("seg_bytes", 0) >= self.options.segment_bytes
+            seg, rows, held = (m["seg"] + 1, 0, 0) if full else (m["seg"], m["seg_rows"], m.get("seg_bytes", 0))
+            return m | {"log": [*m["log"], {"dir": name, "seg": seg, "first": m["next_seq"], "rows": count}], "next_seq": m["next_seq"] + top + 1, "seg": seg, "seg_rows": rows + count, "seg_bytes": held + size}
 
         self._publish(add)
         self._settle(name)
@@ -167,24 +229,27 @@ class Store:
 
     # Relations.
 
-    def ops(self, version: dict | None = None) -> DataFrame:
-        """The operations since the snapshot, numbered in commit order."""
+    @property
+    def _read(self):
+        """A reader of this store's files."""
+        return self.spark.read.option("ignoreCorruptFiles", self._skip_corrupt)
+
+    def ops(self, version: dict | None = None, after: int | None = None, up_to: int | None = None) -> DataFrame:
+        """The operations since the snapshot, numbered in commit order; of segments beyond ``after`` and up to ``up_to``, whose folders alone are read."""
         m = version or self._manifest()
-        empty = self.spark.createDataFrame([], STORED)
-        if not m["log"]:
-            return empty
-        at = {}
-        for e in m["log"]:
-            at[e["dir"]] = e
-        where = [f"{self.files.root}/{'log' if self.files.exists(f'log/{d}') else 'staging'}/{d}" for d in at]
-        rows = self.spark.read.schema("n long, t_ns long, batch_id long, op string, key binary, value binary, ttl_ns long").parquet(*where)
-        commits = self.spark.createDataFrame([(d, e["first"], e["seg"]) for d, e in at.items()], "dir string, first long, seg int")
+        at = {e["dir"]: e for e in m["log"] if (after is None or e["seg"] > after) and (up_to is None or e["seg"] <= up_to)}
+        if not at:
+            return self.spark.createDataFrame([], STORED)
+        there = set(self.files.list("log"))
+        where = [f"{self.files.root}/{'log' if d in there else 'staging'}/{d}" for d in at]
+        rows = self._read.schema("n long, t_ns long, batch_id long, op string, key binary, value binary, ttl_ns long").parquet(*where)
+        commits = F.broadcast(self.spark.createDataFrame([(d, e["first"], e["seg"]) for d, e in at.items()], "dir string, first long, seg int"))
         rows = rows.withColumn("dir", F.element_at(F.split(F.input_file_name(), "/"), -2))
         return rows.join(commits, "dir").select((F.col("first") + F.col("n")).alias("seq"), "seg", "t_ns", "batch_id", "op", "key", "value", "ttl_ns")
 
     def snapshot(self, version: dict | None = None) -> DataFrame:
         m = version or self._manifest()
-        return self.spark.read.schema(SNAPSHOT).parquet(f"{self.files.root}/snapshot/{m['snapshot']}") if m["snapshot"] else self.spark.createDataFrame([], SNAPSHOT)
+        return self._read.schema(SNAPSHOT).parquet(f"{self.files.root}/snapshot/{m['snapshot']}") if m["snapshot"] else self.spark.createDataFrame([], SNAPSHOT)
 
     def history(self, version: dict | None = None) -> DataFrame:
         """Snapshot rows as puts before all else, and the operations after it."""
@@ -301,9 +366,17 @@ class Store:
     def iterator(self, options: IteratorOptions | None = None) -> scan.Cursor:
         """A cursor over the live rows of this moment; later commits do not show."""
         o = options or IteratorOptions()
-        if o.continue_on_error:
-            self.spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-        return scan.Cursor(self.live().select("key", "value"), o.prefix, o.reverse)
+        self._skip_corrupt = o.continue_on_error
+        try:
+            return scan.Cursor(self.live().select("key", "value"), o.prefix, o.reverse)
+        finally:
+            self._skip_corrupt = False
+
+    def positions(self) -> DataFrame:
+        """(key, seg, seq) of the indexed keys in key order: where the log holds the operation that a key's state comes from, segment -1 for the snapshot."""
+        m = self._manifest()
+        places = self.history(m).select("seq", "seg")
+        return self.indexed().select("key", "seq").join(places, "seq").select("key", "seg", "seq").orderBy("key")
 
     # Maintenance.
 
@@ -323,7 +396,13 @@ class Store:
             dealt = rows.repartitionByRange(n, "key") if n else rows.repartitionByRange("key")
             dealt.sortWithinPartitions("key").write.parquet(f"{self.files.root}/snapshot/{name}")
             held = {e["dir"] for e in m["log"]}
-            self._publish(lambda x: x | {"snapshot": name, "log": [e for e in x["log"] if e["dir"] not in held], "seg": x["seg"] + 1, "seg_rows": 0})
+
+            def adopt(x: dict) -> dict:
+                if x["snapshot"] != m["snapshot"]:
+                    raise MergeRunning("another compaction was published first")
+                return x | {"snapshot": name, "log": [e for e in x["log"] if e["dir"] not in held], "seg": x["seg"] + 1, "seg_rows": 0, "seg_bytes": 0}
+
+            self._publish(adopt)
             return self.spark.read.parquet(f"{self.files.root}/snapshot/{name}").count()
         finally:
             self.merging = False
@@ -335,8 +414,9 @@ class Store:
         for kind, names in used.items():
             for name in set(self.files.list(kind)) - names:
                 self.files.delete(f"{kind}/{name}")
-        for name in self.files.list("manifest")[:-1]:
-            self.files.delete(f"manifest/{name}")
+        for name in self._versions():
+            if name < _name(m["version"]):
+                self.files.delete(f"manifest/{name}")
 
     def delete_expired_keys(self) -> int:
         """Purge: from now on expired keys do not count as indexed. One pass over metadata; returns how many there were."""
@@ -369,13 +449,23 @@ class Store:
         return feed.bounded(rows, self.options.watch_queue_size) if bounded else rows
 
     def watch(self) -> DataFrame:
-        """A streaming DataFrame of committed operations, one row each as it arrives: action, op, key, value, batch_id."""
+        """A streaming DataFrame of committed operations, one row each as it arrives: action, op, key, value, batch_id.
+
+        Expires and persists carry the value that their key had when they were staged.
+        """
         if not self.options.watch_queue_size:
             raise WatchDisabled("the watch queue's size is 0")
         from .streaming.feed import watch
 
         return watch(self.spark, self.files.root)
 
+    def pump(self, handler: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = "1 second") -> StreamingQuery:
+        """Pass the feed to ``handler`` batch by batch until the store is closed; without an interval, only what is there now."""
+        writer = self.watch().writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+        query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+        self._queries.append(query)
+        return query
+
 
 class Batch:
     """Operations that are staged on the driver and committed together; of operations on one key, the last counts.
@@ -430,7 +520,8 @@ class Batch:
                 raise KeyNotFound(key)
             if op == PERSIST and row.expire_ns == 0 and raw not in self.staged:
                 return  # nothing to clear, so nothing to write
-        self.staged[raw] = (op, None, ttl_ns)
+            value = None if row.value is None else bytes(row.value)
+        self.staged[raw] = (op, value, ttl_ns)
 
     def expire(self, key, ttl_ns: int) -> None:
         self._change(key, EXPIRE, ttl_ns)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from stratalog.config import BatchOptions, IteratorOptions, Options
 from stratalog.errors import BatchCommitted, BatchRollbacked, DBClosed, InvalidPattern, KeyIsEmpty, KeyNotFound, MergeRunning, ReadOnlyBatch, WatchDisabled
+from stratalog.functions.cron import next_time
 from stratalog.table import Store
 
 MS = 1_000_000
@@ -172,3 +173,104 @@ def test_events(store):
     q = store.watch().writeStream.foreachBatch(lambda df, _: rows.extend(df.collect())).option("checkpointLocation", store.options.path + "-cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.action, bytes(r.key)) for r in rows) == [(0, b"a"), (0, b"b"), (0, b"b"), (1, b"a")]
+    assert {(r.op, bytes(r.key)): r.value and bytes(r.value) for r in rows} == {("put", b"a"): b"1", ("delete", b"a"): None, ("put", b"b"): b"2", ("expire", b"b"): b"2"}
+
+
+def test_streamed_values_of_bulk_expires(store):
+    spark = store.spark
+    store.write(spark.createDataFrame([("put", "a", "1"), ("put", "b", "2")], "op string, key string, value string"))
+    store.write(spark.createDataFrame([("expire", "a", None, 10**15), ("persist", "c", None, 0)], "op string, key string, value string, ttl_ns long"))
+    assert {(r.op, bytes(r.key)): r.value and bytes(r.value) for r in store.ops().collect()}[("expire", b"a")] == b"1"
+    assert store.get("a") == b"1" and not store.exist("c")
+
+
+def test_a_torn_manifest_does_not_count(store):
+    store.put("a", "1")
+    store.put("b", "2")
+    name = f"{store.options.path}/manifest/{store._versions()[-1]}"
+    with open(name) as f:
+        whole = f.read()
+    with open(name, "w") as f:
+        f.write(whole[: len(whole) // 2])
+    again = Store.open(store.spark, store.options, store.clock)
+    assert keys(again.ascend()) == ["a"]
+    again.put("c", "3")
+    assert keys(again.ascend()) == ["a", "c"] and len(again._versions()) == 4
+    again.vacuum()
+    assert keys(Store.open(store.spark, store.options, store.clock).ascend()) == ["a", "c"]
+
+
+def test_only_one_writer_gets_a_name(store):
+    assert store.files.create("manifest/x.json", "{}") and not store.files.create("manifest/x.json", "[]")
+    assert store.files.read("manifest/x.json") == "{}" and not [n for n in store.files.list("manifest") if n.startswith(".")]
+
+
+def test_a_compaction_of_an_old_version_is_not_published(store):
+    store.put("a", "1")
+    other = Store.open(store.spark, store.options, store.clock)
+    published = store._publish
+
+    def late(change):
+        other.put("b", "2")
+        other.merge()
+        return published(change)
+
+    store._publish = late
+    with pytest.raises(MergeRunning):
+        store.merge()
+    assert keys(other.ascend()) == ["a", "b"]
+
+
+def test_segments_end_by_bytes_and_are_read_alone(store):
+    small = Store.open(store.spark, Options(store.options.path, segment_bytes=1), store.clock)
+    for k in "abc":
+        small.put(k, k)
+    assert {(bytes(r.key), r.seg) for r in small.ops().collect()} == {(b"a", 0), (b"b", 1), (b"c", 2)}
+    bounded = small.ops(after=0, up_to=1)
+    assert [bytes(r.key) for r in bounded.collect()] == [b"b"] and len(bounded.inputFiles()) == 1
+    assert small.ops(after=5).count() == 0
+    assert [(bytes(r.key), r.seg) for r in small.positions().collect()] == [(b"a", 0), (b"b", 1), (b"c", 2)]
+
+
+def test_the_pump_runs_until_the_store_is_closed(store):
+    import time
+
+    rows = []
+    q = store.pump(lambda df, _: rows.extend(df.collect()), store.options.path + "-cp", "200 milliseconds")
+    store.put("a", "1")
+    for _ in range(150):
+        if rows:
+            break
+        time.sleep(0.1)
+    store.close()
+    assert [bytes(r.key) for r in rows] == [b"a"] and not q.isActive
+
+
+def test_a_store_compacts_itself_in_time(spark, tmp_path):
+    import time
+
+    store = Store.open(spark, Options(str(tmp_path / "db"), auto_merge_cron="@every 1s"))
+    store.put("a", "1")
+    for _ in range(300):
+        if store._manifest()["snapshot"] and not store._manifest()["log"]:
+            break
+        time.sleep(0.1)
+    assert store._manifest()["snapshot"] and keys(store.ascend()) == ["a"]
+    store.close()
+    assert not store._merger.is_alive()
+
+
+def test_times_of_schedules():
+    from datetime import datetime, timezone
+
+    def after(expression, *at):
+        return datetime.fromtimestamp(next_time(expression, int(datetime(*at, tzinfo=timezone.utc).timestamp()) * 10**9) / 1e9, timezone.utc).replace(tzinfo=None)
+
+    assert after("*/15 * * * *", 2024, 1, 1, 10, 14, 59) == datetime(2024, 1, 1, 10, 15)
+    assert after("0 0 * * *", 2024, 2, 28, 0, 0, 0) == datetime(2024, 2, 29)
+    assert after("30 10 2-4/2 mar mon", 2024, 3, 1) == datetime(2024, 3, 2, 10, 30)
+    assert after("5 0 0 1 1 *", 2024, 1, 1, 0, 0, 5) == datetime(2025, 1, 1, 0, 0, 5)
+    assert after("@weekly", 2024, 5, 1) == datetime(2024, 5, 5)
+    assert after("TZ=Asia/Tokyo 0 9 * * *", 2024, 5, 1, 1) == datetime(2024, 5, 2)
+    assert next_time("@every 1m30s", 7) == 90 * 10**9 + 7
+    assert next_time("0 0 31 2 *", 0) is None
