@@ -1,16 +1,17 @@
 """The binary record encoding: type, batch id, sizes and expiry as variable-length integers, then key and value.
 
 A Python data source reads files of length-prefixed records, which is how exported logs come; block framing of a
-foreign log is not known here.
+foreign log is not known here. Files are read through Arrow's file systems, by the executors that get them, in batches.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -67,6 +68,16 @@ def decode(data: bytes) -> Record:
     return Record(data[0], batch_id, data[at : at + key_size], data[at + key_size : at + key_size + value_size], expire)
 
 
+#: Records of an Arrow batch, and bytes that a file is read by.
+BATCH, BUFFER = 4096, 1 << 20
+_SCHEMA = pa.schema([("seq", pa.int64()), ("seg", pa.int32()), ("record_type", pa.int8()), ("batch_id", pa.int64()), ("key", pa.binary()), ("value", pa.binary()), ("expire_ns", pa.int64())])
+
+
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 class _File(InputPartition):
     def __init__(self, path: str, number: int):
         self.path, self.number = path, number
@@ -77,16 +88,30 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[_File]:
-        names = sorted(os.listdir(self.path)) if os.path.isdir(self.path) else [""]
-        return [_File(os.path.join(self.path, n) if n else self.path, i) for i, n in enumerate(names) if not n.startswith(("_", "."))]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        store, path = open_store(self.path)
+        info = store.get_file_info(path)
+        found = store.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
+        files = sorted((f.base_name, f.path) for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
+        return [_File(p, i) for i, (_, p) in enumerate(files)]
+
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        store, _ = open_store(self.path)
+        with store.open_input_stream(partition.path, buffer_size=BUFFER) as f:
+            rows: list[tuple] = []
             n = 0
             while head := f.read(4):
                 r = decode(f.read(struct.unpack("<I", head)[0]))
-                yield (partition.number << 40) + n, partition.number, r.record_type, r.batch_id, r.key, r.value, r.expire_ns
+                rows.append(((partition.number << 40) + n, partition.number, r.record_type, r.batch_id, r.key, r.value, r.expire_ns))
                 n += 1
+                if len(rows) == BATCH:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
 class RecordSource(DataSource):
@@ -104,8 +129,9 @@ class RecordSource(DataSource):
 
 
 def write_segment(path: str, records: list[Record]) -> None:
-    """A local file of length-prefixed records, for export and tests."""
-    with open(path, "wb") as f:
+    """A file of length-prefixed records, under a path or URI."""
+    store, inside = open_store(path)
+    with store.open_output_stream(inside) as f:
         for r in records:
             data = encode(r)
             f.write(struct.pack("<I", len(data)) + data)
