@@ -10,8 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Options
 from ..operators import batch, compact, feed, log, lookup, scan, ttl
+from ..shared import fresh_path
 from ..sources import adapters as src
+from ..table import Store
 
 #: Fixed times of the queries: 2024-01-20 and 2024-01-31, in nanoseconds.
 T20, T31 = 1_705_708_800_000_000_000, 1_706_659_200_000_000_000
@@ -55,12 +58,13 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.live(log.committed(src.events_log(spark, sf_dir)), T31)
 
 
-def _probes(spark: SparkSession) -> DataFrame:
-    """Users that are there, and users that never are."""
-    return spark.range(0, 400, 3).select(F.concat(F.lit("user-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("key"))
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All users of the table, and as many that never are."""
+    users = src.events_ops(spark, sf_dir).select("key").distinct()
+    return users.select(F.explode(F.array("key", F.concat("key", F.lit("x")))).alias("key"))
 
 
-_PROBES = "probes AS (SELECT 'user-' || lpad(CAST(i AS VARCHAR), 9, '0') AS key FROM range(0, 400, 3) t(i))"
+_PROBES = "users AS (SELECT DISTINCT 'user-' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS key FROM events), probes AS (SELECT key FROM users UNION ALL SELECT key || 'x' FROM users)"
 
 
 # State.
@@ -211,18 +215,18 @@ def scan_until(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LATEST}, {_PROBES} SELECT key, value FROM probes JOIN live USING (key)")
 def bulk_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.get(_live(spark, sf_dir), _probes(spark))
+    return lookup.get(_live(spark, sf_dir), _probes(spark, sf_dir))
 
 
 @query(f"WITH {_LATEST}, {_PROBES} SELECT key, key IN (SELECT key FROM live) AS found FROM probes")
 def bulk_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.exist(_live(spark, sf_dir), _probes(spark))
+    return lookup.exist(_live(spark, sf_dir), _probes(spark, sf_dir))
 
 
 @query(f"""WITH {_LATEST}, {_PROBES} SELECT p.key, CASE WHEN l.key IS NULL OR l.expire_ns = 0 THEN -1 ELSE l.expire_ns - {T31} END AS ttl_ns,
   CASE WHEN l.key IS NULL THEN 'not_found' ELSE 'ok' END AS status FROM probes p LEFT JOIN live l ON p.key = l.key""")
 def bulk_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.ttl(_live(spark, sf_dir), _probes(spark), T31)
+    return lookup.ttl(_live(spark, sf_dir), _probes(spark, sf_dir), T31)
 
 
 # Mutations.
@@ -300,6 +304,54 @@ def stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact.stat(src.events_log(spark, sf_dir))
 
 
+# The store itself: commits, compaction, reopening, the feed.
+
+
+class _Times:
+    """A clock that a query sets."""
+
+    now = T20
+
+    def __call__(self) -> int:
+        return self.now
+
+
+_STORED = f"""o AS (SELECT *, t > {T20} AS late FROM ops WHERE op IN ('put', 'put_ttl', 'delete')),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, late ORDER BY seq DESC) AS r, row_number() OVER (PARTITION BY key ORDER BY late DESC, seq DESC) AS r_all FROM o) WHERE r = 1)"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[Store, _Times, DataFrame]:
+    """A store with the puts and deletes up to a time in one commit, and the later ones."""
+    ops = src.events_ops(spark, sf_dir).where(F.col("op").isin("put", "put_ttl", "delete"))
+    clock = _Times()
+    store = Store.open(spark, Options(fresh_path(spark, "store"), watch_queue_size=1000), clock)
+    store.write(ops.where(F.col("t_ns") <= T20), order="seq")
+    return store, clock, ops.where(F.col("t_ns") > T20)
+
+
+@query(f"""WITH {_OPS}, {_STORED} SELECT key, value FROM n WHERE r_all = 1 AND (op = 'put' OR (op = 'put_ttl' AND CASE WHEN late THEN {T31} ELSE {T20} END + ttl > {T31}))""")
+def store_merge_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit, compact, commit, close, open again, compact, read."""
+    store, clock, later = _stored(spark, sf_dir)
+    store.merge()
+    clock.now = T31
+    store.write(later, order="seq")
+    store.close()
+    again = Store.open(spark, store.options, clock)
+    again.merge()
+    return again.ascend().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query(f"""WITH {_OPS}, {_STORED}, f AS (SELECT * FROM n WHERE NOT late)
+  SELECT CASE WHEN op = 'delete' THEN 1 ELSE 0 END AS action, key, CASE WHEN op <> 'delete' THEN value END AS value FROM f
+  UNION ALL SELECT 0, key, value FROM f WHERE op = 'put' OR (op = 'put_ttl' AND ttl > 0)""")
+def store_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of two commits; the second one's expires carry the values of their keys."""
+    store, _, _ = _stored(spark, sf_dir)
+    store.write(store.live().select(F.lit("expire").alias("op"), "key", F.lit(None).cast("binary").alias("value"), F.lit(10**9).alias("ttl_ns")))
+    return store.events().select(F.col("action").cast("int").alias("action"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 # Change feed.
 
 
