@@ -2,7 +2,8 @@
 
 Stages take (spark, docs, sf_dir); all but the last return the columns of ``documents``. Ids may repeat or be null:
 every row counts as a document of its own. Null texts count as empty, which the quality stage rejects. Extra columns pass
-through.
+through, whatever their names: columns that the stages add for themselves start with two underscores. Without rows every
+stage returns none.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import decontam, ngram_join, pieces, quality, secrets
-from stratalog.llm.common import materialize, table
+from stratalog.llm.common import setting, table
+from stratalog.shared import materialize
 
 #: Near duplicates: words of an n-gram, and the similarity in percent.
 WORDS, SIMILARITY = 5, 80
 
 
 def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold stay."""
+    """Documents whose quality score reaches the threshold stay, those at the threshold too; equal texts fare alike. Empty, blank and null texts score as wholly bad ones."""
     field = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, field, score="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
 
@@ -36,19 +38,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item stay."""
-    return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).drop("leaks")
+    """Documents that contain no benchmark item stay: of a document at both bounds the item counts as contained. Empty and null texts contain none."""
+    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), leaks="__leaks")
+    return found.where(F.size("__leaks") == 0).drop("__leaks")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by a mark, and n_chars follows."""
-    found = secrets.find_secrets(docs, secrets.infer_grammar(docs))
-    return secrets.redact(found).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Every document stays; its secrets are replaced by a mark, overlapping ones by one, and n_chars follows. Null texts stay null."""
+    found = secrets.find_secrets(docs, secrets.infer_grammar(docs), secrets="__secrets")
+    return secrets.redact(found, secrets="__secrets").withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_tokens, the piece ids, and the text decoded from them."""
-    model = pieces.PieceModel.load()
+    """doc_id, lang, source, n_chars, n_tokens, the piece ids, and the digest of the text decoded from them; a row for every document. No text has no ids."""
+    model = pieces.PieceModel.load(setting(spark, "pieces.model", pieces.MODEL))
     coded = pieces.decode(pieces.encode(docs, model), model)
     return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -1,4 +1,4 @@
-"""Shared plumbing: shared storage, Arrow text buffers and byte-level numpy helpers."""
+"""Shared plumbing: Arrow text buffers, byte-level numpy helpers, and filters of ids."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ import contextlib
 import ctypes
 import gc
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds as numpy arrays at once.
 SLICE_BYTES = 1 << 20
-
-
 #: Rows and bytes of the Arrow batches between Spark and Python, since one text may be long.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 #: Bits of a filter of ids, which bounds its broadcast.
@@ -35,6 +30,11 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def setting(spark: SparkSession, name: str, default: str) -> str:
+    """A path that the session may set as ``stratalog.<name>``."""
+    return spark.conf.get(f"stratalog.{name}", default)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -42,40 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in ``spark.checkpoint.dir``, which all executors see; it is deleted when the driver ends.
-
-    Where the setting is missing, a session whose executors are threads of the driver gets a folder of its own; any
-    other is refused, since its executors would not see a local one.
-    """
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        where = spark.conf.get("stratalog.shared.dir", None) or tempfile.mkdtemp(prefix="stratalog-")
-        spark.conf.set("stratalog.shared.dir", where)
-    where = f"{where.rstrip('/')}/stratalog-{sc.applicationId}"
-    path = sc._jvm.org.apache.hadoop.fs.Path(where)
-    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    return where
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that its lineage ends at a table that outlives executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the offsets of its rows (one more than rows); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

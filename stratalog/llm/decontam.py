@@ -282,17 +282,17 @@ def _better(leaks: dict[int, dict], leak: dict) -> None:
         leaks[leak["item_id"]] = leak
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = SCORE, overlap: float = OVERLAP, leaks: str = "leaks") -> DataFrame:
     """Add ``leaks``: the benchmark items that the whole text of each row contains, by item_id.
 
     An item is contained if a passage of the text reaches ``threshold`` of the item's BM25 score and ``overlap`` of the
     trigrams of both its question and its answer, each bound included. Null and empty texts, and an empty benchmark,
     give no leaks. An item is listed once: with repeated rows it counts once, with several texts the one with the largest
-    score counts. Repeated rows of ``docs`` each get their leaks. Extra columns pass through; one named ``leaks`` is
+    score counts. Repeated rows of ``docs`` each get their leaks. Extra columns pass through; one named like the leaks is
     replaced. Each index is broadcast by itself, and its size is bounded.
     """
-    keep = [c for c in docs.columns if c != "leaks"]
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.array().cast(LEAK).alias("leaks"))
+    keep = [c for c in docs.columns if c != leaks]
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.array().cast(LEAK).alias(leaks))
     schema = out.schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("n_passages", pa.int32()), ("first_word", pa.int32())]))
     for index in build_indexes(benchmark, item_id, item_text):
@@ -302,14 +302,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
             for batch in slices(batches, text):
                 texts = [x or "" for x in batch.column(text).cast(pa.string()).to_pylist()]
                 found = document_leaks(held.value, texts, threshold, overlap)
-                old = batch.column("leaks").to_pylist()
+                old = batch.column(leaks).to_pylist()
                 both = []
                 for lists in zip(old, found, strict=True):
                     one: dict[int, dict] = {}
-                    for leak in (x for leaks in lists for x in leaks or ()):
+                    for leak in (x for some in lists for x in some or ()):
                         _better(one, leak)
                     both.append([one[i] for i in sorted(one)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(both, kind)], [*keep, "leaks"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(both, kind)], [*keep, leaks])
 
         out = out.mapInArrow(run, schema)
     return out

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, maybe_in, mix64, random_words, slices, utf8
+from ..shared import materialize
+from .common import maybe_in, mix64, random_words, slices, utf8
 from .graph import connected_components
 
 #: N-grams that are counted together in a task, the count from which one is reported as frequent, and the length of the

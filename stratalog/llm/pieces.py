@@ -9,8 +9,9 @@ possible that was met before, it is joined next (``PieceModel.out_of_turn``). Th
 The fold's work grows with the square of a word's length, so words beyond ``LONGEST`` characters are merged with a heap
 in the Python worker, by the same rule.
 
-Every input file gets the part of the dictionary that its own texts need, as a table in the shared folder, and the
-second pass over the file looks its words up there. So texts are never shuffled, and a task holds the words of a file.
+Every split of an input file gets the part of the dictionary that its own texts need, as a table in the shared folder,
+and the second pass over the split looks its words up there. So texts are never shuffled, and a task holds the words of
+a split, whose size Spark's ``maxPartitionBytes`` bounds.
 """
 
 from __future__ import annotations
@@ -31,14 +32,15 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Prefixes, fresh_path, materialize, random_words, release, slices, utf8
+from ..shared import fresh_path, materialize
+from .common import Prefixes, random_words, release, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of words whose boundaries fit a long, and of words that are folded at all.
 SHORT, LONGEST = 60, 1000
-#: Characters by which substrings are bounded.
-HEAD = 3
+#: Characters at a substring's start that say how long pieces with such a start are.
+HEAD = 4
 #: Distinct words that a task holds before it passes them on, and words whose edges an aggregation keeps before it sorts.
 HELD_WORDS = 600_000
 HELD_GROUPS = 150_000
@@ -118,6 +120,10 @@ class PieceModel:
             raise ValueError("a piece crosses words")
         return model
 
+    def by_scores(self) -> PieceModel:
+        """The same pieces as a unigram model: the best sum of scores, whatever the model's own rule."""
+        return PieceModel.of(self.pieces, self.scores, self.kinds, UNIGRAM)
+
     @property
     def first_byte(self) -> int:
         return self.kinds.index(6)
@@ -137,12 +143,12 @@ class PieceModel:
         return "".join(c for c in ".,;:!?" if not any(x.isalpha() and y == c for p in self.ids for x, y in itertools.pairwise(p)))
 
     def prefixes(self, spark: SparkSession) -> DataFrame:
-        """(prefix, longest): of every start of pieces of ``HEAD`` characters, the longest piece."""
-        longest: dict[str, int] = {}
+        """(prefix, lengths): for every start of pieces of ``HEAD`` characters, the lengths of those pieces; no more rows than pieces."""
+        lengths: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) >= HEAD:
-                longest[p[:HEAD]] = max(longest.get(p[:HEAD], 0), len(p))
-        return spark.createDataFrame(list(longest.items()) or [("", 0)], "prefix string, longest int")
+                lengths.setdefault(p[:HEAD], set()).add(len(p))
+        return spark.createDataFrame([(p, sorted(n)) for p, n in lengths.items()] or [("", [0])], "prefix string, lengths array<int>")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The piece table: as many rows as the vocabulary, which bounds its broadcast."""
@@ -259,13 +265,22 @@ def word_keys(text: str, pattern: re.Pattern) -> list[str]:
         found = pattern.findall(MARK + text.replace(" ", MARK))
         return [w[1:] if w[0] == MARK and w[1:2] not in ("\n", LITERAL) else w if w[0] == "\n" else LITERAL + w for w in found]
     # Single spaces: words are what stands between them, cut before line feeds.
-    first, *lines = text.split("\n")
-    out = first.split(" ")
-    for line in lines:
-        head, *rest = line.split(" ")
-        out.append("\n" + head)
-        out += rest
-    return out
+    return text.replace("\n", " \n").split(" ")
+
+
+def keys_of(texts: pa.Array, pattern: re.Pattern) -> tuple[pa.Array, np.ndarray]:
+    """The ``word_keys`` of all texts, one after the other, and how many each text has."""
+    texts = pc.fill_null(texts, "")
+    odd = pc.or_(pc.equal(texts, ""), pc.starts_with(texts, " "))
+    for x in ("  ", MARK, LITERAL):
+        odd = pc.or_(odd, pc.match_substring(texts, x))
+    odd = np.asarray(odd)
+    lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
+    if odd.any():
+        rest = pa.array([word_keys(t, pattern) for t in texts.filter(pa.array(odd)).to_pylist()], lists.type)
+        order = np.argsort(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]))
+        lists = pa.concat_arrays([lists, rest]).take(pa.array(order))
+    return lists.flatten(), np.asarray(pc.list_value_length(lists))
 
 
 def stems(keys: pa.Array, tails: str) -> tuple[pa.Array, np.ndarray]:
@@ -294,10 +309,12 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     low = 2 if model.algorithm == BPE else 1
     table = F.broadcast(model.table(words.sparkSession))
     starts = words.withColumn("size", F.char_length("word")).select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - low, F.lit(0)))).alias("at"))
-    # No substring is longer than the longest piece that starts as it does.
+    # From ``HEAD`` characters on, a substring has the length of a piece that starts as it does.
     starts = starts.withColumn("prefix", F.substring("word", F.col("at") + 1, HEAD)).join(F.broadcast(model.prefixes(words.sparkSession)), "prefix", "left")
-    most = F.least(F.coalesce("longest", F.lit(HEAD - 1)), F.col("size") - F.col("at"))
-    parts = starts.select("key", "word", "at", F.explode(F.sequence(F.lit(low), F.greatest(most, F.lit(low)))).alias("n"))
+    short = F.array(*[F.lit(n) for n in range(low, HEAD)])
+    lengths = F.when(F.col("lengths").isNull(), short).otherwise(F.concat(short, "lengths"))
+    fitting = F.col("size") - F.col("at")
+    parts = starts.select("key", "word", "at", fitting.alias("most"), F.explode(lengths).alias("n")).where((F.col("n") <= F.col("most")) | (F.col("n") == low))
     parts = parts.withColumn("piece", F.substring("word", F.col("at") + 1, F.col("n")))
     if model.algorithm == BPE:
         # The first substring stays without a piece, so that every word has a row; its null is no edge.
@@ -357,7 +374,7 @@ def merge_fold(edges: Column, size: Column, finish: Callable[[Column], Column])
         at, n, _ = _unpack(e)
         one = F.lit(1).cast("long")
         ends = _shift(one, at).bitwiseOR(_shift(one, at + n))
-        return (F.bit_count(state.bitwiseAND(_span(at, n))) == 1) & (state.bitwiseAND(ends) == ends)
+        return (state.bitwiseAND(ends) == ends) & (F.bit_count(state.bitwiseAND(_span(at, n))) == 1)
 
     def join(state: Column, e: Column) -> Column:
         return state.bitwiseAND(F.bitwise_not(_span(*_unpack(e)[:2])))
@@ -380,22 +397,22 @@ def long_merge_fold(edges: Column, size: Column, finish: Callable[[Column], Colu
     return _merge_all(edges, size, F.repeat(F.lit("1"), size + 1), fits, join, finish)
 
 
-def viterbi_fold(edges: Column, low: float, finish: Callable[[Column], Column]) -> Column:
-    """``finish`` of the segmentation of a unigram model, as a string of boundaries: the path of the largest sum of scores, the shorter last piece on a tie."""
-    order = F.array_sort(F.transform(edges, lambda e: F.struct(e["at"].alias("at"), e["n"].alias("n"), F.coalesce(e["score"], F.lit(low)).alias("score"))))
-    # best: per position the sum and the boundaries up to it; positions are filled in order of the edges' starts.
-    kind = "struct<total:double,cut:string>"
-    zero = F.create_map(F.lit(0), F.struct(F.lit(0.0).alias("total"), F.lit("1").alias("cut")).cast(kind))
+def viterbi_fold(edges: Column, size: Column, low: float, finish: Callable[[Column], Column]) -> Column:
+    """``finish`` of the segmentation of a unigram model, as a string of boundaries: the path of the largest sum of scores, the longer last piece on a tie."""
+    # best: for every position so far the sum and the boundaries up to it.
+    kind = "array<struct<total:double,cut:string>>"
+    zero = F.array(F.struct(F.lit(0.0).alias("total"), F.lit("1").alias("cut"))).cast(kind)
 
-    def step(best: Column, e: Column) -> Column:
-        here, end = F.try_element_at(best, e["at"]), e["at"] + e["n"]
-        total = here["total"] + e["score"]
-        there = F.try_element_at(best, end)
-        path = F.struct(total.alias("total"), F.concat(here["cut"], F.repeat(F.lit("0"), e["n"] - 1), F.lit("1")).alias("cut")).cast(kind)
-        better = there.isNull() | (total > there["total"])
-        return F.when(better, F.map_concat(F.map_filter(best, lambda k, _: k != end), F.create_map(end, path))).otherwise(best)
+    def step(best: Column, end: Column) -> Column:
+        def path(e: Column) -> Column:
+            before = F.element_at(best, e["at"] + 1)
+            total = before["total"] + F.coalesce(e["score"], F.lit(low))
+            return F.struct(total.alias("total"), e["n"].alias("n"), F.concat(before["cut"], F.repeat(F.lit("0"), e["n"] - 1), F.lit("1")).alias("cut"))
 
-    return F.aggregate(order, zero, step, lambda best: finish(F.element_at(best, F.array_max(F.map_keys(best)))["cut"]))
+        found = F.array_max(F.transform(F.filter(edges, lambda e: e["at"] + e["n"] == end), path))
+        return F.concat(best, F.array(F.struct(found["total"].alias("total"), found["cut"].alias("cut"))).cast(kind))
+
+    return F.aggregate(F.sequence(F.lit(1), size), zero, step, lambda best: finish(F.element_at(best, -1)["cut"]))
 
 
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
@@ -416,7 +433,7 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
         else:
             long = F.transform(F.filter(edges, lambda e: (e["n"] > 1) & used(e["at"], e["n"])), lambda e: _pair(e["at"], e["id"]))
         single = F.transform(F.filter(F.sequence(F.lit(0), size - 1), alone), lambda i: _pair(i, -F.ascii(F.substring("word", i + 1, F.lit(1))) - 1))
-        return F.transform(F.array_sort(F.concat(long, single)), lambda x: x["code"])
+        return F.transform(F.sort_array(F.concat(long, single)), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
 
     def of_bits(cut: Column) -> Column:
         one, two = F.lit(1).cast("long"), F.lit(3).cast("long")
@@ -433,16 +450,17 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     if model.algorithm == BPE:
         out = F.when(size <= SHORT, merge_fold(edges, size, of_bits)).otherwise(long_merge_fold(edges, size, of_text))
     else:
-        out = viterbi_fold(edges, min(model.scores) - 10.0, of_text)
+        out = viterbi_fold(edges, size, min(model.scores) - 10.0, of_text)
     return found.select("key", out.alias("codes"))
 
 
 def _pair(at: Column, code: Column) -> Column:
-    return F.struct(at.alias("at"), code.alias("code"))
+    """A long that sorts by the place and holds the code."""
+    return _shift(at.cast("long"), 32).bitwiseOR(code.cast("long") + (1 << 31))
 
 
 def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, file) of the keys of words up to ``LONGEST`` characters of each input file, distinct within a task."""
+    """(key, file) of the keys of words up to ``LONGEST`` characters of each split, distinct within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
@@ -457,10 +475,10 @@ def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
             return pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(keys), file, np.int32))], ["key", "file"])
 
         for batch in slices(batches, "text"):
-            files, texts = batch.column("file").to_pylist(), batch.column("text").to_pylist()
+            files = batch.column("file").to_pylist()
             for a, b in _runs(files):
                 parts = held.setdefault(files[a], [])
-                parts.append(pa.array([w for t in texts[a:b] for w in word_keys(t, pattern)], pa.string()).unique())
+                parts.append(keys_of(batch.column("text").slice(a, b - a), pattern)[0].unique())
                 if sum(map(len, parts[1:])) > HELD_WORDS // 2:
                     parts[:] = [pc.unique(pa.chunked_array(parts))]
                     if len(parts[0]) > HELD_WORDS:
@@ -473,7 +491,7 @@ def file_words(docs: DataFrame, model: PieceModel) -> DataFrame:
 
 
 def file_dictionary(docs: DataFrame, model: PieceModel) -> str:
-    """Write the words of each input file and their codes into a folder of its own, in packed blocks; returns where."""
+    """Write the words of each split and their codes into a folder of its own, in packed blocks; returns where."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HELD_GROUPS))
     # One exchange by key serves the distinct words, their lattices and the join back to the files: as both sides of the
@@ -541,15 +559,16 @@ def _unblock(blocks: list[bytes]) -> tuple[pa.Array, pa.Array]:
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``: the piece ids of the whole text, as the model's own rule gives them.
 
-    Null and empty texts have no ids. Words of more than ``LONGEST`` characters are encoded in the worker. Extra columns
-    pass through; one named like the ids is replaced. ``docs`` that are not read from files are written first.
+    Null and empty texts have no ids; repeated rows get the same ids each. Words of more than ``LONGEST`` characters are
+    encoded in the worker, as are words that a split lacks because the second pass is split otherwise. Extra columns pass
+    through; one named like the ids is replaced. ``docs`` that are more than a scan of files are written first.
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c != ids]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
-    if not rows.inputFiles():
+    if not _is_scan(rows):
         rows = materialize(rows, "piece-texts")
-    where = F.hash(F.input_file_name())
+    where = F.hash(F.input_file_name(), F.input_file_block_start())
     rows = rows.withColumn("__file", where)
     folder = file_dictionary(rows.select(F.col("__file").alias("file"), F.col(f"`{text}`").cast("string").alias("text")), model)
     uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
@@ -571,19 +590,24 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
                     else:
                         dictionary = _Dictionary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
                 part = batch.slice(a, b - a)
-                split = [word_keys(t, pattern) for t in part.column(text).cast(pa.string()).to_pylist()]
-                coded = pa.array([w for s in split for w in s], pa.string()).dictionary_encode()
+                keys, counts = keys_of(part.column(text).cast(pa.string()), pattern)
+                coded = keys.dictionary_encode()
                 lists = dictionary.find(coded.dictionary, model, tails)
                 values, size = model.resolve(np.asarray(lists.flatten()).astype(np.int64), np.diff(np.asarray(lists.offsets)))
                 at = np.concatenate([[0], np.cumsum(size)])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _gather(values, at, np.asarray(coded.indices), [len(s) for s in split])], [*keep, ids])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _gather(values, at, np.asarray(coded.indices), counts)], [*keep, ids])
         release()
 
     return rows.mapInArrow(run, schema)
 
 
+def _is_scan(rows: DataFrame) -> bool:
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
 class _Dictionary:
-    """The words of a file, found by 64-bit hashes and then compared."""
+    """The words of a split, found by 64-bit hashes and then compared."""
 
     def __init__(self, words: pa.Array, codes: pa.ListArray):
         h = self._hashes(words)
@@ -633,7 +657,7 @@ def _runs(values: list) -> Iterator[tuple[int, int]]:
             start = i
 
 
-def _gather(values: np.ndarray, at: np.ndarray, index: np.ndarray, counts: list[int]) -> pa.ListArray:
+def _gather(values: np.ndarray, at: np.ndarray, index: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     """The concatenated lists at ``index`` (list i is values[at[i]:at[i + 1]]), in groups of ``counts``."""
     size = np.diff(at)[index]
     stop = np.cumsum(size)

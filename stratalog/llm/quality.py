@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, random_words, slices, utf8
+from ..shared import materialize
+from .common import mix64, random_words, slices, utf8
 
 #: Defaults of ``train``: labelled documents that the model is fitted on, those with the smallest hashes, and lines beyond
 #: which a sample of their blocks of contiguous lines is used, those with the smallest hashes.
@@ -263,15 +264,16 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE_DOCS, most_lines: int = SAMPLE_LINES) -> LineField:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE_DOCS, most_lines: int | None = None) -> LineField:
     """Fit on at most ``most`` labelled documents outside the held-out fold, those with the smallest hashes of their ids.
 
-    Only they reach the driver, as line features. Documents of more than ``most_lines`` lines in all are thinned out
+    Only they reach the driver, as line features. Documents of more than ``most_lines`` lines (``SAMPLE_LINES`` unless given) in all are thinned out
     before: blocks of ``BLOCK`` lines are taken in the order of their hashes, whatever their documents' lengths, up to the
     one that reaches the bound; a document's blocks are put together in order. Rows without a label are ignored; of
     repeated labels the largest counts. Without labels of both classes, every document gets the score of the share
     of good labels (1 without labels).
     """
+    most_lines = SAMPLE_LINES if most_lines is None else most_lines
     known = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.max(F.col(f"`{label}`")).cast("int").alias("good"))
     chosen = known.where(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id").withColumn("row", F.monotonically_increasing_id())

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, media, ngram_join, pieces, quality, secrets, suffixes, tokens, warc
-from .common import fresh_path, table
+from ..shared import fresh_path
+from .common import setting, table
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.PieceModel.load()
+    model = pieces.PieceModel.load(setting(spark, "pieces.model", pieces.MODEL))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     back = pieces.decode(pieces.encode(docs, model).drop("text"), model)
     decoded = F.sha2("decoded", 256)
@@ -133,7 +134,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), fields=("source", "text"))
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), fields=("source", "text"), vocabulary=setting(spark, "tokens.vocabulary", tokens.VOCABULARY))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +151,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), count("grammar"))
 
 
+def pieces_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by Viterbi over the piece scores; op1_pieces has the ids of the model's own rule, which differ."""
+    model = pieces.PieceModel.load(setting(spark, "pieces.model", pieces.MODEL)).by_scores()
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return coded.select("doc_id", F.size("ids").alias("n_tokens"), "ids")
+
+
 # What SQL can express of op4, op9 and op10, each from its operator's own output.
 
 
@@ -224,6 +232,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_tokens": op9_tokens,
     "op10_secrets": op10_secrets,
+    "pieces_viterbi": pieces_viterbi,
     "media_digests": media_digests,
     "token_sections": token_sections,
     "secrets_base": secrets_base,

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, utf8
+from ..shared import materialize
+from .common import slices, utf8
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -295,17 +296,17 @@ def infer_grammar(docs: DataFrame, text: str = "text", most: int = EXAMPLES) ->
     return Grammar(examples)
 
 
-def find_secrets(docs: DataFrame, grammar: Grammar, text: str = "text", margin: float = MARGIN) -> DataFrame:
+def find_secrets(docs: DataFrame, grammar: Grammar, text: str = "text", margin: float = MARGIN, secrets: str = "secrets") -> DataFrame:
     """Add ``secrets``: array of (kind, start, end) in code points, ordered by start and kind.
 
     Null and empty texts have none. Fixed patterns match leftmost and without overlaps within a kind; ``grammar`` spans
     are whole tokens that those do not cover wholly and whose score reaches ``margin``; they may overlap those. Work grows
-    with a text's length, and repeated rows give repeated results. Extra columns pass through; one named ``secrets`` is
+    with a text's length, and repeated rows give repeated results. Extra columns pass through; one named like the secrets is
     replaced.
     """
-    keep = [c for c in docs.columns if c != "secrets"]
+    keep = [c for c in docs.columns if c != secrets]
     spans = "array<struct<kind:string,start:int,end:int>>"
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast(spans).alias("secrets")).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast(spans).alias(secrets)).schema
     held = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,20 +321,20 @@ def find_secrets(docs: DataFrame, grammar: Grammar, text: str = "text", margin:
                     points = np.concatenate([[0], np.cumsum((np.frombuffer(body, np.uint8) & 0xC0) != 0x80)])
                     all_found = [(k, int(points[a]), int(points[b])) for k, a, b in all_found]
                 out.append(sorted(({"kind": k, "start": a, "end": b} for k, a, b in all_found), key=lambda s: (s["start"], order[s["kind"]])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, kind)], [*keep, "secrets"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, kind)], [*keep, secrets])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", secrets: str = "secrets") -> DataFrame:
     """Replace the spans of ``secrets`` in ``text`` by ``mark``, overlapping spans as one, and drop ``secrets``. Documents stay."""
-    keep = [c for c in docs.columns if c != "secrets"]
+    keep = [c for c in docs.columns if c != secrets]
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             out = []
-            for body, spans in zip(batch.column(text).to_pylist(), batch.column("secrets").to_pylist(), strict=True):
+            for body, spans in zip(batch.column(text).to_pylist(), batch.column(secrets).to_pylist(), strict=True):
                 if body and spans:
                     parts, done = [], 0
                     for s in spans:

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefixes, grams, materialize, mix64, random_words, slices, utf8
+from ..shared import materialize
+from .common import Prefixes, grams, mix64, random_words, slices, utf8
 
 LENGTH = 400
 #: Bytes of an anchor string; it is the least that contexts which are compared share.

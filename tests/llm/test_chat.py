@@ -71,5 +71,12 @@ def test_long_conversations_and_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_a_very_long_conversation_and_a_very_long_turn(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i}", 0) for i in range(20_000)] + [(2, 0, "assistant", "<|im_end|> é " * 100_000, 0)]
+    got = {r.conv_id: r for r in chat.read_windows(chat.format_windows(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert [t.text for t in got[1].turns] == [f"turn {i}" for i in range(20_000)] and len(got[1].targets) == 10_000
+    assert got[2].targets == [rows[-1][3]]
+
+
 def test_no_turns(spark):
     assert chat.read_windows(chat.format_windows(spark.createDataFrame([], SCHEMA))).count() == 0

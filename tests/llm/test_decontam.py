@@ -131,6 +131,17 @@ def test_planted_leaks_are_found_and_clean_texts_are_not(spark, monkeypatch, mos
         assert found == (want.get(row.doc_id) if row.doc_id < 900 else [5] if row.doc_id == 902 else []), row.doc_id
 
 
+def test_ties_at_the_bounds_are_leaks(spark):
+    words = ITEMS[0][1].split()
+    docs = spark.createDataFrame([(1, " ".join(words[: len(words) * 3 // 4]))], "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    (leak,) = decontam.find_leaks(docs, bench, threshold=0.2, overlap=0.0).first().leaks
+    share = min(leak.question_overlap, leak.answer_overlap)
+    assert 0 < leak.score < 1 and 0 <= share < 1
+    for threshold, overlap, found in ((leak.score, share, 1), (leak.score + 1e-6, share, 0), (leak.score, share + 1e-6, 0)):
+        assert len(decontam.find_leaks(docs, bench, threshold=threshold, overlap=overlap).first().leaks) == found
+
+
 def test_nothing_to_find(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

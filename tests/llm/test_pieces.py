@@ -35,6 +35,19 @@ def test_ids_are_the_librarys(spark):
         assert library.decode(want) == out[i].decoded or "\x00" in (t or "") or "▁" in (t or "") or t is not None and t.startswith(" ")
 
 
+@needs_model
+def test_keys_of_many_texts_are_those_of_each():
+    import pyarrow as pa
+
+    pattern = pieces.PieceModel.load(MODEL).word_pattern()
+    rng = random.Random(9)
+    rows = TEXTS + ["".join(rng.choices("ab  \n▁\x01é.", k=rng.randrange(12))) for _ in range(400)]
+    keys, counts = pieces.keys_of(pa.array(rows, pa.string()), pattern)
+    want = [pieces.word_keys(t, pattern) for t in rows]
+    assert counts.tolist() == list(map(len, want)) and keys.to_pylist() == [w for one in want for w in one]
+    assert pieces.keys_of(pa.array([], pa.string()), pattern)[0].to_pylist() == []
+
+
 @needs_model
 def test_long_words_merge_alike():
     import sentencepiece
@@ -112,6 +125,17 @@ def test_viterbi_against_all_segmentations(spark):
         assert b"".join(model.pieces[k].replace("▁", " ").encode() if model.kinds[k] == 1 else bytes([k - 1]) for k in out[i]).decode() == (" " + t if t else "")
 
 
+@needs_model
+def test_viterbi_over_the_public_scores(spark):
+    model = pieces.PieceModel.load(MODEL).by_scores()
+    rng = random.Random(7)
+    rows = [t for t in TEXTS if t is None or len(t) < 2000] + [" ".join("".join(rng.choices(["in", "th", "e", "r", "on", "q", "st", "ation", "."], k=rng.randrange(1, 7))) for _ in range(30)) for _ in range(40)]
+    out = {r.doc_id: list(r.ids) for r in pieces.encode(texts(spark, rows), model).collect()}
+    pattern = model.word_pattern()
+    for i, t in enumerate(rows):
+        assert out[i] == [k for w in pieces.word_keys(t or "", pattern) for k in model.encode_word(pieces.word_of(w))], repr(t)
+
+
 def test_models_that_cannot_be_used():
     with pytest.raises(ValueError):
         pieces.PieceModel.of(["<unk>", "a▁b"], [0, -1], [2, 1], pieces.BPE)

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from stratalog.llm import decontam, ngram_join, pieces, quality, secrets
 
+from .test_decontam import brute as all_passages
+from .test_ngram_join import brute as all_pairs
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not (os.path.isdir(SF) and os.path.exists(pieces.MODEL)), reason="test tables are not here")
 
@@ -26,10 +29,15 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
         elif k == 1:
             groups = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(before, n=5, percent=80).collect()}
             assert kept == set(groups.values())
+            want = all_pairs([(r.doc_id, r.text) for r in before.collect()], 5, 80)
+            assert kept == {c for _, c in want.values()}
         elif k == 2:
             bench = spark.read.parquet(f"{SF}/benchmark.parquet")
             leaks = {r.doc_id for r in decontam.find_leaks(before, bench).where(F.size("leaks") > 0).collect()}
             assert kept == had - leaks and leaks
+            rows = before.collect()
+            items = [(r.item_id, r.text) for r in bench.collect()]
+            assert leaks == {r.doc_id for r, found in zip(rows, all_passages(items, [r.text for r in rows]), strict=True) if found}
         elif k == 3:
             assert kept == had
             again = secrets.find_secrets(after, secrets.infer_grammar(before)).where(F.size("secrets") > 0).count()
@@ -51,6 +59,15 @@ def test_odd_documents_pass(spark):
     assert quality.THRESHOLD == 0.3
 
 
+def test_columns_of_any_name_pass(spark):
+    rows = [(i, f"A good line of plain words to keep here, number {i} of them all.", "en", "s", 60, "a", "b", "c", "d") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, leaks string, secrets string, score string, row string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {(r.leaks, r.secrets, r.score, r.row) for r in out.collect()} <= {("a", "b", "c", "d")}, name
+
+
 def test_repeated_and_null_ids_lose_only_linked_texts(spark):
     def text(word):
         return " ".join(f"{word}{i}" for i in range(60))

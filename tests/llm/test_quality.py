@@ -48,6 +48,32 @@ def test_features_do_not_depend_on_neighbouring_documents():
         assert np.allclose(alone[0], x[owner == i]) and alone[2].tolist() == size[owner == i].tolist()
 
 
+def test_scores_against_all_labellings(spark):
+    """The whole score of short documents, from the line features on, by summing over every labelling of their lines."""
+    rng = np.random.default_rng(5)
+    d = len(quality.FEATURES)
+    field = quality.LineField(rng.normal(size=3 * d + 3).astype(np.float32) / 9, np.ones(3 * d + 3, np.float32), rng.normal(size=3 * d + 3).astype(np.float32) / 3, rng.normal(size=(2, 2)), np.array([-0.7, 0.4, 0.2]))
+    lines = ["A plain sentence of some words.", "BUY NOW!!! $$$ | | |", "x", "12 34 56", "a | b | c | d", "", "   ", "é ß words in others' letters, too."]
+    texts = ["\n".join(rng.choice(lines, rng.integers(0, 8))) for _ in range(40)] + ["x"] * 2
+    out = quality.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3), field).collect()
+    for r in out:
+        raw = r.text.encode()
+        x, _, size = quality.line_features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        n = len(x)
+        zero = np.zeros(d)
+        wide = np.array([np.concatenate([x[i], x[i - 1] if i else zero, x[i + 1] if i + 1 < n else zero, [i > 0, i + 1 < n, 1]]) for i in range(n)]).reshape(n, 3 * d + 3)
+        e = (wide - field.mean) @ field.weights
+        weight, mass = 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(e[k] * v for k, v in enumerate(y)) + sum(field.trans[a, b] for a, b in itertools.pairwise(y)))
+            weight += w
+            mass += w * np.array(y)
+        share = float((size * mass / weight).sum() / size.sum()) if n else 1.0
+        s = min(max(share, 1e-4), 1 - 1e-4)
+        want = 1 / (1 + np.exp(-(np.array([np.log(s / (1 - s)), s, 1]) @ field.final)))
+        assert abs(r.score - want) < 1e-4, r.text
+
+
 def test_odd_documents(spark, odd_docs):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 0), (5, 1, 0), (8, 0, 0), (8, 0, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     field = quality.train(odd_docs, labels)

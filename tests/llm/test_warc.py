@@ -2,7 +2,7 @@ import hashlib
 import io
 
 from stratalog.llm import warc
-from stratalog.llm.common import fresh_path
+from stratalog.shared import fresh_path
 
 SCHEMA = "page_id long, url string, html string, payload string"
 
