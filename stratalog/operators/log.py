@@ -32,9 +32,12 @@ def committed(log: DataFrame) -> DataFrame:
     The marks are one row a batch. Spark chooses how to join them from their measured size.
     """
     data = log.where(F.col("record_type") != FINISHED)
-    marks = finish_marks(log)
-    whole = data.join(marks, (data.batch_id == marks.batch_id) & (marks.fin_seq > data.seq), "left_semi")
-    return whole.where("batch_id != 0").unionByName(data.where((F.col("batch_id") == 0) & (F.col("record_type") == NORMAL)))
+    whole = (F.col("batch_id") != 0) & (F.col("fin_seq") > F.col("seq"))
+    merged = (F.col("batch_id") == 0) & (F.col("record_type") == NORMAL)
+    # Batch 0 has no mark; keys of their own spread its rows, which may be most of the log.
+    marks = finish_marks(log).withColumnRenamed("batch_id", "mark")
+    key = F.when(F.col("batch_id") != 0, F.col("batch_id")).otherwise(-1 - F.col("seq"))
+    return data.join(marks, key == F.col("mark"), "left").where(whole | merged).select(log.columns)
 
 
 def torn(log: DataFrame) -> DataFrame:
