@@ -14,6 +14,7 @@ from ..config import Options
 from ..operators import batch, compact, feed, log, lookup, scan, ttl
 from ..shared import fresh_path
 from ..sources import adapters as src
+from ..sources import records
 from ..table import Store
 
 #: Fixed times of the queries: 2024-01-20 and 2024-01-31, in nanoseconds.
@@ -324,7 +325,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[Store, _Times, DataFrame]
     """A store with the puts and deletes up to a time in one commit, and the later ones."""
     ops = src.events_ops(spark, sf_dir).where(F.col("op").isin("put", "put_ttl", "delete"))
     clock = _Times()
-    store = Store.open(spark, Options(fresh_path(spark, "store"), watch_queue_size=1000), clock)
+    store = Store.open(spark, Options(fresh_path(spark, "store"), segment_rows=1, watch_queue_size=1000), clock)
     store.write(ops.where(F.col("t_ns") <= T20), order="seq")
     return store, clock, ops.where(F.col("t_ns") > T20)
 
@@ -352,6 +353,44 @@ def store_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.events().select(F.col("action").cast("int").alias("action"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+@query(f"""WITH {_OPS}, {_STORED}, f AS (SELECT * FROM n WHERE NOT late AND op <> 'delete') SELECT count(*) FILTER (op = 'put_ttl' AND {T20} + ttl <= {T31}) AS purged,
+  count(*) FILTER (op = 'put' OR {T20} + ttl > {T31}) AS keys_num FROM f""")
+def store_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a purge takes out of the index, and those that stay."""
+    store, clock, _ = _stored(spark, sf_dir)
+    clock.now = T31
+    purged = store.delete_expired_keys()
+    return store.indexed().agg(F.lit(purged).cast("long").alias("purged"), F.count("*").alias("keys_num"))
+
+
+@query(f"""WITH {_OPS}, {_STORED} SELECT CAST(late AS INTEGER) AS seg, count(*) AS records,
+  count(*) FILTER (r_all = 1 AND (op = 'put' OR (op = 'put_ttl' AND CASE WHEN late THEN {T31} ELSE {T20} END + ttl > {T31}))) AS live FROM n GROUP BY late""")
+def store_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and live ones of each segment; every commit is one here."""
+    store, clock, later = _stored(spark, sf_dir)
+    clock.now = T31
+    store.write(later, order="seq")
+    return store.garbage()
+
+
+@query(f"""WITH {_OPS}, {_STORED} SELECT key, CAST(late AS INTEGER) AS seg FROM n WHERE r_all = 1 AND op <> 'delete'""")
+def store_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment that each indexed key's state comes from."""
+    store, clock, later = _stored(spark, sf_dir)
+    clock.now = T31
+    store.write(later, order="seq")
+    return store.positions().select(F.col("key").cast("string").alias("key"), "seg")
+
+
+@query(f"""WITH {_ROWS} SELECT CAST(seg AS INTEGER) AS seg, record_type, batch_id, key, coalesce(value, '') AS value, expire_ns FROM data""")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written in the binary encoding, a file a segment, and read back."""
+    folder = fresh_path(spark, "records")
+    records.write_segments(src.events_log(spark, sf_dir), folder)
+    read = records.read_segments(spark, folder).where("record_type <> 2")
+    return read.select("seg", F.col("record_type").cast("int").alias("record_type"), "batch_id", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "expire_ns")
+
+
 # Change feed.
 
 

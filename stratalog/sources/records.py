@@ -6,12 +6,17 @@ foreign log is not known here. Files are read through Arrow's file systems, by t
 
 from __future__ import annotations
 
+import itertools
 import struct
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -135,3 +140,38 @@ def write_segment(path: str, records: list[Record]) -> None:
         for r in records:
             data = encode(r)
             f.write(struct.pack("<I", len(data)) + data)
+
+
+def read_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of a folder of segments; workers get this module with the plan, so they need not find it."""
+    _by_value()
+    spark.dataSource.register(RecordSource)
+    return spark.read.format("records").load(folder)
+
+
+def write_segments(log: DataFrame, folder: str) -> int:
+    """Write a log (seg, seq, record_type, batch_id, key, value, expire_ns) as one file a segment, records in order of seq; returns their number.
+
+    A segment is the work of one task. Null values are empty. A task that is run again writes its files again.
+    """
+    _by_value()
+    rows = log.select("seg", "record_type", "batch_id", F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"), "expire_ns", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside = open_store(folder)
+        store.create_dir(inside, recursive=True)
+        records = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
+        for seg, group in itertools.groupby(records, key=lambda r: r[0]):
+            n = 0
+            with store.open_output_stream(f"{inside}/{seg:010d}") as f:
+                for _, *fields in group:
+                    data = encode(Record(*fields))
+                    f.write(struct.pack("<I", len(data)) + data)
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.repartition("seg").sortWithinPartitions("seg", "seq").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _by_value() -> None:
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,7 +10,7 @@ from stratalog.errors import InvalidOptions, InvalidPattern, KeyIsEmpty
 from stratalog.functions.cron import check_cron
 from stratalog.functions.generate import key_values
 from stratalog.functions.keys import as_key, check_pattern, matches, prefix_successor, translate_pattern
-from stratalog.sources.records import Record, RecordSource, decode, encode, write_segment
+from stratalog.sources.records import Record, RecordSource, decode, encode, read_segments, write_segment, write_segments
 
 
 @given(st.binary(max_size=6), st.binary(max_size=8))
@@ -79,6 +79,17 @@ def test_record_source(spark, tmp_path):
     assert [(r.seg, r.record_type, r.batch_id, bytes(r.key), bytes(r.value)) for r in rows] == [(0, 0, 7, b"a", b"x"), (0, 1, 7, b"b", b""), (1, 2, 0, b"7", b"")]
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_segments_written_by_tasks_come_back(spark, tmp_path, scheme):
+    rows = [(seg, 10 * seg + i, i % 3, 5, f"k{i}".encode(), None if i == 1 else b"v" * i, i) for seg in range(4) for i in range(6)]
+    log = spark.createDataFrame(rows, "seg int, seq long, record_type byte, batch_id long, key binary, value binary, expire_ns long").repartition(3)
+    folder = f"{scheme}{tmp_path}/log"
+    assert write_segments(log, folder) == 24
+    got = [(r.seg, r.seq & 255, r.record_type, r.batch_id, bytes(r.key), bytes(r.value), r.expire_ns) for r in read_segments(spark, folder).orderBy("seq").collect()]
+    assert got == [(seg, i, kind, batch, key, value or b"", expire) for (seg, _, kind, batch, key, value, expire), i in zip(rows, [i for _ in range(4) for i in range(6)], strict=True)]
+    assert write_segments(log.limit(0), f"{scheme}{tmp_path}/none") == 0
+
+
 def test_generated_rows(spark):
     rows = key_values(spark, 3, 128).orderBy("key").collect()
     assert [len(r.value) for r in rows] == [146] * 3 and re.fullmatch(rb".*-000000002", bytes(rows[2].key))
