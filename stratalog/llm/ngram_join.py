@@ -4,8 +4,8 @@
 2. N-grams have one global order: rare before frequent, then by hash. Two sets that reach the similarity share a few
    n-grams in their prefixes (``least_shared``), so documents that share so many, and whose sizes allow it, are brought
    into one block. One n-gram that documents share by chance joins no blocks.
-3. The sets of a block are put into a prefix tree one after the other. Each set first walks the tree: it adds up the
-   overlap of shared paths once, and leaves a subtree when the lengths that remain cannot reach the similarity, or when
+3. The sets of a block, in the global order of hashes, are put into a prefix tree one after the other. Each set first
+   walks the tree: it adds up the overlap of shared paths once, and leaves a subtree when the lengths that remain cannot reach the similarity, or when
    all of it is already linked to the set.
 4. Links and classes give components.
 
@@ -222,19 +222,17 @@ class PrefixTree:
 
 
 def join_sets(sets: list[np.ndarray], percent: int, labels: list[int] | None = None) -> list[int]:
-    """The component (number of its first set, in order of size) of each set; ``labels``: sets that are linked already."""
-    # In the tree, n-grams that are frequent in the block come first, which makes the shared paths long.
-    _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(times), np.int64)
-    rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
-    ranks = np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])
-    tree = PrefixTree(len(times), percent)
+    """The component (number of its first set, in order of size) of each sorted set; ``labels``: sets that are linked already."""
+    # Ranks keep the order of the hashes, which is the same in all blocks.
+    known, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    ranks = np.split(inverse, np.cumsum([len(s) for s in sets])[:-1])
+    tree = PrefixTree(len(known), percent)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     seen: dict[int, int] = {}
     number = {}
     for i in order:
         label = None if labels is None else seen.get(labels[i])
-        number[i] = tree.add(np.sort(ranks[i]), None if label is None else tree.find(label))
+        number[i] = tree.add(ranks[i], None if label is None else tree.find(label))
         if labels is not None:
             seen.setdefault(labels[i], number[i])
     return [order[tree.find(number[i])] for i in range(len(sets))]
