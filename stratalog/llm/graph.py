@@ -7,34 +7,27 @@ from pyspark.sql import functions as F
 
 from ..shared import materialize
 
-#: Tasks over which the edges of one node are dealt.
-SALTS = 8
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (two long columns, in any direction); root is the component's smallest node.
 
-    Self-loops and nulls are left out. Each step is a minimum by node (aggregated before its shuffle) and a join, dealt by
-    node and a salt, since one node may have most of the edges; tables between steps are written to the shared folder.
-    The driver sees one row of counts a step. Steps grow with the logarithm of the largest component.
+    Self-loops and nulls are left out. Each step is a minimum by node (aggregated before its shuffle) and a join; tables
+    between steps are written to the shared folder. The driver sees one row of counts a step. Steps grow with the
+    logarithm of the largest component. A node with very many edges is a skewed partition of a sort-merge join, which
+    adaptive execution splits.
     """
     a, b = edges.columns
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     now = materialize(now, "edges")
     mark = None
-
-    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-        return salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"])
-
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: larger neighbours of u move to the smallest of u and its neighbours.
-        large = with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours move to the smallest of those.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = with_least(large, least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
         now = materialize(small, "edges")
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
