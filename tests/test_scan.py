@@ -105,3 +105,18 @@ def test_bounds_reach_the_files(spark, tmp_path):
     plan = scan.ascend_keys_range(spark.read.parquet(str(tmp_path / "t")), "b", "d")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan and "ReadSchema: struct<key:binary>" in plan
     assert spark.read.parquet(str(tmp_path / "t")).where(F.lit(True)).count() == 6
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_rows_of_one_key_have_places_of_their_own(spark, reverse, parts):
+    pairs = [("a", "2"), ("b", "9"), ("b", "1"), ("b", None), ("b", "5"), ("c", "0")]
+    expected = [("a", "2"), ("b", None), ("b", "1"), ("b", "5"), ("b", "9"), ("c", "0")][:: -1 if reverse else 1]
+    for given in (pairs, pairs[::-1], pairs[3:] + pairs[:3]):
+        got = scan.ranked(spark.createDataFrame(given, "key string, value string").repartition(parts), reverse).collect()
+        assert {(r.key, r.value): r.rn for r in got} == {k: i + 1 for i, k in enumerate(expected)}
+
+
+def test_ranks_pass_over_columns_without_an_order(spark):
+    df = spark.createDataFrame([("b", {"x": 1}, "2"), ("b", {"y": 2}, "1"), ("a", {}, "3")], "key string, m map<string, int>, value string")
+    assert {r.value: r.rn for r in scan.ranked(df).collect()} == {"3": 1, "1": 2, "2": 3}
