@@ -36,7 +36,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["iter_prefix", "iter_prefix_reverse", "scan_asc_pages"])
+@pytest.mark.parametrize("name", ["iter_prefix", "iter_prefix_reverse", "scan_asc_pages", "scan_desc_pages"])
 def test_repeated_urls_stand_in_the_order_of_their_pages(spark, tmp_path, name):
     pages = [(i, f"{'https://blog' if i % 2 else 'http://'}.example.com/{i % 5}", f"page {i * 7 % 40:02d}") for i in range(40)]
     spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
