@@ -87,16 +87,16 @@ def _ahead(per_part: DataFrame, amount: str) -> DataFrame:
 
 
 def _total_order(rows: DataFrame, reverse: bool) -> list[Column]:
-    """The key, then every other column that has an order, all in one direction: rows that tie in it are equal."""
+    """The key, then every other column that has an order, all in one direction: rows that tie in it are equal. Null keys are last either way."""
     rest = [f.name for f in rows.schema if f.name != "key" and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    return [(F.desc if reverse else F.asc)(f"`{c}`") for c in ("key", *rest)]
+    return [(F.desc_nulls_last if reverse else F.asc_nulls_last)("key"), *((F.desc if reverse else F.asc)(f"`{c}`") for c in rest)]
 
 
 def ranked(rows: DataFrame, reverse: bool = False) -> DataFrame:
     """The rows with ``rn``, their place from 1 on in key order; parts number their own rows after the counts of the parts before.
 
     Rows of one key stand in the order of their other columns, so a place depends on the rows alone, not on their files
-    or the run, and ``reverse`` is the mirror image.
+    or the run, and ``reverse`` is the mirror image but for rows without a key, which come last in both.
     """
     dealt = dealt_by_range(rows, *_total_order(rows, reverse))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))

@@ -47,3 +47,13 @@ def test_repeated_urls_stand_in_the_order_of_their_pages(spark, tmp_path, name):
     assert "value ASC)" in sql or "value DESC)" in sql
     got = catalogue.QUERIES[name](spark, str(tmp_path))
     assert plain(got.select("key", "value", "rn").collect()) == plain(con.sql(f"SELECT key, value, rn FROM ({sql})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["scan_asc_pages", "scan_desc_pages", "iter_prefix", "iter_prefix_reverse"])
+def test_pages_without_url_stand_last(spark, tmp_path, name):
+    pages = [(i, None if i == 7 else f"{'https://blog' if i % 2 else 'http://'}.example.com/{i}", None if i == 8 else f"page {i}") for i in range(20)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert plain(got.select("key", "value", "rn").collect()) == plain(con.sql(f"SELECT key, value, rn FROM ({catalogue.ORACLES[name]})").fetchall())
