@@ -59,7 +59,7 @@ def test_pages_without_url_stand_last(spark, tmp_path, name):
     assert plain(got.select("key", "value", "rn").collect()) == plain(con.sql(f"SELECT key, value, rn FROM ({catalogue.ORACLES[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["iter_prefix_reverse"])
+@pytest.mark.parametrize("name", ["iter_prefix_reverse", "scan_desc_pages"])
 def test_odd_urls_that_do_not_tie_stand_as_in_the_sql(spark, tmp_path, name):
     urls = [None, "", "http:/", "http://", "http://\x00", "http://\x7f", "http://é", "http://\uffff", "http://\U00010000", "http:/0", "HTTP://a", " http://a", "\U0010ffff", *("http://" + "a" * n for n in (1, 64, 65, 5000))]
     pages = [(i, u, None if i % 5 == 0 else f"page {i}") for i, u in enumerate(urls)] + [(90 + i, "http://twice", "same") for i in range(2)]
