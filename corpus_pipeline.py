@@ -52,8 +52,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, the piece ids, and the digest of the text decoded from them; a row for every document. No text has no ids."""
     model = pieces.PieceModel.load(setting(spark, "pieces.model", pieces.MODEL))
-    coded = pieces.decode(pieces.encode(docs, model), model)
-    return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = pieces.encode(docs, model, decoded="__decoded")
+    return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("__decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -47,6 +47,8 @@ HELD_GROUPS = 150_000
 #: Words that a task packs at once, and words that are hashed at once.
 PACKED = 300_000
 HASHED = 30_000
+#: Texts that are decoded at once.
+DECODED = 128
 _VALUES, _BASE = random_words(256, 31), int(random_words(1, 32)[0])
 UNIGRAM, BPE = 1, 2
 #: Flags of an edge of a merge model, above the id of its piece.
@@ -556,9 +558,12 @@ def _unblock(blocks: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return words, pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(codes)))
 
 
-def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add ``ids``: the piece ids of the whole text, as the model's own rule gives them.
 
+    With ``decoded`` the text goes: a column of that name has what ``decode`` gives for the ids, in the same worker, so
+    that no second one stands beside it and texts are not sent back.
+
     Null and empty texts have no ids; repeated rows get the same ids each. Words of more than ``LONGEST`` characters are
     encoded in the worker, as are words that a split lacks because the second pass is split otherwise. Extra columns pass
     through; one named like the ids is replaced. ``docs`` that are more than a scan of files are written first.
@@ -572,7 +577,10 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
     rows = rows.withColumn("__file", where)
     folder = file_dictionary(rows.select(F.col("__file").alias("file"), F.col(f"`{text}`").cast("string").alias("text")), model)
     uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.array().cast("array<int>").alias(ids)).schema
+    passed = keep if decoded is None else [c for c in keep if c not in (text, decoded)]
+    back = [] if decoded is None else [F.lit("").cast("string").alias(decoded)]
+    schema = docs.select(*[F.col(f"`{c}`") for c in passed], F.array().cast("array<int>").alias(ids), *back).schema
+    decoder = None if decoded is None else _Decoder(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
@@ -595,7 +603,9 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
                 lists = dictionary.find(coded.dictionary, model, tails)
                 values, size = model.resolve(np.asarray(lists.flatten()).astype(np.int64), np.diff(np.asarray(lists.offsets)))
                 at = np.concatenate([[0], np.cumsum(size)])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _gather(values, at, np.asarray(coded.indices), counts)], [*keep, ids])
+                lists = _gather(values, at, np.asarray(coded.indices), counts)
+                back = [] if decoder is None else [pa.array([t for k in range(0, len(lists), DECODED) for t in decoder.texts(lists.slice(k, DECODED))], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), lists, *back], schema.names)
         release()
 
     return rows.mapInArrow(run, schema)
@@ -666,34 +676,41 @@ def _gather(values: np.ndarray, at: np.ndarray, index: np.ndarray, counts: np.nd
     return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values[pick].astype(np.int32)))
 
 
-def decode(df: DataFrame, model: PieceModel, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add ``text``, the text of the piece ids: a space for every mark, without the first one. Null ids give null, no ids an empty text.
+class _Decoder:
+    """The bytes of all pieces, and the texts of lists of ids."""
 
-    Unknown and control pieces are left out. Bytes that are not UTF-8 become the replacement character. Decoding an
-    encoded text gives it back, except that a mark in the text itself comes back as a space.
-    """
-    keep = [c for c in df.columns if c != text]
-    schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit("").cast("string").alias(text)).schema
-    raw = [bytes([i - model.first_byte]) if k == 6 else p.replace(MARK, " ").encode() if k == 1 else b"" for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
-    blob, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
-    begin = np.cumsum(size) - size
+    def __init__(self, model: PieceModel):
+        raw = [bytes([i - model.first_byte]) if k == 6 else p.replace(MARK, " ").encode() if k == 1 else b"" for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
+        self.blob, self.size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
 
-    def texts(part: pa.ListArray) -> list[str | None]:
+    def texts(self, part: pa.ListArray) -> list[str | None]:
         codes = np.asarray(part.flatten())
-        n = size[codes]
+        n = self.size[codes]
         stop = np.concatenate([[0], np.cumsum(n)])
-        data = blob[np.arange(int(stop[-1])) + np.repeat(begin[codes] - stop[:-1], n)].tobytes()
+        data = self.blob[np.arange(int(stop[-1])) + np.repeat(self.begin[codes] - stop[:-1], n)].tobytes()
         count = np.asarray(pc.fill_null(pc.list_value_length(part), 0))
         edge = stop[np.concatenate([[0], np.cumsum(count)])].tolist()
         whole = [data[a:b].decode(errors="replace") for a, b in zip(edge[:-1], edge[1:], strict=True)]
         return [None if null else t[1:] if t[:1] == " " else t for t, null in zip(whole, np.asarray(part.is_null()).tolist(), strict=True)]
 
+
+def decode(df: DataFrame, model: PieceModel, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """Add ``text``, the text of the piece ids: a space for every mark, without the first one. Null ids give null, no ids an empty text.
+
+    Unknown and control pieces are left out. Bytes that are not UTF-8 become the replacement character. Decoding an
+    encoded text gives it back, except that a mark in the text itself comes back as a space.
+    """
+    keep = [c for c in df.columns if c != text]
+    schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit("").cast("string").alias(text)).schema
+    decoder = _Decoder(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
         for big in batches:
-            for at in range(0, big.num_rows, 128):
-                batch = big.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts(batch.column(ids)), pa.string())], [*keep, text])
+            for at in range(0, big.num_rows, DECODED):
+                batch = big.slice(at, DECODED)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(decoder.texts(batch.column(ids)), pa.string())], [*keep, text])
         release()
 
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

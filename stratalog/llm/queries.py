@@ -15,7 +15,7 @@ from .common import setting, table
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.PieceModel.load(setting(spark, "pieces.model", pieces.MODEL))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    back = pieces.decode(pieces.encode(docs, model).drop("text"), model)
+    back = pieces.encode(docs, model, decoded="decoded")
     decoded = F.sha2("decoded", 256)
     return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip"))
 

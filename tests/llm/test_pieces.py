@@ -35,6 +35,18 @@ def test_ids_are_the_librarys(spark):
         assert library.decode(want) == out[i].decoded or "\x00" in (t or "") or "▁" in (t or "") or t is not None and t.startswith(" ")
 
 
+@needs_model
+def test_texts_are_decoded_where_they_are_encoded(spark):
+    """One Python worker a task does both, and gives what two one after the other give."""
+    model = pieces.PieceModel.load(MODEL)
+    docs = texts(spark, TEXTS * 12).withColumnRenamed("ids", "decoded")
+    out = pieces.encode(docs, model, decoded="decoded")
+    assert out.columns == ["doc_id", "ids", "decoded"]
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = pieces.decode(pieces.encode(docs, model), model).select("doc_id", "ids", "decoded")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
 @needs_model
 def test_keys_of_many_texts_are_those_of_each():
     import pyarrow as pa
