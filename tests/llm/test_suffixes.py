@@ -73,6 +73,14 @@ def test_a_very_long_text(spark):
     assert got == {0: (3_000_700, 700, 1), 1: (701, 700, 1), 2: (600, 600, 1)}
 
 
+def test_passages_of_over_50_words_are_cut_from_400_bytes_on(spark):
+    short, enough, own = (" ".join(f"{c}{i:04d}" for i in range(67))[:n] for c, n in (("u", 399), ("v", 400), ("w", 400)))
+    assert all(len(p.split()) > 50 for p in (short, enough, own))
+    texts = [f"a{short}b", f"c{short}d", f"e{enough}f", f"g{enough}h", f"i{own}j{own}k"]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == [(401, 0, 0, texts[0].encode()), (401, 0, 0, texts[1].encode()), (402, 400, 1, b"ef"), (402, 400, 1, b"gh"), (803, 800, 2, b"ijk")]
+
+
 def test_the_same_row_twice_repeats_itself(spark):
     df = spark.createDataFrame([(1, "x" * 10 + "abcdefghij" * 3), (1, "x" * 10 + "abcdefghij" * 3)], "doc_id long, text string")
     assert [(r.n_removed, r.n_spans) for r in suffixes.remove_repeats(df, length=30, gram=8).collect()] == [(40, 1)] * 2
